@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
-from quern.functions.text import extract_all, replace_all, split_on, squeeze, strip
+from quern.functions.text import extract_all, no_strings, replace_all, split_on, squeeze, strip
 
 Fields = Callable[[str], Column]
 
@@ -86,17 +86,16 @@ def read_quantity(get: Fields) -> dict[str, Column]:
     return {"quantity": quantity, "rest": strip(F.substr(line, taken + 1))}
 
 
+def split_rest(get: Fields) -> dict[str, Column]:
+    return {"tokens": F.when(get("quantity").isNotNull(), split_on(get("rest"), r"(?U)\s+"))}
+
+
 def find_unit(get: Fields, units: dict[str, str]) -> dict[str, Column]:
-    tokens = split_on(get("rest"), r"(?U)\s+")
-    first = F.lower(F.get(tokens, 0))
-    table = _map_literal(units)
-    one = F.coalesce(F.element_at(table, first), F.element_at(table, replace_all(first, "s+$")))
-    two = F.when(F.size(tokens) >= 2, F.element_at(table, F.concat(first, F.lit(" "), F.lower(F.get(tokens, 1)))))
-    has_quantity = get("quantity").isNotNull()
+    tokens, table = get("tokens"), _map_literal(units)
+    first, second = F.lower(F.get(tokens, 0)), F.lower(F.get(tokens, 1))
     return {
-        "unit_one": F.when(has_quantity, one),
-        "unit_two": F.when(has_quantity & one.isNull(), two),
-        "tokens": tokens,
+        "unit_one": F.coalesce(F.element_at(table, first), F.element_at(table, replace_all(first, "s+$"))),
+        "unit_two": F.element_at(table, F.concat(first, F.lit(" "), second)),
     }
 
 
@@ -144,14 +143,20 @@ def drop_articles(get: Fields) -> dict[str, Column]:
     }
 
 
+def find_keywords(get: Fields) -> dict[str, Column]:
+    return {"present": extract_all(F.lower(get("plain")), KEYWORD)}
+
+
 def move_keywords(get: Fields) -> dict[str, Column]:
-    plain = get("plain")
-    present = extract_all(F.lower(plain), KEYWORD)
-    ordered = F.filter(
+    """Keywords move to the preparation in the order of the list, not of the line."""
+    plain, present = get("plain"), get("present")
+    listed = F.filter(
         F.array(*[F.lit(word) for word in fixed.PREPARATION_KEYWORDS]),
         lambda word: F.array_contains(present, word),
     )
-    name = squeeze(replace_all(plain, KEYWORD))
+    some = F.size(present) > 0
+    ordered = F.when(some, listed).otherwise(no_strings())
+    name = squeeze(F.when(some, replace_all(plain, KEYWORD)).otherwise(plain))
     name = F.btrim(replace_all(name, r"\s*,\s*,\s*", ", "), F.lit(", "))
     notes = F.filter(
         F.array(get("notes"), get("taste"), F.array_join(ordered, ", ")), lambda part: part != ""
@@ -175,8 +180,8 @@ def assemble(get: Fields) -> dict[str, Column]:
 def stages(units: dict[str, str] | None = None) -> list[Callable[[Fields], dict[str, Column]]]:
     units = unit_table() if units is None else units
     return [
-        trim_line, find_number, read_quantity, lambda get: find_unit(get, units), take_unit,
-        split_preparation, move_bracket, drop_articles, move_keywords, assemble,
+        trim_line, find_number, read_quantity, split_rest, lambda get: find_unit(get, units), take_unit,
+        split_preparation, move_bracket, drop_articles, find_keywords, move_keywords, assemble,
     ]
 
 
