@@ -50,6 +50,11 @@ def non_blank(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda part: part != "")
 
 
+def shuffled(key: str, seed: int) -> Column:
+    """A repeatable random sort key that does not depend on partitioning."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 # --- Tokenisers -----------------------------------------------------------------------------------
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of two or more word characters of any script."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.cells import variant_kind
-from quern.functions.text import is_blank, no_strings
+from quern.functions.text import is_blank, no_strings, shuffled
 from quern.operators.harvest import as_text, items, member
 from quern.operators.records import kind_name
 from quern.operators.skew import broadcast_if_small
@@ -185,4 +185,4 @@ def anomaly_detail(found: DataFrame, order: str = "ord", limit: int = 20) -> Dat
 
 def review_sample(clean: DataFrame, key: str = "recipe_id", size: int = SAMPLE_SIZE, seed: int = 42) -> DataFrame:
     """A reproducible random sample that does not depend on partitioning."""
-    return clean.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
+    return clean.orderBy(shuffled(key, seed), key).limit(size)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import cells
+from quern.functions.text import shuffled
 from quern.operators.harvest import as_text, member
 from quern.operators.retrieve import matching_categories
 
@@ -95,7 +96,7 @@ def browse(
 ) -> DataFrame:
     """Records in random order, as a blank query shows them; a seed makes the order repeatable."""
     shown = matching_categories(catalog, filters or [], category_col)
-    order = [F.rand()] if seed is None else [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
+    order = [F.rand()] if seed is None else [shuffled(id_col, seed), F.col(id_col)]
     return shown.orderBy(*order).limit(limit)
 
 
