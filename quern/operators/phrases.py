@@ -172,14 +172,17 @@ def suggest(
     if isinstance(queries, str):
         queries = index.phrases.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(queries).alias("query"))
         id_col, text_col = "query_id", "query"
-    prepared = prepare_queries(queries, id_col, text_col)
+    # Both written tables are as small as the batch; without them every tier would repeat the stemming
+    # and the last tier would repeat the others.
+    prepared = store(prepare_queries(queries, id_col, text_col), "suggest-queries")
     found = (
         prefix_matches(index, prepared)
         .unionByName(phrase_word_matches(index, prepared))
         .unionByName(word_prefix_matches(index, prepared))
     )
-    unmatched = prepared.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    ranked = merge_tiers(found.unionByName(trailing_matches(index, unmatched)), limit)
+    matched = store(merge_tiers(found, limit), "suggest-matches")
+    unmatched = prepared.join(matched.select("query_id").distinct(), "query_id", "left_anti")
+    ranked = matched.unionByName(merge_tiers(trailing_matches(index, unmatched), limit))
     # A blank query gets the same few phrases as any other blank query.
     top = most_frequent(index, limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "phrase")))
     blank = prepared.where(F.size("tokens") == 0).select("query_id", F.lit(0).alias("tier"))

@@ -29,6 +29,7 @@ SELECT DISTINCT query FROM (
   UNION ALL SELECT concat('zz ', substr(p_name, 1, length(p_name) - 1)) FROM {part}
   UNION ALL SELECT concat(p_type, ' b') FROM {part}
   UNION ALL SELECT p_brand FROM {part}
+  UNION ALL SELECT concat(split_part(p_name, ' ', 1), 's ', substr(split_part(p_name, ' ', 2), 1, 2)) FROM {part}
   UNION ALL SELECT substr(p_name, 1, 0) FROM {part}
 )
 """
@@ -133,8 +134,9 @@ WITH records AS (""" + plain(RECORDS) + """), documents_ AS (
   UNION ALL SELECT p_partkey, 1, lower(p_type), 'ingredient' FROM records
   UNION ALL SELECT p_partkey, 2, replace(replace(replace(lower(branded), '-(', ' '), '#', ' '), ')', ''), 'ingredient' FROM records
 ), stems AS (
-  SELECT word, CASE word WHEN 'economy' THEN 'economi' WHEN 'large' THEN 'larg' ELSE
-    CASE WHEN word IN ('anvils', 'bolts', 'gears', 'gizmos', 'plates', 'rings', 'rods', 'widgets')
+  SELECT word, CASE word WHEN 'economy' THEN 'economi' WHEN 'large' THEN 'larg' WHEN 'larges' THEN 'larg' ELSE
+    CASE WHEN word IN ('anvils', 'bolts', 'gears', 'gizmos', 'plates', 'rings', 'rods', 'widgets',
+                       'blues', 'colds', 'hots', 'olds', 'reds', 'smalls')
          THEN left(word, length(word) - 1) ELSE word END END AS stem
   FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents_
         UNION SELECT DISTINCT unnest(string_split(lower(trim(query)), ' ')) FROM (""" + plain(QUERIES) + """))

@@ -10,10 +10,10 @@ from quern.operators.catalog import keep_last
 from quern.operators.records import file_stem
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """``(file_path, file_name, doc, loaded)``; a corrupt file has a NULL document and does not stop the scan."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
         .schema("value string").text(path)
     )
     parsed = files.select(
