@@ -51,7 +51,7 @@ def stem(word: str) -> str:
         return word
     if word in IRREGULAR_STEMS:
         return IRREGULAR_STEMS[word]
-    word = re.sub(r"(^|(?<=[aeiouy]))y", "Y", word)
+    word = re.sub(r"(^|[aeiouy])y", r"\1Y", word)
 
     # A consonant "Y" counts as a non-vowel, so both regions can be read off once.
     head = _REGION1.match(word)
