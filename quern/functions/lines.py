@@ -6,6 +6,7 @@ fields, so the same stages run on table columns and inside ``transform`` over an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,21 @@ MIXED = r"^(\d+)\s+(\d+)\s*/\s*(\d+)\s*"
 FRACTION = r"^(\d+)\s*/\s*(\d+)\s*"
 RANGE = rf"^{NUMBER}\s*(?:-|to)\s*{NUMBER}\s*"
 PLAIN = rf"^{NUMBER}\s*"
-KEYWORD = r"(?iU)\b(?:" + "|".join(dict.fromkeys(fixed.PREPARATION_KEYWORDS)) + r")\b"
+
+
+def one_of(listed: list[str]) -> str:
+    """A pattern for a list of words with shared beginnings factored out, so that most letters fail at once."""
+    endings: dict[str, list[str]] = {}
+    for word in dict.fromkeys(listed):
+        endings.setdefault(word[:1], []).append(word[1:])
+    branches = [
+        re.escape(first) + (one_of(rest) if len(rest) > 1 else re.escape(rest[0]))
+        for first, rest in endings.items() if first
+    ]
+    return f"(?:{'|'.join(branches)})" + ("?" if "" in endings else "")
+
+
+KEYWORD = rf"(?U)\b{one_of(fixed.PREPARATION_KEYWORDS)}\b"
 
 OUTPUT = ("original", "quantity", "unit", "name", "preparation", "is_valid")
 
@@ -87,7 +102,7 @@ def read_quantity(get: Fields) -> dict[str, Column]:
 
 
 def split_rest(get: Fields) -> dict[str, Column]:
-    return {"tokens": F.when(get("quantity").isNotNull(), split_on(get("rest"), r"(?U)\s+"))}
+    return {"tokens": F.when(get("quantity").isNotNull(), split_on(get("rest"), f"[{fixed.BLANKS}]+"))}
 
 
 def find_unit(get: Fields, units: dict[str, str]) -> dict[str, Column]:
@@ -138,13 +153,13 @@ def drop_articles(get: Fields) -> dict[str, Column]:
     bare = replace_all(bare, r"(?iU)^(a|an|the)\s+")
     to_taste = F.contains(F.lower(bare), F.lit("to taste"))
     return {
-        "plain": F.when(to_taste, replace_all(bare, r"(?iU),?\s*to taste\s*$")).otherwise(bare),
+        "plain": F.lower(F.when(to_taste, replace_all(bare, r"(?iU),?\s*to taste\s*$")).otherwise(bare)),
         "taste": F.when(to_taste, F.lit("to taste")).otherwise(F.lit("")),
     }
 
 
 def find_keywords(get: Fields) -> dict[str, Column]:
-    return {"present": extract_all(F.lower(get("plain")), KEYWORD)}
+    return {"present": extract_all(get("plain"), KEYWORD)}
 
 
 def move_keywords(get: Fields) -> dict[str, Column]:
@@ -161,7 +176,7 @@ def move_keywords(get: Fields) -> dict[str, Column]:
     notes = F.filter(
         F.array(get("notes"), get("taste"), F.array_join(ordered, ", ")), lambda part: part != ""
     )
-    return {"bare_name": F.lower(name), "all_notes": F.array_join(notes, ", ")}
+    return {"bare_name": name, "all_notes": F.array_join(notes, ", ")}
 
 
 def assemble(get: Fields) -> dict[str, Column]:

@@ -34,11 +34,11 @@ def split_on(text: Column, pattern: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every Unicode blank, not only the space character."""
-    return replace_all(text, r"(?U)^\s+|\s+$")
+    return F.btrim(text, F.lit(fixed.BLANKS))
 
 
 def squeeze(text: Column) -> Column:
-    return strip(replace_all(text, r"(?U)\s+", " "))
+    return strip(replace_all(text, f"[{fixed.BLANKS}]+", " "))
 
 
 def is_blank(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text
-from quern.operators.skew import broadcast_if_small
+from quern.operators.skew import broadcast_if_small, settled
 from quern.sources.tables import store
 
 DEFAULT_LIMIT = 15
@@ -172,15 +172,15 @@ def suggest(
     if isinstance(queries, str):
         queries = index.phrases.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(queries).alias("query"))
         id_col, text_col = "query_id", "query"
-    # Both written tables are as small as the batch; without them every tier would repeat the stemming
-    # and the last tier would repeat the others.
-    prepared = store(prepare_queries(queries, id_col, text_col), "suggest-queries")
+    # Both intermediate tables are as small as the batch; without them every tier would repeat the
+    # stemming and the last tier would repeat the others.
+    prepared = settled(prepare_queries(queries, id_col, text_col), "suggest-queries")
     found = (
         prefix_matches(index, prepared)
         .unionByName(phrase_word_matches(index, prepared))
         .unionByName(word_prefix_matches(index, prepared))
     )
-    matched = store(merge_tiers(found, limit), "suggest-matches")
+    matched = settled(merge_tiers(found, limit), "suggest-matches")
     unmatched = prepared.join(matched.select("query_id").distinct(), "query_id", "left_anti")
     ranked = matched.unionByName(merge_tiers(trailing_matches(index, unmatched), limit))
     # A blank query gets the same few phrases as any other blank query.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.operators.skew import BROADCAST_ROWS, at_most, broadcast_if_small
+from quern.operators.skew import broadcast_if_small, settled
 from quern.operators.tfidf import TextIndex, term_counts
 
 # Up to this many distinct query terms travel as literals, so that row groups can be skipped.
@@ -24,11 +24,9 @@ def one_query(index: TextIndex, query: str) -> DataFrame:
 
 
 def _only_terms(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Restrict an index table to the wanted terms by a filter the parquet reader understands."""
-    distinct = wanted.select("term").distinct()
-    if at_most(distinct, PUSHED_TERMS):
-        return table.where(F.col("term").isin([row.term for row in distinct.collect()]))
-    return table
+    """Restrict an index table to the terms of a settled table, if few, by a filter the parquet reader knows."""
+    few = wanted.select("term").distinct().limit(PUSHED_TERMS + 1).toArrow()["term"].to_pylist()
+    return table.where(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else table
 
 
 def query_vectors(index: TextIndex, queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -39,9 +37,8 @@ def query_vectors(index: TextIndex, queries: DataFrame, id_col: str = "query_id"
     if index.analyzer.stopwords:
         stop = list(index.analyzer.stopwords)
         tokenised = tokenised.withColumn("tokens", F.filter("tokens", lambda token: ~token.isin(*stop)))
-    counts = term_counts(tokenised, index.analyzer, key="query_id")
-    known = _only_terms(index.terms.select("term", "idf"), counts)
-    weighted = known.join(broadcast_if_small(counts), "term")
+    counts = settled(term_counts(tokenised, index.analyzer, key="query_id"), "query-terms")
+    weighted = _only_terms(index.terms.select("term", "idf"), counts).join(counts, "term")
     weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
     return weighted.select("query_id", "term", (F.col("raw") / norm).alias("query_weight"))
@@ -49,8 +46,8 @@ def query_vectors(index: TextIndex, queries: DataFrame, id_col: str = "query_id"
 
 def scores(index: TextIndex, vectors: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score)`` for every document that shares a term with the query."""
-    wanted = _only_terms(index.postings.select("doc_id", "term", "weight"), vectors)
-    matched = wanted.join(broadcast_if_small(vectors, BROADCAST_ROWS), "term")
+    vectors = settled(vectors, "query-vectors")
+    matched = _only_terms(index.postings.select("doc_id", "term", "weight"), vectors).join(vectors, "term")
     summed = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
     return summed.where(F.col("score") > 0)
 

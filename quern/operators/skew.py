@@ -8,12 +8,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import store
+
 # A key is hot when it holds at least this share of all rows, so there are at most 1 / share of them.
 HOT_SHARE = 1e-4
 # Groups under this many rows never need splitting, whatever their share.
 MIN_HOT_ROWS = 1_000_000
 # Largest side, in rows, that may be broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
+# Largest table, in rows, that may pass through the driver as a query batch.
+LOCAL_ROWS = 20_000
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -26,6 +30,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Compute a query-sided table once, for the several steps that read it.
+
+    A small one becomes literal rows of the plan, which costs one short job; a larger one is written.
+    The result carries a broadcast hint if its row count proved it small enough.
+    """
+    found = df.limit(LOCAL_ROWS + 1).toArrow()
+    if found.num_rows <= LOCAL_ROWS:
+        return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+    return broadcast_if_small(store(df, name))
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,

@@ -58,8 +58,12 @@ def term_counts(tokenised: DataFrame, analyzer: Analyzer = WORDS, key: str = "do
     """
     grams = text.ngrams(F.col("tokens"), analyzer.smallest, analyzer.largest)
     ordered = tokenised.select(key, grams.alias("terms")).select(key, F.sort_array("terms").alias("terms"))
-    starts = F.expr("filter(sequence(0, size(terms) - 1), i -> i = 0 OR terms[i] != terms[i - 1])")
-    runs = ordered.where(F.size("terms") > 0).select(key, "terms", starts.alias("starts"))
+    # A WHERE on the size would be pushed down with a copy of the whole expression; a NULL array costs
+    # nothing and explodes to no rows just the same.
+    starts = F.expr(
+        "CASE WHEN size(terms) > 0 THEN filter(sequence(0, size(terms) - 1), i -> i = 0 OR terms[i] != terms[i - 1]) END"
+    )
+    runs = ordered.select(key, "terms", starts.alias("starts"))
     runs = runs.select(
         key, "terms", "starts",
         F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("terms"))).alias("ends"),
@@ -123,7 +127,7 @@ def build_index(
     counts = store(term_counts(tokens(docs, id_col, text_col, analyzer), analyzer), f"{name}-counts")
     terms = prune_terms(document_frequency(counts), n_docs, min_df, max_df, max_features)
     terms = terms.withColumn("idf", smooth_idf(F.col("df"), n_docs))
-    terms = store(terms.repartitionByRange("term") if max_features is None else terms, f"{name}-terms", ["term"])
+    terms = store(terms, f"{name}-terms", ["term"])
 
     # Every frequent term repeats in many documents, hence the skew-proof join.  Afterwards a single
     # shuffle by document serves the norm and the final layout; a group is one document's terms.

@@ -21,6 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return fresh
 
 
+# Inputs under this size per core are spread over all cores; larger ones have enough file splits.
+SPREAD_BYTES_PER_CORE = 64 * 1024 * 1024
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; for file scans this is the size of the files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small table that sits in few files over all cores.  Large tables are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if planned_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
