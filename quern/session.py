@@ -7,6 +7,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Skip the sort of a join when every partition of its smaller side turned out to be this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Longer generated methods are never compiled by the JVM; smaller units run faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     # An IN list of query terms reaches the parquet row groups as exact values up to this length.
     "spark.sql.parquet.pushdown.inFilterThreshold": "500",
