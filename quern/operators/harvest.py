@@ -280,63 +280,62 @@ def _mixed_steps(value: Column) -> Column:
     )
 
 
-def _raw_recipe(node: Column, source: str) -> Column:
-    linked = source == "json-ld"
-    steps = _mixed_steps if linked else _plain_steps
-    field = lambda name: F.coalesce(as_text(member(node, name)), F.lit(""))
-    return F.struct(
-        F.lit(source).alias("source"),
-        F.array(
-            field("name"),
-            *[_join_texts(member(node, name)) for name in ("recipeYield", "recipeCuisine", "recipeCategory")],
-        ).alias("heads"),
-        _listed(member(node, "recipeIngredient" if linked else "ingredients")).alias("ingredients"),
-        F.coalesce(steps(member(node, "recipeInstructions")), F.array().cast("array<struct<text:string,split:boolean>>"))
-        .alias("steps"),
-        *[field(name).alias(alias) for alias, name in (("prep_time", "prepTime"), ("cook_time", "cookTime"), ("total_time", "totalTime"))],
-    )
-
-
 def extract_recipes(harvested: DataFrame, id_col: str) -> DataFrame:
     """Recipe of each document, microdata first; documents without one are kept with NULL ``source``.
 
-    Every text of a record is cleaned in one batch, so a document visits Python once.
+    Every text of a record is cleaned in one batch, so a document visits Python once.  Each select
+    names what the next one uses several times, so that no JSON path is walked twice; plain columns
+    instead of one struct keep the optimizer from copying the whole struct per field.
     """
     nodes = harvested.select(
         F.col(id_col).alias("recipe_id"),
         microdata_node(F.col("microdata")).alias("micro"),
         linked_node(F.col("json_ld")).alias("linked"),
     )
-    raw = nodes.select(
-        "recipe_id",
-        F.when(F.col("micro").isNotNull(), _raw_recipe(F.col("micro"), "microdata"))
-        .when(F.col("linked").isNotNull(), _raw_recipe(F.col("linked"), "json-ld")).alias("raw"),
+    chosen = nodes.select(
+        "recipe_id", F.coalesce("micro", "linked").alias("node"),
+        F.when(F.col("micro").isNotNull(), F.lit("microdata")).when(F.col("linked").isNotNull(), F.lit("json-ld")).alias("source"),
+    )
+    node, linked = F.col("node"), F.col("source") == "json-ld"
+    named = {"name": "name", "servings": "recipeYield", "cuisine": "recipeCuisine", "category": "recipeCategory"}
+    timed = {"prep_time": "prepTime", "cook_time": "cookTime", "total_time": "totalTime"}
+    values = chosen.select(
+        "recipe_id", "source",
+        *[member(node, field).alias(alias) for alias, field in {**named, **timed}.items()],
+        F.when(linked, member(node, "recipeIngredient")).otherwise(member(node, "ingredients")).alias("listed"),
+        member(node, "recipeInstructions").alias("steps"),
+    )
+    no_steps = F.array().cast("array<struct<text:string,split:boolean>>")
+    steps = F.when(linked, _mixed_steps(F.col("steps"))).otherwise(_plain_steps(F.col("steps")))
+    raw = values.select(
+        "recipe_id", "source",
+        *[F.when(F.col("source").isNotNull(), F.coalesce(as_text(F.col(alias)), F.lit(""))).alias(alias) for alias in timed],
+        F.array(
+            F.coalesce(as_text(F.col("name")), F.lit("")),
+            *[_join_texts(F.col(alias)) for alias in ("servings", "cuisine", "category")],
+        ).alias("heads"),
+        F.coalesce(_listed(F.col("listed")), text.no_strings()).alias("listed"),
+        F.coalesce(steps, no_steps).alias("steps"),
     )
-    texts = F.concat("raw.heads", F.coalesce("raw.ingredients", text.no_strings()), F.col("raw.steps")["text"])
-    cleaned = raw.withColumn("clean", text.clean_texts(texts))
-    n_heads, n_ingredients = F.lit(4), F.size(F.coalesce("raw.ingredients", text.no_strings()))
-    cleaned = cleaned.withColumns(
+    texts = F.concat("heads", "listed", F.transform("steps", lambda step: step["text"]))
+    cleaned = raw.withColumn("clean", F.when(F.col("source").isNotNull(), text.clean_texts(texts)))
+    n_heads = F.lit(len(named))
+    parted = cleaned.withColumns(
         {
-            "ingredients": F.slice("clean", n_heads + 1, n_ingredients),
-            "step_texts": F.slice("clean", n_heads + n_ingredients + 1, F.size("raw.steps")),
+            "ingredients": F.slice("clean", n_heads + 1, F.size("listed")),
+            "step_texts": F.slice("clean", n_heads + F.size("listed") + 1, F.size("steps")),
         }
     )
     split = F.zip_with(
-        "step_texts", F.col("raw.steps")["split"],
-        lambda step, numbered: F.when(
-            numbered, F.filter(text.split_steps(step), lambda part: part != "")
-        ).otherwise(F.array(step)),
+        "step_texts", "steps",
+        lambda cleaned_text, step: F.when(
+            step["split"], F.filter(text.split_steps(cleaned_text), lambda part: part != "")
+        ).otherwise(F.array(cleaned_text)),
     )
-    return cleaned.select(
-        "recipe_id",
-        F.get("clean", 0).alias("title"),
-        "ingredients",
-        F.flatten(split).alias("instructions"),
-        *[F.col(f"raw.{name}").alias(name) for name in ("prep_time", "cook_time", "total_time")],
-        F.get("clean", 1).alias("servings"),
-        F.get("clean", 2).alias("cuisine"),
-        F.get("clean", 3).alias("category"),
-        F.col("raw.source").alias("source"),
+    return parted.select(
+        "recipe_id", F.get("clean", 0).alias("title"), "ingredients", F.flatten(split).alias("instructions"), *timed,
+        *[F.get("clean", at).alias(alias) for at, alias in enumerate(("servings", "cuisine", "category"), 1)],
+        "source",
     )
 
 

@@ -20,9 +20,16 @@ class Corpus:
     catalog: DataFrame
 
 
-def recipe_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Pages to flat records.  Every step is row-local, so nothing is shuffled up to here."""
-    found = harvest.extract_recipes(harvest.harvest(pages, id_col, html_col), id_col)
+def recipe_records(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", name: str = "corpus"
+) -> DataFrame:
+    """Pages to flat records.  Every step is row-local, so nothing is shuffled up to here.
+
+    Harvested pages and extracted recipes are written in between: a later filter then reads a column
+    instead of being pushed down together with a copy of all that computes it.
+    """
+    harvested = store(harvest.harvest(pages, id_col, html_col), f"{name}-harvested")
+    found = store(harvest.extract_recipes(harvested, id_col), f"{name}-extracted")
     recipes = found.where(F.col("source").isNotNull())
     recipes = records.process_instructions(records.parse_ingredients(recipes))
     return records.structure_records(records.as_documents(recipes))
@@ -30,8 +37,9 @@ def recipe_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
 
 def build_corpus(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", name: str = "corpus") -> Corpus:
     """Clean rows, quarantine and catalog from one written table of checked records."""
-    kept = records.keep_first(recipe_records(pages, id_col, html_col)).withColumn("ord", F.col("recipe_id"))
-    checked = store(audit.with_errors(store(kept, f"{name}-records")), f"{name}-checked")
+    structured = store(recipe_records(pages, id_col, html_col, name), f"{name}-records")
+    kept = records.keep_first(structured).withColumn("ord", F.col("recipe_id"))
+    checked = store(audit.with_errors(kept), f"{name}-checked")
     clean = audit.clean_rows(checked)
     return Corpus(clean, audit.anomalies(checked), audit.anomaly_counts(checked), catalog.build_catalog(clean))
 
