@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
-from quern.functions.text import extract_all, no_strings, replace_all, split_on, strip
+from quern.functions.text import bind, extract_all, no_strings, replace_all, split_on, strip
 
 STRICT_TEMPERATURE = r"\b(?:" + fixed.TEMPERATURE_PATTERN + r")\b"
 
@@ -19,16 +19,11 @@ def clean_step(text: Column) -> Column:
     return F.btrim(replace_all(text, r"(?U)\s+", " "), F.lit(" -:;"))
 
 
-def _bind(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def split_block(block: Column) -> Column:
     """Steps of one long block: at step markers, else between sentences; short fragments go."""
     marked = split_on(block, f"(?imU){fixed.BLOCK_STEP_PATTERN}")
     sentences = split_on(block, f"(?U){fixed.SENTENCE_BREAK_PATTERN}")
-    pieces = _bind(
+    pieces = bind(
         marked,
         lambda parts: F.when(
             (F.size(parts) == 1) & (F.length(block) > fixed.LONG_BLOCK_CHARS), sentences
@@ -94,7 +89,7 @@ def process_instructions(instructions: Column, strict_words: bool = False) -> Co
             found.alias("steps"), F.size(found).alias("step_count"), F.struct(*merged).alias("metadata")
         )
 
-    return _bind(steps, roll_up)
+    return bind(steps, roll_up)
 
 
 def instruction_status(instructions: Column, step_count: Column) -> Column:

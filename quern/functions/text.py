@@ -20,6 +20,11 @@ def no_strings() -> Column:
     return F.array().cast(STRINGS)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``, which may mention it many times."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def replace_all(text: Column, pattern: str, replacement: str = "") -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
 
@@ -137,11 +142,9 @@ def clean_text(text: Column) -> Column:
 
 def split_steps(text: Column) -> Column:
     """Steps of one instruction string: the first numbering style that yields several parts wins."""
-    found = F.lit(None).cast(STRINGS)
-    for pattern in reversed(fixed.STEP_SPLIT_PATTERNS):
-        parts = non_blank(split_on(text, f"(?iU){pattern}"))
-        found = F.when(F.size(parts) > 1, parts).otherwise(found)
-    return F.coalesce(found, F.array(text))
+    parted = [non_blank(split_on(text, f"(?iU){pattern}")) for pattern in fixed.STEP_SPLIT_PATTERNS]
+    several = [bind(parts, lambda found: F.when(F.size(found) > 1, found)) for parts in parted]
+    return F.coalesce(*several, F.array(text))
 
 
 # --- Phrases ---------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.cells import variant_kind
-from quern.functions.text import is_blank, no_strings, shuffled
+from quern.functions.text import bind, is_blank, no_strings, shuffled
 from quern.operators.harvest import as_text, items, member
 from quern.operators.records import kind_name
 from quern.operators.skew import broadcast_if_small
@@ -18,17 +18,17 @@ TEXT_FIELDS = ("cuisine", "category", "prep_time", "cook_time", "servings")
 
 def _checked_list(cell: Column, column: str, check) -> Column:
     """Messages about a JSON cell: syntax, then shape, then each element through ``check``."""
-    parsed = F.try_parse_json(cell)
-    problems = F.flatten(F.transform(items(parsed), check))
-    return (
-        F.when(F.coalesce(cell, F.lit("")) == "", no_strings())
-        .when(parsed.isNull(), F.array(F.lit(f"Invalid JSON in '{column}' column")))
-        .when(
-            variant_kind(parsed) != "ARRAY",
-            F.array(F.concat(F.lit(f"'{column}' JSON is not an array: "), kind_name(parsed))),
+    def problems(parsed: Column) -> Column:
+        return (
+            F.when(parsed.isNull(), F.array(F.lit(f"Invalid JSON in '{column}' column")))
+            .when(
+                variant_kind(parsed) != "ARRAY",
+                F.array(F.concat(F.lit(f"'{column}' JSON is not an array: "), kind_name(parsed))),
+            )
+            .otherwise(F.flatten(F.transform(items(parsed), check)))
         )
-        .otherwise(problems)
-    )
+
+    return F.when(F.coalesce(cell, F.lit("")) == "", no_strings()).otherwise(bind(F.try_parse_json(cell), problems))
 
 
 def _label(prefix: str, position: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql.functions import arrow_udf
 
 from quern.functions import fixed, text, words
 from quern.operators.skew import at_most, lookup_join
+from quern.sources.tables import store
 
 # A lexicon up to this many entries is sent to every executor; a larger one is joined.
 LEXICON_ROWS = 500_000
@@ -115,6 +116,7 @@ def _lemmatise_by_join(
 ) -> DataFrame:
     placed = df.select(key, F.posexplode(column).alias("item", "phrase"))
     placed = placed.select(key, "item", F.posexplode(F.split("phrase", " ")).alias("at", "token"))
+    placed = store(placed, "lemma-tokens")
     table = (verb_noun_forms if order == "vn" else noun_forms)(placed.select("token"), lexicon, irregular)
     named = lookup_join(placed, table, ["token"], "left").withColumn("lemma", F.coalesce("lemma", "token"))
     # Regrouping gives back one row per input row; a group is as large as that row was.
