@@ -49,38 +49,38 @@ UNICODE_FRACTIONS = {
 
 # Spellings that are recognised, by the unit they stand for.  Size words stand for no unit.
 UNIT_SPELLINGS = {
-    "teaspoon": "tsp, tsp., teaspoons",
-    "tablespoon": "tbsp, tbsp., tbs, tbs., tablespoons",
-    "cup": "c, c., cup, cups",
-    "fluid_ounce": "fl oz, fl. oz, fluid ounces",
-    "pint": "pt, pt., pints",
-    "quart": "qt, qt., quarts",
-    "gallon": "gal, gal., gallons",
-    "milliliter": "ml, ml., milliliters, millilitres",
-    "liter": "l, l., liters, litres",
-    "ounce": "oz, oz., ounces",
-    "pound": "lb, lb., lbs, lbs., pounds",
-    "gram": "g, g., grams, gm, gm.",
-    "kilogram": "kg, kg., kilograms, kilogrammes",
-    "": "whole, wholes, large, medium, small",
-    "package": "pkg, pkg., pkgs, packages",
-    "can": "can, cans",
-    "jar": "jar, jars",
-    "bottle": "bottle, bottles",
-    "slice": "slice, slices",
-    "piece": "piece, pieces",
-    "pinch": "pinch, pinches",
-    "dash": "dash, dashes",
-    "handful": "handful, handfuls",
-    "bunch": "bunch, bunches",
-    "clove": "clove, cloves",
-    "stalk": "stalk, stalks",
-    "sprig": "sprig, sprigs",
-    "strip": "strip, strips",
-    "stick": "stick, sticks",
-    "cube": "cube, cubes",
-    "envelope": "envelope, envelopes",
-    "sheet": "sheet, sheets",
+    "teaspoon": ["tsp", "tsp.", "teaspoons"],
+    "tablespoon": ["tbsp", "tbsp.", "tbs", "tbs.", "tablespoons"],
+    "cup": ["c", "c.", "cup", "cups"],
+    "fluid_ounce": ["fl oz", "fl. oz", "fluid ounces"],
+    "pint": ["pt", "pt.", "pints"],
+    "quart": ["qt", "qt.", "quarts"],
+    "gallon": ["gal", "gal.", "gallons"],
+    "milliliter": ["ml", "ml.", "milliliters", "millilitres"],
+    "liter": ["l", "l.", "liters", "litres"],
+    "ounce": ["oz", "oz.", "ounces"],
+    "pound": ["lb", "lb.", "lbs", "lbs.", "pounds"],
+    "gram": ["g", "g.", "grams", "gm", "gm."],
+    "kilogram": ["kg", "kg.", "kilograms", "kilogrammes"],
+    "": ["whole", "wholes", "large", "medium", "small"],
+    "package": ["pkg", "pkg.", "pkgs", "packages"],
+    "can": ["can", "cans"],
+    "jar": ["jar", "jars"],
+    "bottle": ["bottle", "bottles"],
+    "slice": ["slice", "slices"],
+    "piece": ["piece", "pieces"],
+    "pinch": ["pinch", "pinches"],
+    "dash": ["dash", "dashes"],
+    "handful": ["handful", "handfuls"],
+    "bunch": ["bunch", "bunches"],
+    "clove": ["clove", "cloves"],
+    "stalk": ["stalk", "stalks"],
+    "sprig": ["sprig", "sprigs"],
+    "strip": ["strip", "strips"],
+    "stick": ["stick", "sticks"],
+    "cube": ["cube", "cubes"],
+    "envelope": ["envelope", "envelopes"],
+    "sheet": ["sheet", "sheets"],
 }
 
 # Canonical singulars that are no spelling of their own unless the caller asks for them.

@@ -46,7 +46,7 @@ def unit_table(include_canonical: bool = False) -> dict[str, str]:
     table = {
         spelling: unit
         for unit, spellings in fixed.UNIT_SPELLINGS.items()
-        for spelling in spellings.split(", ")
+        for spelling in spellings
     }
     if include_canonical:
         table.update({word: word.replace(" ", "_") for word in fixed.CANONICAL_SINGULARS})

@@ -9,21 +9,26 @@ from quern.operators import records
 from quern.plans.checks.registry import Check
 from quern.plans.tables import derive, plain
 
+KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 SENTENCE = "Whisk the batch number X in a mixing bowl until smooth"
 
-# form 0..4: an oven step, a pan step, a bracketed step, a long block of five sentences, a blank one.
-BUILT = """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, form, number, minutes,
-  CASE form
+def step_text(form: str) -> str:
+    """0 an oven step, 1 a pan step, 2 a bracketed step, 3 a long block of five sentences, 4 a blank one."""
+    return f"""CASE {form}
     WHEN 0 THEN concat('Step ', CAST(l_linenumber AS STRING), ': Bake  at ', number, '°F for ', minutes, ' minutes in the Oven;')
     WHEN 1 THEN concat(CAST(l_linenumber AS STRING), '. Heat the pan on medium-high heat for about ', number)
     WHEN 2 THEN concat('(', CAST(l_linenumber AS STRING), ') Slowly stir with a wooden spoon overnight - ')
-    WHEN 3 THEN concat('STEP ', CAST(l_linenumber AS STRING), ') ', repeat(concat(replace('""" + SENTENCE + """', 'X', number), '. '), 5), 'Ok.')
-    ELSE concat(CAST(l_linenumber AS STRING), ')  ') END AS step
+    WHEN 3 THEN concat('STEP ', CAST(l_linenumber AS STRING), ') ', repeat(concat(replace('{SENTENCE}', 'X', number), '. '), 5), 'Ok.')
+    ELSE concat(CAST(l_linenumber AS STRING), ')  ') END"""
+
+
+BUILT = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, form, number, minutes,
+  {step_text('form')} AS step, {step_text('(form + 1) % 5')} AS next_step
 FROM (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 5 AS form,
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_partkey % 5 AS form,
     CAST(CAST(l_quantity AS INT) + 300 AS STRING) AS number, CAST(CAST(l_quantity AS INT) AS STRING) AS minutes
-  FROM {lineitem}
+  FROM {{lineitem}}
 )
 """
 
@@ -75,25 +80,28 @@ def i3_step_facts(spark, sf_dir):
 
 
 def recipes(spark, sf_dir):
-    """One recipe per order with its steps in order; recipes of priority-low orders have none."""
-    rows = derive(spark, sf_dir, f"SELECT b.*, o_orderpriority FROM ({BUILT}) b JOIN {{orders}} ON l_orderkey = o_orderkey")
-    position = F.struct("l_linenumber", "l_partkey", "l_suppkey", "step")
-    grouped = rows.groupBy("l_orderkey", "o_orderpriority").agg(F.array_sort(F.collect_list(position)).alias("rows"))
-    listed = F.when(F.col("o_orderpriority") == "5-LOW", F.array().cast("array<string>")).otherwise(F.col("rows")["step"])
-    return grouped.select(F.col("l_orderkey").alias("recipe_id"), listed.alias("instructions"))
+    """One recipe per row: its step, the next form, and the first again; returned rows have none."""
+    listed = F.when(F.col("l_returnflag") == "R", F.array().cast("array<string>")).otherwise(
+        F.array("step", "next_step", "step")
+    )
+    return built(spark, sf_dir).select(*KEY, listed.alias("instructions"))
+
+
+def keyed(df, *columns):
+    return df.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", "l_suppkey", *columns)
 
 
 def i4_rollup(spark, sf_dir):
-    done = records.process_instructions(recipes(spark, sf_dir)).select("recipe_id", "processed_instructions.*")
-    return done.select(
-        "recipe_id", F.col("step_count").cast("bigint").alias("step_count"),
+    done = records.process_instructions(recipes(spark, sf_dir)).select(*KEY, "processed_instructions.*")
+    return keyed(
+        done, F.col("step_count").cast("bigint").alias("step_count"),
         *[F.array_join(F.col("metadata")[name], "|").alias(name) for name in records.METADATA],
     )
 
 
 def i5_status(spark, sf_dir):
     done = records.process_instructions(recipes(spark, sf_dir))
-    return done.select("recipe_id", F.col("instruction_status").alias("status"))
+    return keyed(done, F.col("instruction_status").alias("status"))
 
 
 def i6_metrics(spark, sf_dir):
@@ -101,32 +109,26 @@ def i6_metrics(spark, sf_dir):
     return done.withColumn("average_steps", F.round("average_steps", 6))
 
 
-# First appearance order of the facts inside a recipe, from the known facts of each step.
-ROLLUP = EXPECTED + """, placed AS (
-  SELECT e.*, o_orderpriority, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth
-  FROM expected e JOIN orders ON l_orderkey = o_orderkey
-), recipe AS (
-  SELECT l_orderkey AS recipe_id, bool_or(o_orderpriority = '5-LOW') AS bare, sum(pieces) AS steps FROM placed GROUP BY ALL
-), facts AS (
-  SELECT l_orderkey, kind, fact, min(nth * 10 + i) AS first FROM (
-    SELECT l_orderkey, nth, kind, unnest(string_split(facts, '|')) AS fact, generate_subscripts(string_split(facts, '|'), 1) AS i
-    FROM (SELECT l_orderkey, nth, o_orderpriority, 'temperatures' AS kind, temperatures AS facts FROM placed
-          UNION ALL SELECT l_orderkey, nth, o_orderpriority, 'times', times FROM placed
-          UNION ALL SELECT l_orderkey, nth, o_orderpriority, 'equipment', equipment FROM placed)
-    WHERE o_orderpriority <> '5-LOW' AND facts <> '')
-  GROUP BY ALL
-), merged AS (
-  SELECT l_orderkey AS recipe_id,
-    string_agg(fact, '|' ORDER BY first) FILTER (kind = 'temperatures') AS temperatures,
-    string_agg(fact, '|' ORDER BY first) FILTER (kind = 'times') AS times,
-    string_agg(fact, '|' ORDER BY first) FILTER (kind = 'equipment') AS equipment
-  FROM facts GROUP BY ALL
-), rolled AS (
-  SELECT recipe_id, bare, CASE WHEN bare THEN 0 ELSE CAST(steps AS BIGINT) END AS step_count,
-    coalesce(temperatures, '') AS temperatures, coalesce(times, '') AS times, coalesce(equipment, '') AS equipment
-  FROM recipe LEFT JOIN merged USING (recipe_id)
-)
-"""
+# The facts of two neighbouring forms never overlap, so a recipe has those of its step, then of the next.
+FACTS = {
+    "temperatures": "CASE {form} WHEN 0 THEN concat(number, '°F') WHEN 1 THEN 'medium|high heat' WHEN 2 THEN 'low' END",
+    "times": "CASE {form} WHEN 0 THEN concat(minutes, ' minutes') WHEN 1 THEN concat('for about ', number) WHEN 2 THEN 'overnight' WHEN 3 THEN 'until smooth' END",
+    "equipment": "CASE {form} WHEN 0 THEN 'oven' WHEN 1 THEN 'pan' WHEN 2 THEN 'wooden spoon' WHEN 3 THEN 'whisk|mixing bowl' END",
+}
+PIECES = "CASE {form} WHEN 3 THEN 5 WHEN 4 THEN 0 ELSE 1 END"
+
+
+def both(expression: str, how: str) -> str:
+    here, after = expression.format(form="form"), expression.format(form="(form + 1) % 5")
+    return how.format(here, after)
+
+
+ROLLUP = EXPECTED + ", rolled AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' AS bare, " + (
+    f"CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE {both(PIECES, '2 * {} + {}')} END AS BIGINT) AS step_count, "
+) + ", ".join(
+    f"CASE WHEN l_returnflag = 'R' THEN '' ELSE {both(expression, 'concat_ws(chr(124), {}, {})')} END AS {name}"
+    for name, expression in FACTS.items()
+) + " FROM expected)"
 
 CHECKS = {
     "i1_clean_step": Check(i1_clean_step, EXPECTED + "SELECT step, clean, count(*) AS n FROM expected GROUP BY ALL"),
@@ -136,9 +138,9 @@ CHECKS = {
         FROM expected GROUP BY step"""),
     "i3_step_facts": Check(i3_step_facts, EXPECTED + """
         SELECT step, temperatures, times, equipment, count(*) AS n FROM expected GROUP BY ALL"""),
-    "i4_rollup": Check(i4_rollup, ROLLUP + "SELECT recipe_id, step_count, temperatures, times, equipment FROM rolled"),
+    "i4_rollup": Check(i4_rollup, ROLLUP + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, step_count, temperatures, times, equipment FROM rolled"),
     "i5_status": Check(i5_status, ROLLUP + """
-        SELECT recipe_id, CASE WHEN bare THEN 'no_instructions' WHEN step_count > 0 THEN 'success' ELSE 'failed' END AS status
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN bare THEN 'no_instructions' WHEN step_count > 0 THEN 'success' ELSE 'failed' END AS status
         FROM rolled"""),
     "i6_metrics": Check(i6_metrics, ROLLUP + """
         SELECT count(*) AS processed, count(*) FILTER (bare) AS no_instructions,
