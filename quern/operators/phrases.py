@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text
-from quern.operators.skew import broadcast_if_small, settled
+from quern.operators.skew import BROADCAST_ROWS, broadcast_if_small, settle
 from quern.sources.tables import store
 
 DEFAULT_LIMIT = 15
@@ -102,24 +102,24 @@ def prepare_queries(queries: DataFrame, id_col: str = "query_id", text_col: str
     )
 
 
-def _by_prefix(index: PhraseIndex, keys: DataFrame) -> DataFrame:
-    """``keys(query_id, tier, prefix)`` joined with the prefix table."""
-    return index.prefixes.join(broadcast_if_small(keys), "prefix").select("query_id", "tier", "phrase", "cnt")
+def _hinted(keys: DataFrame, few: bool) -> DataFrame:
+    """Broadcast keys that are known to be few; count the others first."""
+    return F.broadcast(keys) if few else broadcast_if_small(keys)
 
 
-def prefix_matches(index: PhraseIndex, prepared: DataFrame) -> DataFrame:
+def prefix_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False) -> DataFrame:
     """Tier 1: phrases that start with the query.  Tier 2: with its words but the last one stemmed."""
     direct = F.struct(F.lit(1).alias("tier"), F.col("q").alias("prefix"))
     stemmed = F.when(F.col("stemmed_q") != F.col("q"), F.struct(F.lit(2).alias("tier"), F.col("stemmed_q").alias("prefix")))
     keys = prepared.where(F.size("tokens") > 0).select("query_id", F.inline(F.array_compact(F.array(direct, stemmed))))
-    return _by_prefix(index, keys)
+    return index.prefixes.join(_hinted(keys, few), "prefix").select("query_id", "tier", "phrase", "cnt")
 
 
-def phrase_word_matches(index: PhraseIndex, prepared: DataFrame) -> DataFrame:
+def phrase_word_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False) -> DataFrame:
     """Tier 3, several words: every complete word by stem, and some word that starts with the last."""
     several = prepared.where(F.size("tokens") >= 2)
     keys = several.select("query_id", F.explode("stems").alias("stem"), F.size("stems").alias("needed"), "last")
-    hits = index.words.join(broadcast_if_small(keys), "stem")
+    hits = index.words.join(_hinted(keys, few), "stem")
     full = hits.groupBy("query_id", "phrase", "cnt", "needed", "last").agg(F.count(F.lit(1)).alias("found"))
     begins = F.exists(F.split("phrase", " "), lambda word: F.startswith(word, F.col("last")))
     return full.where((F.col("found") == F.col("needed")) & begins).select(
@@ -127,16 +127,16 @@ def phrase_word_matches(index: PhraseIndex, prepared: DataFrame) -> DataFrame:
     )
 
 
-def word_prefix_matches(index: PhraseIndex, prepared: DataFrame) -> DataFrame:
+def word_prefix_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False) -> DataFrame:
     """Tier 3, one word: any word of the phrase starts with the query."""
     single = prepared.where(F.size("tokens") == 1).select("query_id", F.col("q").alias("prefix"))
     split = index.phrases.select("phrase", "cnt", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
     cuts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substr(F.col("word"), F.lit(1), n))
-    hits = split.select("phrase", "cnt", F.explode(cuts).alias("prefix")).join(broadcast_if_small(single), "prefix")
+    hits = split.select("phrase", "cnt", F.explode(cuts).alias("prefix")).join(_hinted(single, few), "prefix")
     return hits.select("query_id", F.lit(3).alias("tier"), "phrase", "cnt")
 
 
-def trailing_matches(index: PhraseIndex, prepared: DataFrame) -> DataFrame:
+def trailing_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False) -> DataFrame:
     """Tier 4: the longest run of last words that some phrase starts with."""
     several = prepared.where(F.size("tokens") >= 2)
     slices = F.transform(
@@ -147,7 +147,7 @@ def trailing_matches(index: PhraseIndex, prepared: DataFrame) -> DataFrame:
         ),
     )
     keys = several.select("query_id", F.inline(slices)).withColumn("tier", F.lit(4))
-    hits = index.prefixes.join(broadcast_if_small(keys), "prefix")
+    hits = index.prefixes.join(_hinted(keys, few), "prefix")
     longest = hits.groupBy("query_id").agg(F.max("words").alias("words"))
     return hits.join(longest, ["query_id", "words"], "left_semi").select("query_id", "tier", "phrase", "cnt")
 
@@ -174,21 +174,26 @@ def suggest(
         id_col, text_col = "query_id", "query"
     # Both intermediate tables are as small as the batch; without them every tier would repeat the
     # stemming and the last tier would repeat the others.
-    prepared = settled(prepare_queries(queries, id_col, text_col), "suggest-queries")
+    prepared, asked = settle(prepare_queries(queries, id_col, text_col), "suggest-queries")
+    tokens = None if asked is None else asked["tokens"].to_pylist()
+    few = tokens is not None and sum(map(len, tokens)) <= BROADCAST_ROWS
     found = (
-        prefix_matches(index, prepared)
-        .unionByName(phrase_word_matches(index, prepared))
-        .unionByName(word_prefix_matches(index, prepared))
-    )
-    matched = settled(merge_tiers(found, limit), "suggest-matches")
-    unmatched = prepared.join(matched.select("query_id").distinct(), "query_id", "left_anti")
-    ranked = matched.unionByName(merge_tiers(trailing_matches(index, unmatched), limit))
-    # A blank query gets the same few phrases as any other blank query.
-    top = most_frequent(index, limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "phrase")))
-    blank = prepared.where(F.size("tokens") == 0).select("query_id", F.lit(0).alias("tier"))
-    ranked = ranked.unionByName(
-        blank.join(F.broadcast(top.withColumn("tier", F.lit(0))), "tier").select("query_id", "phrase", "tier", "cnt", "rank")
+        prefix_matches(index, prepared, few)
+        .unionByName(phrase_word_matches(index, prepared, few))
+        .unionByName(word_prefix_matches(index, prepared, few))
     )
+    ranked, hits = settle(merge_tiers(found, limit), "suggest-matches")
+    if asked is None or hits is None or not set(asked["query_id"].to_pylist()) <= set(hits["query_id"].to_pylist()):
+        unmatched = prepared.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+        tails = merge_tiers(trailing_matches(index, unmatched, few), limit)
+        ranked, _ = settle(ranked.unionByName(tails), "suggest-ranked")
+    if tokens is None or 0 in map(len, tokens):
+        # A blank query gets the same few phrases as any other blank query.
+        place = F.row_number().over(Window.orderBy(F.desc("cnt"), "phrase"))
+        top = most_frequent(index, limit).withColumns({"rank": place, "tier": F.lit(0)})
+        blank = prepared.where(F.size("tokens") == 0).select("query_id", F.lit(0).alias("tier"))
+        shown = blank.join(F.broadcast(top), "tier").select("query_id", "phrase", "tier", "cnt", "rank")
+        ranked, _ = settle(ranked.unionByName(shown), "suggest-ranked")
     labelled = index.phrases.select("phrase", F.array_join("sources", ", ").alias("source"))
-    named = labelled.join(broadcast_if_small(ranked), "phrase")
+    named = labelled.join(ranked, "phrase")
     return named.select("query_id", "rank", F.col("phrase").alias("text"), "source", "tier")

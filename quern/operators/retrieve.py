@@ -6,11 +6,12 @@ document id, so the order does not depend on how sums were partitioned.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.operators.skew import broadcast_if_small, settled
+from quern.operators.skew import broadcast_if_small, settle
 from quern.operators.tfidf import TextIndex, term_counts
 
 # Up to this many distinct query terms travel as literals, so that row groups can be skipped.
@@ -23,10 +24,12 @@ def one_query(index: TextIndex, query: str) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"))
 
 
-def _only_terms(table: DataFrame, wanted: DataFrame) -> DataFrame:
+def _only_terms(table: DataFrame, wanted: pa.Table | None) -> DataFrame:
     """Restrict an index table to the terms of a settled table, if few, by a filter the parquet reader knows."""
-    few = wanted.select("term").distinct().limit(PUSHED_TERMS + 1).toArrow()["term"].to_pylist()
-    return table.where(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else table
+    if wanted is None:
+        return table
+    terms = wanted["term"].unique().to_pylist()
+    return table.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else table
 
 
 def query_vectors(index: TextIndex, queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -37,8 +40,8 @@ def query_vectors(index: TextIndex, queries: DataFrame, id_col: str = "query_id"
     if index.analyzer.stopwords:
         stop = list(index.analyzer.stopwords)
         tokenised = tokenised.withColumn("tokens", F.filter("tokens", lambda token: ~token.isin(*stop)))
-    counts = settled(term_counts(tokenised, index.analyzer, key="query_id"), "query-terms")
-    weighted = _only_terms(index.terms.select("term", "idf"), counts).join(counts, "term")
+    counts, wanted = settle(term_counts(tokenised, index.analyzer, key="query_id"), "query-terms")
+    weighted = _only_terms(index.terms.select("term", "idf"), wanted).join(counts, "term")
     weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
     return weighted.select("query_id", "term", (F.col("raw") / norm).alias("query_weight"))
@@ -46,8 +49,8 @@ def query_vectors(index: TextIndex, queries: DataFrame, id_col: str = "query_id"
 
 def scores(index: TextIndex, vectors: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score)`` for every document that shares a term with the query."""
-    vectors = settled(vectors, "query-vectors")
-    matched = _only_terms(index.postings.select("doc_id", "term", "weight"), vectors).join(vectors, "term")
+    vectors, wanted = settle(vectors, "query-vectors")
+    matched = _only_terms(index.postings.select("doc_id", "term", "weight"), wanted).join(vectors, "term")
     summed = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
     return summed.where(F.col("score") > 0)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +31,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str) -> tuple[DataFrame, pa.Table | None]:
     """Compute a query-sided table once, for the several steps that read it.
 
-    A small one becomes literal rows of the plan, which costs one short job; a larger one is written.
-    The result carries a broadcast hint if its row count proved it small enough.
+    A small one becomes literal rows of the plan, which costs one short job, and its rows are returned,
+    too; a larger one is written.  A broadcast hint is set if the row count proved it small enough.
     """
     found = df.limit(LOCAL_ROWS + 1).toArrow()
     if found.num_rows <= LOCAL_ROWS:
-        return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
-    return broadcast_if_small(store(df, name))
+        return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)), found
+    return broadcast_if_small(store(df, name)), None
 
 
 def lookup_join(
