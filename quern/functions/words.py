@@ -133,6 +133,31 @@ DETACH_VERB = (
 )
 
 
+def form_finder(lexicon: dict[str, frozenset], irregular: dict[tuple[str, str], list[str]], order: str):
+    """Dictionary form of a word: the parts of speech in ``order`` until one changes it."""
+    known: dict[str, str] = {}
+    rules = {"n": DETACH_NOUN, "v": DETACH_VERB}
+
+    def find(word: str, pos: str) -> str:
+        made = irregular.get((word, pos)) or [
+            word[: len(word) - len(ending)] + replacement for ending, replacement in rules[pos] if word.endswith(ending)
+        ]
+        listed = [form for form in [word, *made] if form in lexicon[pos]]
+        return min(listed, key=len) if listed else word
+
+    def lemma(word: str) -> str:
+        if word not in known:
+            form = word
+            for pos in order:
+                form = find(word, pos)
+                if form != word:
+                    break
+            known[word] = form
+        return known[word]
+
+    return lemma
+
+
 # --- Batch plumbing ---------------------------------------------------------------------------
 def map_words(values: pa.Array, change: Callable[[str], str]) -> pa.Array:
     """Apply ``change`` to each distinct string of a flat Arrow column."""

@@ -68,30 +68,6 @@ def verb_noun_forms(vocabulary: DataFrame, lexicon: DataFrame, irregular: DataFr
 
 
 # --- Lemmatising token lists -----------------------------------------------------------------------------------
-def _form_finder(lexicon: dict[str, frozenset], irregular: dict[tuple[str, str], list[str]], order: str):
-    known: dict[str, str] = {}
-    rules = {"n": words.DETACH_NOUN, "v": words.DETACH_VERB}
-
-    def find(word: str, pos: str) -> str:
-        made = irregular.get((word, pos)) or [
-            word[: len(word) - len(ending)] + replacement for ending, replacement in rules[pos] if word.endswith(ending)
-        ]
-        listed = [form for form in [word, *made] if form in lexicon[pos]]
-        return min(listed, key=len) if listed else word
-
-    def lemma(word: str) -> str:
-        if word not in known:
-            form = word
-            for pos in order:
-                form = find(word, pos)
-                if form != word:
-                    break
-            known[word] = form
-        return known[word]
-
-    return lemma
-
-
 def _lemmatise_in_place(df: DataFrame, column: str, lexicon: DataFrame, order: str, irregular: DataFrame | None) -> DataFrame:
     context = df.sparkSession.sparkContext
     listed = {"n": set(), "v": set()}
@@ -101,7 +77,7 @@ def _lemmatise_in_place(df: DataFrame, column: str, lexicon: DataFrame, order: s
     for row in irregular.select("word", "pos", "lemma").collect() if irregular is not None else []:
         exceptions.setdefault((row.word, row.pos), []).append(row.lemma)
     shared = context.broadcast(({pos: frozenset(found) for pos, found in listed.items()}, exceptions))
-    make, per_list = _form_finder, words.map_word_lists
+    make, per_list = words.form_finder, words.map_word_lists
 
     @arrow_udf(text.STRINGS)
     def lemmatise(lists: pa.Array) -> pa.Array:
