@@ -122,7 +122,10 @@ def build_index(
     max_features: int | None = None,
     name: str = "index",
 ) -> TextIndex:
-    """Fit the index and write its tables."""
+    """Fit the index and write its tables.
+
+    ``id_col`` is unique; ``catalog.keep_last`` or ``records.keep_first`` make it so.
+    """
     n_docs = docs.count()
     counts = store(term_counts(tokens(docs, id_col, text_col, analyzer), analyzer), f"{name}-counts")
     terms = prune_terms(document_frequency(counts), n_docs, min_df, max_df, max_features)
