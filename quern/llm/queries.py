@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import neardup
+from quern.llm import langid, neardup
 from quern.plans.checks.registry import Check
 
 
@@ -13,6 +13,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(parts: int, rest: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == rest
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = F.coalesce(held_out(3, 1), F.lit(False))
+    model = langid.train(docs.where(~held), "doc_id", "text", "lang")
+    return langid.predict(docs, "doc_id", "text", model).withColumnRenamed("id", "doc_id").select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", "coverage", "n_grams"
+    )
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.groups(_read(spark, sf_dir, "documents"), "doc_id", "text", neardup.Sketch(words=4, percent=80))
     return found.select(
@@ -21,5 +34,6 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS = {
+    "op1_language_id": Check(language_id),
     "op5_near_duplicates": Check(near_duplicates),
 }
