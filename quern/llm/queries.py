@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, neardup
+from quern.llm import langid, neardup, quality
 from quern.plans.checks.registry import Check
 
 
@@ -26,6 +26,15 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held = F.coalesce(held_out(5, 0), F.lit(False))
+    network = quality.train(docs.where(~held), labels.where(~held), "doc_id", "text", "quality")
+    return quality.score(docs, "doc_id", "text", network).withColumnRenamed("id", "doc_id").select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.groups(_read(spark, sf_dir, "documents"), "doc_id", "text", neardup.Sketch(words=4, percent=80))
     return found.select(
@@ -35,5 +44,6 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHECKS = {
     "op1_language_id": Check(language_id),
+    "op2_quality": Check(quality_scores),
     "op5_near_duplicates": Check(near_duplicates),
 }
