@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, neardup, quality
+from quern.llm import langid, neardup, pii, quality
 from quern.plans.checks.registry import Check
 
 
@@ -42,8 +42,13 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 CHECKS = {
     "op1_language_id": Check(language_id),
     "op2_quality": Check(quality_scores),
     "op5_near_duplicates": Check(near_duplicates),
+    "op8_personal_data": Check(personal_data),
 }
