@@ -167,30 +167,34 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.n
     return found
 
 
-def _predict_batches(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    model: Model = shipped.value
+def _judge(column: pa.Array, model: Model) -> dict[str, np.ndarray]:
+    """The answer for every text of a column."""
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
+    column = column.fill_null("")
+    data, offsets = _normal(column)
+    n = len(column)
+    out = {"lang_pred": np.full(n, UNDETERMINED, dtype=object), "score": np.zeros(n), "coverage": np.zeros(n), "n_grams": np.zeros(n, np.int64)}
+    for lo, hi in flat.runs(offsets) if model.languages else ():
+        part, text = offsets[lo:hi + 1] - offsets[lo], data[offsets[lo]:offsets[hi]]
+        total, claimed = hits(text, part, model)
+        letters = _has_letter(text, part, column.slice(lo, hi - lo))
+        rate = claimed / np.maximum(total, 1)[:, None]
+        rest = np.maximum(rate - model.by_chance, 0) / (1 - model.by_chance)
+        top, sums = rest.max(axis=1), rest.sum(axis=1)
+        out["lang_pred"][lo:hi] = names[np.where(letters, rest.argmax(axis=1), len(model.languages))]
+        out["score"][lo:hi] = np.where(letters & (sums > 0), top / np.maximum(sums, 1e-300), 0.0)
+        out["coverage"][lo:hi] = np.where(letters, top, 0.0)
+        out["n_grams"][lo:hi] = total
+    return out
+
+
+def _predict_batches(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(1).fill_null("")
-        data, offsets = _normal(column)
-        for lo, hi in flat.runs(offsets):
-            part, text = offsets[lo:hi + 1] - offsets[lo], data[offsets[lo]:offsets[hi]]
-            total, claimed = hits(text, part, model)
-            letters = _has_letter(text, part, column.slice(lo, hi - lo))
-            if model.languages:
-                rate = claimed / np.maximum(total, 1)[:, None]
-                rest = np.maximum(rate - model.by_chance, 0) / (1 - model.by_chance)
-                best = np.where(letters, rest.argmax(axis=1), len(model.languages))
-                sums = rest.sum(axis=1)
-                top = rest.max(axis=1)
-                score = np.where(letters & (sums > 0), top / np.maximum(sums, 1e-300), 0.0)
-                cover = np.where(letters, top, 0.0)
-            else:
-                best, score, cover = np.zeros(hi - lo, np.int64), np.zeros(hi - lo), np.zeros(hi - lo)
-            yield pa.record_batch({
-                "id": batch.column(0).slice(lo, hi - lo), "lang_pred": pa.array(names[best], pa.string()),
-                "score": pa.array(score), "coverage": pa.array(cover), "n_grams": pa.array(total.astype(np.int64)),
-            })
+        found = _judge(batch.column(1), shipped.value)
+        yield pa.record_batch({
+            "id": batch.column(0), "lang_pred": pa.array(found["lang_pred"], pa.string()),
+            **{name: pa.array(found[name]) for name in ("score", "coverage", "n_grams")},
+        })
 
 
 def predict(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
@@ -206,3 +210,20 @@ def predict(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFr
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         lambda batches: _predict_batches(batches, shipped), f"id {kind}, lang_pred string, score double, coverage double, n_grams long"
     )
+
+
+def keep(docs: DataFrame, text_col: str, model: Model, min_grams: int, min_coverage: float) -> DataFrame:
+    """Rows of ``docs`` whose text is in a known language; nothing is shuffled, and only the text visits Python.
+
+    Rejected are undetermined texts, and texts of at least ``min_grams`` n-grams of which the likeliest language
+    claims less than ``min_coverage``.  If nothing was learned, texts with a letter cannot be judged and all stay.
+    """
+    if not model.languages:
+        return docs
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known(texts: pa.Array) -> pa.Array:
+        found = _judge(texts, shipped.value)
+        return pa.array((found["lang_pred"] != UNDETERMINED) & ~((found["n_grams"] >= min_grams) & (found["coverage"] < min_coverage)))
+
+    return docs.where(F.arrow_udf(known, "boolean")(F.col(text_col)))

@@ -237,6 +237,23 @@ def groups(docs: DataFrame, id_col: str, text_col: str, plan: Sketch = Sketch())
     )
 
 
+def keep_first(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that stand for their group in ``found``, with all their columns.
+
+    Of rows that repeat an id the one with the smallest text stays.  Rows with a NULL id, and every id whose texts
+    are empty, stand for themselves.
+    """
+    found = store(found.where("id IS NOT NULL").groupBy("id").agg(F.min("component_id").alias("root"), F.count("*").alias("n")), "found")
+    later = found.where("id <> root").select(F.col("id").alias(id_col))
+    repeated = found.where("id = root AND n > 1").select(F.col("id").alias(id_col))
+    once = docs.join(later.unionByName(repeated), id_col, "left_anti").select(*docs.columns)
+    first = (
+        docs.join(repeated, id_col, "left_semi").groupBy(id_col)
+        .agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("first")).select("first.*")
+    )
+    return once.unionByName(first)
+
+
 def links_between(docs: DataFrame, id_col: str, text_col: str, first: DataFrame, plan: Sketch) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect all classes that are linked, directly or over others."""
     entries = first.select("id", "n_shingles", F.explode("bands").alias("band"))

@@ -227,3 +227,21 @@ def score(docs: DataFrame, id_col: str, text_col: str, network: Network | None)
             yield pa.record_batch({"id": batch.column(0), "score": pa.array(_sigmoid(z))})
 
     return rows.mapInArrow(scored, f"id {kind}, score double")
+
+
+def keep(docs: DataFrame, text_col: str, network: Network | None, threshold: float) -> DataFrame:
+    """Rows of ``docs`` whose score reaches ``threshold`` (all, without a network); only the text visits Python."""
+    if network is None:
+        return docs
+    shipped = docs.sparkSession.sparkContext.broadcast(network)
+
+    def good(texts: pa.Array) -> pa.Array:
+        net = shipped.value
+        data, offsets = flat.utf8(texts)
+        kept = [np.zeros(0, dtype=bool)]
+        for lo, hi in flat.runs(offsets):
+            x = features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            kept.append(_sigmoid(_forward(np.clip((x - net.mean) / net.scale, -8, 8), net.weights)[0]) >= threshold)
+        return pa.array(np.concatenate(kept))
+
+    return docs.where(F.arrow_udf(good, "boolean")(F.col(text_col)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, neardup, pii, quality
+from quern.llm import langid, neardup, packing, pii, quality
 from quern.plans.checks.registry import Check
 
 
@@ -46,9 +46,17 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return packing.pack(
+        _read(spark, sf_dir, "documents"), "doc_id", packing.n_words(text), F.col("source"), packing.normal_key(text)
+    ).withColumnRenamed("id", "doc_id")
+
+
 CHECKS = {
     "op1_language_id": Check(language_id),
     "op2_quality": Check(quality_scores),
+    "op4_packing": Check(packed_documents),
     "op5_near_duplicates": Check(near_duplicates),
     "op8_personal_data": Check(personal_data),
 }
