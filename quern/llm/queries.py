@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, neardup, packing, pii, quality
+from quern.llm import langid, neardup, packing, pii, quality, topk, warc
 from quern.plans.checks.registry import Check
 
 
@@ -53,10 +53,46 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+NEAREST_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS cells FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.cells, c.cells)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+
+def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(_read(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return warc.read(archive).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+last AS (SELECT *, strlen(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS owner FROM p)
+SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest,
+    CASE WHEN n < 1000 OR page_id IS NOT DISTINCT FROM owner THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN n < 1000 OR page_id IS NOT DISTINCT FROM owner THEN NULL ELSE owner END AS refers_to, url
+FROM last
+"""
+
+
 CHECKS = {
     "op1_language_id": Check(language_id),
     "op2_quality": Check(quality_scores),
+    "op3_nearest_vectors": Check(nearest_vectors, NEAREST_SQL),
     "op4_packing": Check(packed_documents),
     "op5_near_duplicates": Check(near_duplicates),
     "op8_personal_data": Check(personal_data),
+    "op9_web_archive": Check(web_archive, ARCHIVE_SQL),
 }
