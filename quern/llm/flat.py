@@ -16,6 +16,9 @@ RUN_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Bytes that are in no term: everything in ASCII but letters and digits.
+NO_TERM = np.ones(256, dtype=bool)
+NO_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -54,9 +57,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word ``[^ \\t-\\r]+``, and the document it stands in."""
-    inside = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes outside ``gaps`` (white space), and the document it stands in."""
+    inside = ~gaps[data]
     bounds = offsets[:-1][np.diff(offsets) > 0]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
@@ -69,14 +72,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word (A-Z lowered) and the document it stands in.
 
     A word's hash is the sum of a scrambled value for every (place in the word, byte).
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    starts, ends, doc = words(data, offsets)
+    starts, ends, doc = words(data, offsets, gaps)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     place = np.arange(len(data), dtype=np.int64)
@@ -87,7 +92,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     code += np.uint64(1)
     code *= _SPREAD
     mix(code)
-    code[_SPACE[data]] = 0
+    code[gaps[data]] = 0
     return mix(np.add.reduceat(code, starts)), doc
 
 

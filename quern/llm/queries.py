@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, neardup, packing, pii, quality, topk, warc
+from quern.llm import imatch, langid, neardup, packing, pii, quality, topk, warc
 from quern.plans.checks.registry import Check
 
 
@@ -42,6 +42,12 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    terms = imatch.lexicon(docs, "text")
+    return imatch.compare_with_next(docs, "doc_id", "text", terms).withColumnRenamed("id", "doc_id")
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -93,6 +99,7 @@ CHECKS = {
     "op3_nearest_vectors": Check(nearest_vectors, NEAREST_SQL),
     "op4_packing": Check(packed_documents),
     "op5_near_duplicates": Check(near_duplicates),
+    "op7_document_fingerprints": Check(document_fingerprints),
     "op8_personal_data": Check(personal_data),
     "op9_web_archive": Check(web_archive, ARCHIVE_SQL),
 }
