@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import imatch, langid, neardup, packing, pii, quality, topk, warc
+from quern.llm import imatch, langid, neardup, packing, pieces, pii, quality, topk, warc
 from quern.plans.checks.registry import Check
 
 
@@ -42,6 +42,13 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def piece_ids(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    return pieces.encode(_read(spark, sf_dir, "documents"), "doc_id", "text", pieces.load(model)).withColumnRenamed("id", "doc_id")
+
+
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     terms = imatch.lexicon(docs, "text")
@@ -99,6 +106,7 @@ CHECKS = {
     "op3_nearest_vectors": Check(nearest_vectors, NEAREST_SQL),
     "op4_packing": Check(packed_documents),
     "op5_near_duplicates": Check(near_duplicates),
+    "op6_piece_ids": Check(piece_ids),
     "op7_document_fingerprints": Check(document_fingerprints),
     "op8_personal_data": Check(personal_data),
     "op9_web_archive": Check(web_archive, ARCHIVE_SQL),
