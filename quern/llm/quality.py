@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             })
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = texts.select("id", "text", "positive").mapInArrow(rows, f"id {kind}, positive boolean, x array<double>").toArrow()
+    found = texts.select("id", "text", "positive").mapInArrow(rows, f"id {kind}, positive boolean, x array<double>")
+    found = found.dropDuplicates(["id"]).toArrow()
     found = found.take(pa.array(np.argsort(np.array(found["id"].to_pylist()), kind="stable")))
     x = np.array(found["x"].to_pylist())
     return fit(x, np.array(found["positive"].to_pylist(), dtype=bool), plan)

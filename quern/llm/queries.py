@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import imatch, langid, neardup, packing, pieces, pii, quality, topk, warc
+from quern.llm import blocklabel, imatch, langid, neardup, packing, pieces, pii, quality, topk, warc
 from quern.plans.checks.registry import Check
 
 
@@ -100,6 +100,12 @@ FROM last
 """
 
 
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    model = blocklabel.train(pages, "page_id", "html")
+    return blocklabel.extract(pages, "page_id", "url", "html", model).withColumnRenamed("id", "page_id")
+
+
 CHECKS = {
     "op1_language_id": Check(language_id),
     "op2_quality": Check(quality_scores),
@@ -110,4 +116,5 @@ CHECKS = {
     "op7_document_fingerprints": Check(document_fingerprints),
     "op8_personal_data": Check(personal_data),
     "op9_web_archive": Check(web_archive, ARCHIVE_SQL),
+    "op10_main_text": Check(main_text),
 }
