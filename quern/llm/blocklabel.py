@@ -24,6 +24,8 @@ from quern.llm import flat, sample
 from quern.llm.html_blocks import Block, blocks
 
 PATH_BINS, WORD_BINS = 1024, 64
+# Word bins and plain numbers of a block.
+DENSE = WORD_BINS + 12
 # Path words that page authors put on what is not the article, and on what is.
 AWAY = set(
     "nav header footer aside form menu dialog button select head figure-ad ad ads advert advertisement advertising adsense banner promo "
@@ -41,9 +43,9 @@ class Plan:
 
     pages: int = 240
     page_chars: int = 40_000
-    variants: int = 2
+    variants: int = 3
     hidden: int = 20
-    epochs: int = 8
+    epochs: int = 9
     batch: int = 32
     rate: float = 8e-3
     longest: int = 100
@@ -75,6 +77,14 @@ class _Bins(dict):
         return found
 
 
+def _deepest(path: tuple[str, ...], names: set[str]) -> int:
+    """Where in a path the last of some words stands; -1 if none does."""
+    for at in range(len(path) - 1, -1, -1):
+        if path[at].split(":")[-1] in names:
+            return at
+    return -1
+
+
 def page_features(pages: list[list[Block]], bins: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Path bins of all blocks in a row, how many each has, and the dense part; blocks of all pages follow each other."""
     all_blocks = [b for page in pages for b in page]
@@ -89,7 +99,7 @@ def page_features(pages: list[list[Block]], bins: dict[str, int]) -> tuple[np.nd
         counts[at] = len(found)
     data, offsets = flat.utf8(pa.array([b.text for b in all_blocks], pa.large_string()))
     n = len(all_blocks)
-    dense = np.zeros((n, WORD_BINS + 9), np.float32)
+    dense = np.zeros((n, DENSE), np.float32)
     for lo, hi in flat.runs(offsets):
         part = offsets[lo:hi + 1] - offsets[lo]
         hashes, owner = flat.word_hashes(data[offsets[lo]:offsets[hi]], part, gaps=flat.NO_TERM)
@@ -111,6 +121,9 @@ def page_features(pages: list[list[Block]], bins: dict[str, int]) -> tuple[np.nd
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)
     dense[:, at + 6] = (np.arange(n) - first) / np.maximum(np.repeat(lengths, lengths) - 1, 1)
     dense[:, at + 7] = 1.0
+    for k, block in enumerate(all_blocks):
+        away, main = _deepest(block.path, AWAY), _deepest(block.path, ARTICLE)
+        dense[k, at + 8:at + 11] = away >= 0, main >= 0, away > main
     return np.array(ids, np.int64), counts, dense
 
 
@@ -255,7 +268,7 @@ def rearranged(page: list[Block], phrases: list[str], rng: np.random.Generator)
         if rng.random() < 0.15:
             items = "".join(f"<li>{yes}{one(main)[:int(rng.integers(10, 90))]}</li>" for _ in range(rng.integers(2, 5)))
             body.append(f"<ul>{items}</ul>" if rng.random() < 0.7 else f"<ol>{items}</ol>")
-        if rng.random() < 0.08:
+        if rng.random() < 0.15:
             body.append(junk())
     before = [f"<header>{no}{pick()[:50]}{links(4)}</header>"] if rng.random() < 0.6 else []
     before += [junk() for _ in range(rng.integers(0, 4))]
@@ -292,9 +305,8 @@ def fit(pages: list[list[Block]], plan: Plan = Plan()) -> Model:
             if lesson[0]:
                 lessons.append((lesson[0][:plan.longest], lesson[1][:plan.longest]))
     h, bins = plan.hidden, _Bins()
-    dense_width = WORD_BINS + 9
     weights = [
-        rng.normal(0, 0.05, (PATH_BINS, 8 * h)), rng.normal(0, 0.1, (dense_width, 8 * h)),
+        rng.normal(0, 0.05, (PATH_BINS, 8 * h)), rng.normal(0, 0.1, (DENSE, 8 * h)),
         rng.normal(0, 1 / np.sqrt(h), (h, 4 * h)), rng.normal(0, 1 / np.sqrt(h), (h, 4 * h)), rng.normal(0, 0.2, 2 * h + 1),
     ]
     weights = [w.astype(np.float32) for w in weights]
