@@ -114,9 +114,10 @@ def _exact(query: np.ndarray, own: int, ids: np.ndarray, cells: np.ndarray, plan
     found = {}
     for at in np.flatnonzero(ids != own).tolist():
         score = sum(a * int(b) for a, b in zip(whole, cells[:, at].tolist(), strict=True))
+        score = min(max(score, -(1 << 63)), (1 << 63) - 1)
         found[int(ids[at])] = max(score, found.get(int(ids[at]), score))
     best = sorted(found.items(), key=lambda item: (-item[1], item[0]))[:plan.k]
-    return np.array([i for i, _ in best], np.int64), [min(max(s, -(1 << 63)), (1 << 63) - 1) for _, s in best]
+    return np.array([i for i, _ in best], np.int64), [s for _, s in best]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, pl
     Components count as ``floor(scale * x)``; shorter vectors are padded with zeros.  Rows whose id is NULL, and
     vectors that are NULL or hold NULL or a non-finite number, take no part.  Ties go to the smaller id.  Rows that
     repeat an id are never candidates for it; if its vectors differ, a pair scores its highest.  Scores beyond 64
-    bits stop at the largest.  A query without candidates has no rows.
+    bits count as the largest or smallest number of 64 bits.  A query without candidates has no rows.
     """
     # Rounded down in the packing, where the result may be any double.
     scaled = F.transform(F.col(vector_col), lambda x: x.cast("double") * float(plan.scale))
