@@ -55,7 +55,7 @@ def jobs(spark: SparkSession, sf: str) -> dict[str, Callable[[], object]]:
         "suggest_one": lambda: run(phrases.suggest(built["phrases"], "red wid")),
         "suggest_batch": lambda: run(phrases.suggest(built["phrases"], suggest.queries(spark, sf), 15, "query", "query")),
         "normalise_records": lambda: run(
-            normalize.normalise_records(normal.documents(spark, sf), "lines", "lines", normal.lexicon(spark, sf))
+            normalize.normalise_records(normal.documents(spark, sf), "lines", "lines", normal.lexicon(spark, sf), "doc_id")
         ),
         "parse_lines": lambda: run(lines.parsed(spark, sf)),
         "process_steps": lambda: run(records.process_instructions(steps.recipes(spark, sf))),
@@ -85,11 +85,12 @@ def main() -> None:
         spent[name] = round(time.perf_counter() - start, 3)
         print(name, spent[name], file=sys.stderr, flush=True)
     n_docs = table(spark, sf, "documents").count()
+    batches = {"search_batch": table(spark, sf, "benchmark").count(), "suggest_batch": suggest.queries(spark, sf).count()}
     spark.stop()
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(spent.values()), 3), "unit": "sec", "queries": spent,
         "sf": sf.rstrip("/").rsplit("sf", 1)[-1], "cpus": int(cpus),
-        "index_documents_per_sec": round(n_docs / spent["index_build"], 1),
+        "batch_sizes": batches, "index_documents_per_sec": round(n_docs / spent["index_build"], 1),
     }))
 
 

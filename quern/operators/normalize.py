@@ -104,19 +104,17 @@ def _lemmatise_by_join(
 
 
 def lemmatise(
-    df: DataFrame, column: str, lexicon: DataFrame, order: str = "n",
-    irregular: DataFrame | None = None, key: str | None = None, lexicon_rows: int = LEXICON_ROWS,
+    df: DataFrame, column: str, lexicon: DataFrame, key: str, order: str = "n",
+    irregular: DataFrame | None = None, lexicon_rows: int = LEXICON_ROWS,
 ) -> DataFrame:
     """Replace each word of an array of phrases by its dictionary form.
 
-    ``order`` is ``n`` or ``vn``.  With a counted, small lexicon every row is finished where it is; a
-    larger one needs ``key``, which is unique per row, and goes through joins.
+    ``order`` is ``n`` or ``vn``; ``key`` is unique per row.  With a counted, small lexicon every row is
+    finished where it is; a larger one goes through joins.  Both ways give the same rows.
     """
     small = at_most(lexicon, lexicon_rows) and (irregular is None or at_most(irregular, lexicon_rows))
     if small:
         return _lemmatise_in_place(df, column, lexicon, order, irregular)
-    if key is None:
-        raise ValueError("a lexicon of this size needs a row key")
     return _lemmatise_by_join(df, column, lexicon, order, irregular, key)
 
 
@@ -127,16 +125,20 @@ def _phrases(parts: Column, tokenise) -> Column:
     return F.filter(joined, lambda phrase: phrase != "")
 
 
-def normal_names(df: DataFrame, column: str, out: str, lexicon: DataFrame, stopwords: Sequence[str] = STOPWORDS, **options) -> DataFrame:
+def normal_names(
+    df: DataFrame, column: str, out: str, lexicon: DataFrame, key: str, stopwords: Sequence[str] = STOPWORDS, **options
+) -> DataFrame:
     """Normalise an array of short names."""
     prepared = df.withColumn(out, _phrases(F.col(column), lambda part: text.name_tokens(part, stopwords)))
-    return lemmatise(prepared, out, lexicon, "n", **options)
+    return lemmatise(prepared, out, lexicon, key, "n", **options)
 
 
-def normal_prose(df: DataFrame, column: str, out: str, lexicon: DataFrame, stopwords: Sequence[str] = STOPWORDS, **options) -> DataFrame:
+def normal_prose(
+    df: DataFrame, column: str, out: str, lexicon: DataFrame, key: str, stopwords: Sequence[str] = STOPWORDS, **options
+) -> DataFrame:
     """Normalise an array of sentences."""
     prepared = df.withColumn(out, _phrases(F.col(column), lambda part: text.prose_tokens(part, stopwords)))
-    return lemmatise(prepared, out, lexicon, "vn", **options)
+    return lemmatise(prepared, out, lexicon, key, "vn", **options)
 
 
 def vocabulary_size(phrases: Column) -> Column:
@@ -149,10 +151,10 @@ def index_text(names: Column, prose: Column) -> Column:
     return F.array_join(F.filter(sides, lambda side: side != ""), " ")
 
 
-def normalise_records(df: DataFrame, names: str, prose: str, lexicon: DataFrame, **options) -> DataFrame:
-    """Adds both normalised lists, their vocabulary sizes and sum, and the text to index."""
-    out = normal_names(df, names, "ingredients_tfidf", lexicon, **options)
-    out = normal_prose(out, prose, "instructions_tfidf", lexicon, **options)
+def normalise_records(df: DataFrame, names: str, prose: str, lexicon: DataFrame, key: str, **options) -> DataFrame:
+    """Adds both normalised lists, their vocabulary sizes and sum, and the text to index; ``key`` is unique per row."""
+    out = normal_names(df, names, "ingredients_tfidf", lexicon, key, **options)
+    out = normal_prose(out, prose, "instructions_tfidf", lexicon, key, **options)
     return out.withColumns(
         {
             "ingredient_vocab_size": vocabulary_size(F.col("ingredients_tfidf")),
@@ -202,10 +204,12 @@ def changed_samples(df: DataFrame, key: str, before: str, after: str, limit: int
     return shown.orderBy(key, "pos").limit(limit)
 
 
-def paired_names(df: DataFrame, column: str, lexicon: DataFrame, stopwords: Sequence[str] = STOPWORDS, prose: bool = False) -> DataFrame:
+def paired_names(
+    df: DataFrame, column: str, lexicon: DataFrame, key: str, stopwords: Sequence[str] = STOPWORDS, prose: bool = False, **options
+) -> DataFrame:
     """Adds ``paired``: one normalised phrase per element of ``column``, blanks kept, for comparisons."""
     tokenise = text.prose_tokens if prose else text.name_tokens
     kept = F.transform(
         F.col(column), lambda part: F.array_join(tokenise(F.coalesce(part, F.lit("")), stopwords), " ")
     )
-    return lemmatise(df.withColumn("paired", kept), "paired", lexicon, "vn" if prose else "n")
+    return lemmatise(df.withColumn("paired", kept), "paired", lexicon, key, "vn" if prose else "n", **options)

@@ -36,7 +36,7 @@ def documents(spark, sf_dir):
 
 def normalised(spark, sf_dir):
     def build():
-        done = normalize.normalise_records(documents(spark, sf_dir), "lines", "lines", lexicon(spark, sf_dir))
+        done = normalize.normalise_records(documents(spark, sf_dir), "lines", "lines", lexicon(spark, sf_dir), "doc_id")
         return store(done, "normalised")
 
     return shared(spark, sf_dir, "normalised", build)
@@ -52,11 +52,11 @@ def digest(name):
 
 
 def n01_names(spark, sf_dir):
-    return normalize.normal_names(documents(spark, sf_dir), "lines", "out", lexicon(spark, sf_dir)).select("doc_id", *digest("out"))
+    return normalize.normal_names(documents(spark, sf_dir), "lines", "out", lexicon(spark, sf_dir), "doc_id").select("doc_id", *digest("out"))
 
 
 def n02_prose(spark, sf_dir):
-    return normalize.normal_prose(documents(spark, sf_dir), "lines", "out", lexicon(spark, sf_dir)).select("doc_id", *digest("out"))
+    return normalize.normal_prose(documents(spark, sf_dir), "lines", "out", lexicon(spark, sf_dir), "doc_id").select("doc_id", *digest("out"))
 
 
 def n03_stopwords(spark, sf_dir):
@@ -85,7 +85,7 @@ def n04_lemmas_by_join(spark, sf_dir):
     """The route for a lexicon that is too large to send around; same result as ``n02_prose``."""
     kept = F.transform("lines", lambda line: F.array_join(text.prose_tokens(line, normalize.STOPWORDS), " "))
     prepared = documents(spark, sf_dir).select("doc_id", F.filter(kept, lambda phrase: phrase != "").alias("out"))
-    done = normalize.lemmatise(prepared, "out", lexicon(spark, sf_dir), "vn", key="doc_id", lexicon_rows=0)
+    done = normalize.lemmatise(prepared, "out", lexicon(spark, sf_dir), "doc_id", "vn", lexicon_rows=0)
     return done.select("doc_id", *digest("out"))
 
 
@@ -118,13 +118,13 @@ def n09_mean_sizes(spark, sf_dir):
 
 
 def n10_changed_names(spark, sf_dir):
-    paired = normalize.paired_names(documents(spark, sf_dir), "lines", lexicon(spark, sf_dir))
+    paired = normalize.paired_names(documents(spark, sf_dir), "lines", lexicon(spark, sf_dir), "doc_id")
     samples = normalize.changed_samples(paired, "doc_id", "lines", "paired", 6)
     return samples.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def n10_changed_prose(spark, sf_dir):
-    paired = normalize.paired_names(documents(spark, sf_dir), "lines", lexicon(spark, sf_dir), prose=True)
+    paired = normalize.paired_names(documents(spark, sf_dir), "lines", lexicon(spark, sf_dir), "doc_id", prose=True)
     samples = normalize.changed_samples(paired, "doc_id", "lines", "paired", 3, longer_than=20)
     return samples.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -143,6 +143,15 @@ def stemmed_index(spark, sf_dir):
     return shared(spark, sf_dir, "stemmed-index", build)
 
 
+def full_stemmed_index(spark, sf_dir):
+    """The same without a limit on the vocabulary."""
+    def build():
+        boosted = tfidf.boosted_text(with_titles(spark, sf_dir), "title", "body")
+        return tfidf.build_index(boosted, "doc_id", "text", tfidf.STEMS, name="stemmed-full")
+
+    return shared(spark, sf_dir, "stemmed-full-index", build)
+
+
 def v01_stemmed_terms(spark, sf_dir):
     """Stems without stopwords, title counted three times, the most frequent terms kept."""
     return stemmed_index(spark, sf_dir).terms.select("term", "df", "total_tf")
@@ -153,6 +162,11 @@ def v10_stemmed_search(spark, sf_dir):
     return found.select("doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def v10_full_stemmed_search(spark, sf_dir):
+    found = retrieve.search(full_stemmed_index(spark, sf_dir), QUERY, limit=20)
+    return found.select("doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 def listed(names) -> str:
     return ", ".join("'" + name.replace("'", "''") + "'" for name in names)
 
@@ -285,6 +299,9 @@ CHECKS = {
     "n10_changed_prose": Check(n10_changed_prose, samples_sql("prose_phrases", 3, 20)),
     "n11_stems": Check(n11_stems, "WITH " + stem_sql(WORDS_SQL) + " SELECT word, stem FROM stemmed"),
     "v01_stemmed_terms": Check(v01_stemmed_terms, STEMMED + "SELECT term, df, total_tf FROM terms"),
+    "v10_full_stemmed_search": Check(v10_full_stemmed_search, STEMMED.replace(f" LIMIT {MAX_FEATURES}", "") + """
+        SELECT doc_id, row_number() OVER (ORDER BY round(score, 10) DESC, doc_id) AS rank, round(score, 6) AS score
+        FROM scored ORDER BY rank LIMIT 20"""),
     "v10_stemmed_search": Check(v10_stemmed_search, STEMMED + """
         SELECT doc_id, row_number() OVER (ORDER BY round(score, 10) DESC, doc_id) AS rank, round(score, 6) AS score
         FROM scored ORDER BY rank LIMIT 20"""),

@@ -38,10 +38,26 @@ def test_both_lemma_routes_agree(spark, lexicon):
     df = spark.createDataFrame(rows, "id int, p array<string>")
     want = {1: ["dish leaf", "", "bake bus"], 2: [], 3: None, 4: ["xyz"]}
     for limit in (100, 2):
-        out = normalize.lemmatise(df, "p", lexicon, "vn", key="id", lexicon_rows=limit)
+        out = normalize.lemmatise(df, "p", lexicon, "id", "vn", lexicon_rows=limit)
         assert {r.id: r.p for r in out.collect()} == want
-    with pytest.raises(ValueError):
-        normalize.lemmatise(df, "p", lexicon, lexicon_rows=2)
+
+
+def test_no_size_of_the_lexicon_changes_a_result(spark, lexicon):
+    df = spark.createDataFrame(
+        [(1, ["Fresh berries", "knives, 2 oz", ""], ["Baked in dishes!", "the", "chopping knives"]), (2, [], None), (3, None, ["Leaves"])],
+        "id int, names array<string>, prose array<string>",
+    )
+    irregular = spark.createDataFrame([("knives", "n", "knife")], "word string, pos string, lemma string")
+    records, pairs = [], []
+    for limit in (100, 0):
+        options = {"irregular": irregular, "lexicon_rows": limit}
+        out = normalize.normalise_records(df, "names", "prose", lexicon, "id", **options)
+        records.append(sorted(map(str, out.select("id", "ingredients_tfidf", "instructions_tfidf", "tfidf_text").collect())))
+        for column, prose in (("names", False), ("prose", True)):
+            paired = normalize.paired_names(df, column, lexicon, "id", prose=prose, **options)
+            pairs.append(sorted(map(str, paired.select("id", "paired").collect())))
+    assert records[0] == records[1] and pairs[:2] == pairs[2:]
+    assert "knife" in records[0][0]
 
 
 def test_records(spark, lexicon):
@@ -49,14 +65,14 @@ def test_records(spark, lexicon):
         [(1, ["Fresh berries", "2 oz", "berries"], ["Baked in dishes!", "the"]), (2, [], ["Leaves and leaves"])],
         "id int, names array<string>, prose array<string>",
     )
-    out = normalize.normalise_records(df, "names", "prose", lexicon).orderBy("id").collect()
+    out = normalize.normalise_records(df, "names", "prose", lexicon, "id").orderBy("id").collect()
     assert out[0].ingredients_tfidf == ["fresh berry", "berry"] and out[0].instructions_tfidf == ["bake dish"]
     assert out[0].tfidf_text == "fresh berry berry bake dish" and out[1].tfidf_text == "leaf leaf"
     assert [(r.ingredient_vocab_size, r.instruction_vocab_size, r.total_vocab_size) for r in out] == [(2, 2, 4), (0, 1, 1)]
-    normal = normalize.normalise_records(df, "names", "prose", lexicon)
+    normal = normalize.normalise_records(df, "names", "prose", lexicon, "id")
     reduced = normalize.vocabulary_reduction(normal, "names", "ingredients_tfidf").first()
     assert (reduced.vocab_before, reduced.vocab_after, reduced.reduction_percent) == (4, 2, 50.0)
     assert normalize.vocabulary_means(normal).first().mean_total_vocab == 2.5
-    paired = normalize.paired_names(df, "names", lexicon)
+    paired = normalize.paired_names(df, "names", lexicon, "id")
     samples = normalize.changed_samples(paired, "id", "names", "paired", 6).collect()
     assert [(r.before, r.after) for r in samples] == [("Fresh berries", "fresh berry"), ("berries", "berry")]
