@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import fixed
 from quern.functions.text import non_blank, split_on, strip
 
 INGREDIENT = "array<struct<name:string,quantity:double,unit:string,preparation:string>>"
@@ -32,7 +31,9 @@ def number_text(quantity: Column) -> Column:
 
 
 def amount_text(quantity: Column, unit: Column, preparation: Column) -> Column:
-    return F.trim(F.concat_ws(" ", number_text(quantity), F.nullif(unit, F.lit("")), F.nullif(preparation, F.lit(""))))
+    """Quantity as text, unit and preparation, without what is empty."""
+    parts = [F.nullif(part, F.lit("")) for part in (quantity, unit, preparation)]
+    return F.trim(F.concat_ws(" ", *parts))
 
 
 def iso_minutes(cell: Column) -> Column:
@@ -55,6 +56,23 @@ def servings(cell: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(number), number).try_cast("int"), F.lit(0))
 
 
+# Text up to the next bare NaN or Infinity, with whole strings taken as they are.
+_NOT_FINITE = (
+    r'(?s)\G((?:[^"NI\-]++|"(?:[^"\\]++|\\.)*+"|-(?!Infinity)|N(?!aN)|I(?!nfinity))*+)(?:NaN|-?Infinity)'
+)
+
+
+def parse_json(cell: Column) -> Column:
+    """A JSON text as a variant, NULL if it is broken.
+
+    As common readers do, it takes a repeated key (the last one wins, which the session is told here) and bare
+    ``NaN`` and ``Infinity``, which read as null.
+    """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    repaired = F.when(cell.rlike("NaN|Infinity"), F.regexp_replace(cell, _NOT_FINITE, "$1null"))
+    return F.coalesce(F.try_parse_json(cell), F.try_parse_json(repaired))
+
+
 def json_strings(cell: Column) -> Column:
     """A JSON list of strings; broken or missing cells give an empty list."""
     return F.coalesce(F.from_json(_present(cell), "array<string>"), F.array().cast("array<string>"))
@@ -62,7 +80,7 @@ def json_strings(cell: Column) -> Column:
 
 def json_items(cell: Column) -> Column:
     """A JSON list as variants; broken or missing cells give an empty list."""
-    items = F.try_variant_get(F.try_parse_json(_present(cell)), "$", "array<variant>")
+    items = F.try_variant_get(parse_json(_present(cell)), "$", "array<variant>")
     return F.coalesce(items, F.from_json(F.lit("[]"), "array<variant>"))
 
 
@@ -71,6 +89,6 @@ def variant_kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def image_url(record_id: Column) -> Column:
-    head, tail = fixed.IMAGE_URL
-    return F.concat(F.lit(head), record_id.cast("string"), F.lit(tail))
+def image_url(record_id: Column, template: str) -> Column:
+    """``template`` with ``{id}`` filled in."""
+    return F.replace(F.lit(template), F.lit("{id}"), record_id.cast("string"))

@@ -49,38 +49,98 @@ UNICODE_FRACTIONS = {
 
 # Spellings that are recognised, by the unit they stand for.  Size words stand for no unit.
 UNIT_SPELLINGS = {
-    "teaspoon": ["tsp", "tsp.", "teaspoons"],
-    "tablespoon": ["tbsp", "tbsp.", "tbs", "tbs.", "tablespoons"],
-    "cup": ["c", "c.", "cup", "cups"],
-    "fluid_ounce": ["fl oz", "fl. oz", "fluid ounces"],
-    "pint": ["pt", "pt.", "pints"],
-    "quart": ["qt", "qt.", "quarts"],
-    "gallon": ["gal", "gal.", "gallons"],
-    "milliliter": ["ml", "ml.", "milliliters", "millilitres"],
-    "liter": ["l", "l.", "liters", "litres"],
-    "ounce": ["oz", "oz.", "ounces"],
-    "pound": ["lb", "lb.", "lbs", "lbs.", "pounds"],
-    "gram": ["g", "g.", "grams", "gm", "gm."],
-    "kilogram": ["kg", "kg.", "kilograms", "kilogrammes"],
-    "": ["whole", "wholes", "large", "medium", "small"],
-    "package": ["pkg", "pkg.", "pkgs", "packages"],
-    "can": ["can", "cans"],
-    "jar": ["jar", "jars"],
-    "bottle": ["bottle", "bottles"],
-    "slice": ["slice", "slices"],
-    "piece": ["piece", "pieces"],
-    "pinch": ["pinch", "pinches"],
-    "dash": ["dash", "dashes"],
-    "handful": ["handful", "handfuls"],
-    "bunch": ["bunch", "bunches"],
-    "clove": ["clove", "cloves"],
-    "stalk": ["stalk", "stalks"],
-    "sprig": ["sprig", "sprigs"],
-    "strip": ["strip", "strips"],
-    "stick": ["stick", "sticks"],
-    "cube": ["cube", "cubes"],
-    "envelope": ["envelope", "envelopes"],
-    "sheet": ["sheet", "sheets"],
+    "tsp": "teaspoon",
+    "tsp.": "teaspoon",
+    "teaspoons": "teaspoon",
+    "tbsp": "tablespoon",
+    "tbsp.": "tablespoon",
+    "tbs": "tablespoon",
+    "tbs.": "tablespoon",
+    "tablespoons": "tablespoon",
+    "c": "cup",
+    "c.": "cup",
+    "cup": "cup",
+    "cups": "cup",
+    "fl oz": "fluid_ounce",
+    "fl. oz": "fluid_ounce",
+    "fluid ounces": "fluid_ounce",
+    "pt": "pint",
+    "pt.": "pint",
+    "pints": "pint",
+    "qt": "quart",
+    "qt.": "quart",
+    "quarts": "quart",
+    "gal": "gallon",
+    "gal.": "gallon",
+    "gallons": "gallon",
+    "ml": "milliliter",
+    "ml.": "milliliter",
+    "milliliters": "milliliter",
+    "millilitres": "milliliter",
+    "l": "liter",
+    "l.": "liter",
+    "liters": "liter",
+    "litres": "liter",
+    "oz": "ounce",
+    "oz.": "ounce",
+    "ounces": "ounce",
+    "lb": "pound",
+    "lb.": "pound",
+    "lbs": "pound",
+    "lbs.": "pound",
+    "pounds": "pound",
+    "g": "gram",
+    "g.": "gram",
+    "grams": "gram",
+    "gm": "gram",
+    "gm.": "gram",
+    "kg": "kilogram",
+    "kg.": "kilogram",
+    "kilograms": "kilogram",
+    "kilogrammes": "kilogram",
+    "whole": "",
+    "wholes": "",
+    "large": "",
+    "medium": "",
+    "small": "",
+    "pkg": "package",
+    "pkg.": "package",
+    "pkgs": "package",
+    "packages": "package",
+    "can": "can",
+    "cans": "can",
+    "jar": "jar",
+    "jars": "jar",
+    "bottle": "bottle",
+    "bottles": "bottle",
+    "slice": "slice",
+    "slices": "slice",
+    "piece": "piece",
+    "pieces": "piece",
+    "pinch": "pinch",
+    "pinches": "pinch",
+    "dash": "dash",
+    "dashes": "dash",
+    "handful": "handful",
+    "handfuls": "handful",
+    "bunch": "bunch",
+    "bunches": "bunch",
+    "clove": "clove",
+    "cloves": "clove",
+    "stalk": "stalk",
+    "stalks": "stalk",
+    "sprig": "sprig",
+    "sprigs": "sprig",
+    "strip": "strip",
+    "strips": "strip",
+    "stick": "stick",
+    "sticks": "stick",
+    "cube": "cube",
+    "cubes": "cube",
+    "envelope": "envelope",
+    "envelopes": "envelope",
+    "sheet": "sheet",
+    "sheets": "sheet",
 }
 
 # Canonical singulars that are no spelling of their own unless the caller asks for them.
@@ -146,15 +206,14 @@ hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't sh
 shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 """.split()
 
-UNIT_STOPWORDS = """
-cup cups tablespoon tablespoons teaspoon teaspoons tbsp tsp lb lbs oz ounce ounces g gram grams ml
-liter liters pound pounds inch inches
-""".split()
+UNIT_STOPWORDS = [
+    "cup", "cups", "tablespoon", "tablespoons", "teaspoon", "teaspoons", "tbsp", "tsp", "lb", "lbs", "oz",
+    "ounce", "ounces", "g", "gram", "grams", "ml", "liter", "liters", "pound", "pounds", "inch", "inches",
+]
 
 MIN_TOKEN_LENGTH = 3
 
 # --- Catalog ------------------------------------------------------------------------------------
-IMAGE_URL = ("https://img.spoonacular.com/recipes/", "-312x231.jpg")
 LISTING_COLUMNS = [
     "recipe_id", "title", "image", "preparationMinutes", "cookingMinutes", "healthScore",
     "calories", "protein", "fat", "carbs", "dietary_tags", "instructions",

@@ -43,11 +43,7 @@ OUTPUT = ("original", "quantity", "unit", "name", "preparation", "is_valid")
 
 def unit_table(include_canonical: bool = False) -> dict[str, str]:
     """Spelling to canonical unit."""
-    table = {
-        spelling: unit
-        for unit, spellings in fixed.UNIT_SPELLINGS.items()
-        for spelling in spellings
-    }
+    table = dict(fixed.UNIT_SPELLINGS)
     if include_canonical:
         table.update({word: word.replace(" ", "_") for word in fixed.CANONICAL_SINGULARS})
     return table

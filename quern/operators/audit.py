@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.cells import variant_kind
+from quern.functions.cells import parse_json, variant_kind
 from quern.functions.text import bind, is_blank, no_strings, shuffled
 from quern.operators.harvest import as_text, items, member
 from quern.operators.records import kind_name
 from quern.operators.skew import broadcast_if_small
+from quern.sources.tables import store
 
 SAMPLE_SIZE = 15
 JSON_FIELDS = ("instruction_temperatures", "instruction_times", "instruction_equipment")
@@ -28,7 +29,7 @@ def _checked_list(cell: Column, column: str, check) -> Column:
             .otherwise(F.flatten(F.transform(items(parsed), check)))
         )
 
-    return F.when(F.coalesce(cell, F.lit("")) == "", no_strings()).otherwise(bind(F.try_parse_json(cell), problems))
+    return F.when(F.coalesce(cell, F.lit("")) == "", no_strings()).otherwise(bind(parse_json(cell), problems))
 
 
 def _label(prefix: str, position: Column) -> Column:
@@ -99,7 +100,8 @@ def with_errors(
     title: str = "title", ingredients: str = "ingredients", instructions: str = "instructions",
 ) -> DataFrame:
     """Adds ``errors`` and ``is_duplicate``; a later occurrence counts even if the first is invalid."""
-    later = broadcast_if_small(later_occurrences(records, key, order).withColumn("is_duplicate", F.lit(True)))
+    later = store(later_occurrences(records, key, order), "later").withColumn("is_duplicate", F.lit(True))
+    later = broadcast_if_small(later)
     marked = records.join(later, [key, order], "left")
     marked = marked.withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
     again = F.when(
@@ -154,7 +156,7 @@ def clean_totals(clean: DataFrame) -> DataFrame:
 def coverage(clean: DataFrame) -> DataFrame:
     """``(field, present, percent)``: non-empty JSON lists and non-blank texts of the clean rows."""
     present = {
-        **{name: F.size(items(F.try_parse_json(F.col(name)))) > 0 for name in JSON_FIELDS},
+        **{name: F.size(items(parse_json(F.col(name)))) > 0 for name in JSON_FIELDS},
         **{name: ~is_blank(F.col(name)) for name in TEXT_FIELDS},
     }
     totals = clean.agg(

@@ -10,10 +10,18 @@ from quern.functions import cells
 from quern.functions.text import shuffled
 from quern.operators.harvest import as_text, member
 from quern.operators.retrieve import matching_categories
+from quern.sources.tables import store
 
 BROWSE_LIMIT = 20
 
 
+def _quantity_text(value: Column) -> Column:
+    """A number in its shortest form, a text such as ``1/2`` as it stands."""
+    return F.when(cells.variant_kind(value) == "STRING", as_text(value)).otherwise(
+        cells.number_text(as_text(value).try_cast("double"))
+    )
+
+
 def display_ingredients(cell: Column) -> Column:
     """``[{name, amount}]`` of a JSON list; elements that are no objects go."""
     objects = F.filter(cells.json_items(cell), lambda item: cells.variant_kind(item) == "OBJECT")
@@ -22,7 +30,7 @@ def display_ingredients(cell: Column) -> Column:
         lambda item: F.struct(
             F.coalesce(as_text(member(item, "name")), F.lit("")).alias("name"),
             cells.amount_text(
-                as_text(member(item, "quantity")).try_cast("double"),
+                _quantity_text(member(item, "quantity")),
                 as_text(member(item, "unit")), as_text(member(item, "preparation")),
             ).alias("amount"),
         ),
@@ -58,14 +66,17 @@ def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") == 1).drop("_nth")
 
 
-def build_catalog(records: DataFrame, key: str = "recipe_id", order: str = "ord") -> DataFrame:
-    """Catalog rows of flat records; a later row replaces an earlier one with the same id."""
+def build_catalog(records: DataFrame, image_template: str, key: str = "recipe_id", order: str = "ord") -> DataFrame:
+    """Catalog rows of flat records; a later row replaces an earlier one with the same id.
+
+    ``image_template`` is the address of a picture, with ``{id}`` for the record's id.
+    """
     ingredients = display_ingredients(F.col("ingredients"))
     shaped = keep_last(records, key, order).select(
         F.col(key).alias("id"),
         F.coalesce("title", F.lit("nan")).alias("title"),
         F.lit("").alias("description"),
-        cells.image_url(F.col(key)).alias("image"),
+        cells.image_url(F.col(key), image_template).alias("image"),
         cells.category_list(F.col("category")).alias("categories"),
         cells.first_minutes(F.col("cook_time"), F.col("prep_time"), F.col("total_time")).alias("cook_time_minutes"),
         cells.servings(F.col("servings")).alias("servings"),
@@ -86,6 +97,11 @@ def facets(catalog: DataFrame, category_col: str = "categories") -> DataFrame:
     return facet_counts(catalog, category_col).orderBy(F.desc("n"), "category")
 
 
+def store_by_id(catalog: DataFrame, name: str = "catalog", id_col: str = "id") -> DataFrame:
+    """Write a catalog in ranges of its id, sorted, so that a look-up touches few row groups."""
+    return store(catalog.repartitionByRange(id_col), name, [id_col])
+
+
 def lookup(catalog: DataFrame, record_id: int, id_col: str = "id") -> DataFrame:
     return catalog.where(F.col(id_col) == record_id)
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quern.functions import text, words
-from quern.functions.cells import variant_kind
+from quern.functions.cells import parse_json, variant_kind
 
 VARIANTS = "array<variant>"
 SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[^>]*>(.*?)</script>"
@@ -82,20 +82,40 @@ def _microdata_json(pages: pa.Array) -> pa.Array:
     return pa.array(found, pa.string())
 
 
+def _scoped_part(html: Column) -> Column:
+    """The page from its first ``itemscope`` tag on; NULL without one.
+
+    A tag that only stands inside a script does not count as the first; such a page is kept whole.
+    """
+    at = F.regexp_instr(html, F.lit(r"(?is)<[a-z][^<>]*\sitemscope\b"))
+    before = F.substr(html, F.lit(1), at - 1)
+    in_script = F.regexp_count(before, F.lit(r"(?i)<script\b")) != F.regexp_count(before, F.lit(r"(?i)</script\b"))
+    part = F.when(in_script, html).when(at > 0, F.substr(html, at))
+    return F.when(F.contains(F.lower(html), F.lit("itemscope")), part)
+
+
+def _tolerant(block: Column) -> Column:
+    """A script block without comments and markers around it, and without control characters."""
+    comment = r"//[^\r\n]*|/\*.*?\*/|<!--.*?-->|<!--|-->|<!\[CDATA\[|\]\]>"
+    bare = F.regexp_replace(F.regexp_replace(block, rf"(?s)^(?:\s|{comment})+", ""), r"(?s)(?:\s|//\s*-->|//\s*\]\]>|/\*[^*]*\*/|<!--[^>]*-->|-->|\]\]>|;)+$", "")
+    return F.regexp_replace(bare, r"[\x00-\x1F]", " ")
+
+
 def harvest(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, microdata, json_ld, opengraph, harvested)`` of a page table.
 
-    Only pages that mention ``itemscope`` are sent to Python.  A page with a broken JSON-LD block
-    counts as not harvested.
+    Only what stands from the first ``itemscope`` tag on is sent to Python.  A JSON-LD block that does not
+    parse is tried again without comments around it and with control characters as blanks; a page with a
+    block that is broken even so counts as not harvested.
     """
     html = F.col(html_col)
     found = pages.select(
         id_col,
         text.extract_all(html, SCRIPT, 1).alias("scripts"),
         text.extract_all(html, META).alias("metas"),
-        _microdata_json(F.when(F.contains(F.lower(html), F.lit("itemscope")), html)).alias("scopes"),
+        _microdata_json(_scoped_part(html)).alias("scopes"),
     )
-    parsed = F.transform("scripts", F.try_parse_json)
+    parsed = F.transform("scripts", lambda block: F.coalesce(parse_json(block), parse_json(_tolerant(block))))
     blocks = F.flatten(
         F.transform(
             "blocks", lambda block: F.when(variant_kind(block) == "ARRAY", items(block)).otherwise(F.array(block))

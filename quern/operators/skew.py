@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -11,12 +10,12 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import store
 
-# A key is hot when it holds at least this share of all rows, so there are at most 1 / share of them.
-HOT_SHARE = 1e-4
-# Groups under this many rows never need splitting, whatever their share.
+# A key with this many rows is hot, however large the table is; only so many keys are treated as hot.
 MIN_HOT_ROWS = 1_000_000
-# Largest side, in rows, that may be broadcast after it has been counted.
+HOT_KEYS = 10_000
+# Largest side that may be broadcast after it has been measured, in rows and in bytes of JSON.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Largest table, in rows, that may pass through the driver as a query batch.
 LOCAL_ROWS = 20_000
 
@@ -26,21 +25,31 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after a count proved the bound; otherwise the planner shuffles."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after rows and bytes proved the bound; otherwise the planner shuffles."""
+    width = F.length(F.to_json(F.struct(*df.columns))).alias("width")
+    found = df.limit(rows + 1).select(width).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found.n <= rows and found.bytes <= size else df
 
 
-def settle(df: DataFrame, name: str) -> tuple[DataFrame, pa.Table | None]:
+def settle(df: DataFrame, name: str, few: bool = False) -> tuple[DataFrame, pa.Table | None]:
     """Compute a query-sided table once, for the several steps that read it.
 
-    A small one becomes literal rows of the plan, which costs one short job, and its rows are returned,
-    too; a larger one is written.  A broadcast hint is set if the row count proved it small enough.
+    A small one becomes literal rows of the plan and its rows are returned, too; a larger one is written.
+    ``few`` says that the batch is small for sure, which saves writing it first.
     """
+    if not few:
+        df = store(df, name)
     found = df.limit(LOCAL_ROWS + 1).toArrow()
-    if found.num_rows <= LOCAL_ROWS:
+    if found.num_rows <= LOCAL_ROWS and found.nbytes <= BROADCAST_BYTES:
         return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)), found
-    return broadcast_if_small(store(df, name)), None
+    return broadcast_if_small(store(df, name) if few else df), None
+
+
+def hot_keys(facts: DataFrame, keys: Sequence[str], min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """The most frequent keys with at least ``min_hot_rows`` rows, no more than ``HOT_KEYS`` of them."""
+    counted = facts.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= min_hot_rows).orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys)
 
 
 def lookup_join(
@@ -49,22 +58,21 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "inner",
     min_hot_rows: int = MIN_HOT_ROWS,
-    hot_share: float = HOT_SHARE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``facts``, possibly skewed on ``keys``, with ``lookup``, which is unique on ``keys``.
 
-    Keys above the threshold are few by construction, so their lookup rows are broadcast and the
-    hot fact rows never move; the other keys go through an ordinary shuffle join.  ``how`` is
-    ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    Hot keys are few by construction, so their lookup rows are broadcast and the hot fact rows never move;
+    the other keys go through an ordinary shuffle join.  ``how`` is ``inner``, ``left``, ``left_semi`` or
+    ``left_anti``.  ``facts`` is read twice or three times, so it should be a stored table; ``hot`` saves the
+    first time.
     """
     keys = list(keys)
-    total = facts.count()
-    if total < min_hot_rows:
+    hot = store(hot_keys(facts, keys, min_hot_rows) if hot is None else hot.select(*keys), "hot-keys")
+    if hot.isEmpty():
         return facts.join(lookup, keys, how)
-
-    floor = max(min_hot_rows, math.ceil(total * hot_share))
+    hot = F.broadcast(hot)
     keyed = facts.dropna(subset=keys)
-    hot = F.broadcast(keyed.groupBy(*keys).count().where(F.col("count") >= floor).select(*keys))
     hot_lookup = F.broadcast(lookup.join(hot, keys, "left_semi"))
     result = (
         keyed.join(hot, keys, "left_semi").join(hot_lookup, keys, how)

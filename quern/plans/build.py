@@ -35,25 +35,27 @@ def recipe_records(
     return records.structure_records(records.as_documents(recipes))
 
 
-def build_corpus(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", name: str = "corpus") -> Corpus:
+def build_corpus(
+    pages: DataFrame, image_template: str, id_col: str = "page_id", html_col: str = "html", name: str = "corpus"
+) -> Corpus:
     """Clean rows, quarantine and catalog from one written table of checked records."""
     structured = store(recipe_records(pages, id_col, html_col, name), f"{name}-records")
     kept = records.keep_first(structured).withColumn("ord", F.col("recipe_id"))
     checked = store(audit.with_errors(kept), f"{name}-checked")
     clean = audit.clean_rows(checked)
-    return Corpus(clean, audit.anomalies(checked), audit.anomaly_counts(checked), catalog.build_catalog(clean))
+    return Corpus(clean, audit.anomalies(checked), audit.anomaly_counts(checked), catalog.build_catalog(clean, image_template))
 
 
 def text_index(clean: DataFrame, lexicon: DataFrame, name: str = "text") -> tfidf.TextIndex:
     """Index of the normalised text of clean records."""
     names = F.transform(F.from_json("ingredients", "array<struct<name:string>>"), lambda item: item["name"])
     listed = clean.withColumns({"names": names, "sentences": F.from_json("instructions", "array<string>")})
-    normal = normalize.normalise_records(listed, "names", "sentences", lexicon)
+    normal = normalize.normalise_records(listed, "names", "sentences", lexicon, "recipe_id")
     return tfidf.build_index(text_documents(normal), "doc_id", "text", name=name)
 
 
-def search_index(rows: DataFrame, name: str = "search", max_features: int = 10_000) -> tfidf.TextIndex:
-    """The catalog's own index: stemmed title, three times over, and ingredient names."""
+def search_index(rows: DataFrame, name: str = "search", max_features: int | None = None) -> tfidf.TextIndex:
+    """The catalog's own index: stemmed title, three times over, and ingredient names; all terms unless limited."""
     boosted = tfidf.boosted_text(catalog.search_corpus(rows), "title", "ingredients_text")
     return tfidf.build_index(boosted, "id", "text", tfidf.STEMS, max_features=max_features, name=name)
 

@@ -8,7 +8,6 @@ from quern.functions import cells
 from quern.operators import catalog
 from quern.plans.checks.registry import Check
 from quern.plans.tables import derive, plain, shared
-from quern.sources.tables import store
 
 # Every part once, and those of even size a second time with another title: the later row wins.
 RECORDS = """
@@ -23,12 +22,15 @@ SELECT p_partkey AS recipe_id, version * 1000000000 + p_partkey AS ord, p_size,
   CASE p_size % 6 WHEN 5 THEN '[{{"name": broken'
        ELSE concat('[{{"name":"', p_name, '","quantity":', CAST(p_size AS STRING), '.0,"unit":"cup","preparation":"chopped"}},',
                    '{{"name":"', lower(p_type), '","quantity":0.5,"unit":"","preparation":""}},"loose",',
+                   '{{"name":"half","quantity":"1/2","unit":"","unit":"cup","preparation":""}},',
                    '{{"name":"","quantity":null,"unit":"","preparation":"diced"}}]') END AS ingredients,
   CASE p_size % 6 WHEN 4 THEN NULL
        ELSE concat('["Take the ', p_name, '",{{"step":7,"description":"Turn"}},{{"description":"Wait"}}]') END AS instructions
 FROM (SELECT *, 0 AS version FROM {part} UNION ALL SELECT *, 1 AS version FROM {part} WHERE p_size % 2 = 0)
 """
 
+IMAGES = "https://images.example.com/{id}.jpg"
+
 EXPECTED = f"""
 WITH rows AS ({plain(RECORDS).replace('AS STRING', 'AS VARCHAR')}), last AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY ord DESC) AS nth FROM rows) WHERE nth = 1
@@ -51,7 +53,7 @@ def rows(spark, sf_dir):
 
 
 def built(spark, sf_dir):
-    return shared(spark, sf_dir, "catalog", lambda: store(catalog.build_catalog(rows(spark, sf_dir)), "catalog"))
+    return shared(spark, sf_dir, "catalog", lambda: catalog.store_by_id(catalog.build_catalog(rows(spark, sf_dir), IMAGES)))
 
 
 def long(name):
@@ -139,7 +141,7 @@ def c16_responses(spark, sf_dir):
 
 
 CATEGORIES = "CASE WHEN has_category THEN first_category || '|' || second_category ELSE '' END"
-NAMES = "CASE WHEN has_ingredients THEN p_name || ' ' || lower(p_type) ELSE '' END"
+NAMES = "CASE WHEN has_ingredients THEN p_name || ' ' || lower(p_type) || ' half' ELSE '' END"
 FACETS = """, facet AS (
   SELECT category, count(*) AS n FROM (
     SELECT first_category AS category FROM shaped WHERE has_category
@@ -148,24 +150,24 @@ FACETS = """, facet AS (
 CHECKS = {
     "c01_categories": Check(c01_categories, EXPECTED + f"SELECT id, {CATEGORIES} AS categories FROM shaped"),
     "c02_json_lists": Check(c02_json_lists, EXPECTED + """
-        SELECT id, CAST(CASE WHEN has_ingredients THEN 4 ELSE 0 END AS BIGINT) AS n_ingredients,
+        SELECT id, CAST(CASE WHEN has_ingredients THEN 5 ELSE 0 END AS BIGINT) AS n_ingredients,
           CAST(CASE WHEN has_instructions THEN 3 ELSE 0 END AS BIGINT) AS n_instructions FROM shaped"""),
     "c03_amounts": Check(c03_amounts, EXPECTED + """
-        SELECT id, CASE WHEN has_ingredients THEN concat(p_size, ' cup chopped|0.5|diced') ELSE '' END AS amounts FROM shaped"""),
+        SELECT id, CASE WHEN has_ingredients THEN concat(p_size, ' cup chopped|0.5|1/2 cup|diced') ELSE '' END AS amounts FROM shaped"""),
     "c04_cook_time": Check(c04_cook_time, EXPECTED + f"SELECT id, {MINUTES} AS cook_time_minutes FROM shaped"),
     "c05_durations": Check(c05_durations, EXPECTED + """
         SELECT recipe_id, CAST(cook_minutes AS BIGINT) AS cook_time, CAST(prep_minutes AS BIGINT) AS prep_time,
           CAST(90 AS BIGINT) AS total_time FROM shaped"""),
     "c06_servings": Check(c06_servings, EXPECTED + "SELECT id, CAST(servings_found AS BIGINT) AS servings FROM shaped"),
     "c07_ingredients": Check(c07_ingredients, EXPECTED + """
-        SELECT id, CASE WHEN has_ingredients THEN p_name || '|' || lower(p_type) || '|' ELSE '' END AS names FROM shaped"""),
+        SELECT id, CASE WHEN has_ingredients THEN p_name || '|' || lower(p_type) || '|half|' ELSE '' END AS names FROM shaped"""),
     "c08_numbered_steps": Check(c08_numbered_steps, EXPECTED + """
         SELECT id, CAST(1 AS BIGINT) AS step, 'Take the ' || p_name AS description FROM shaped WHERE has_instructions
         UNION ALL SELECT id, 7, 'Turn' FROM shaped WHERE has_instructions
         UNION ALL SELECT id, 3, 'Wait' FROM shaped WHERE has_instructions"""),
     "c09_ingredient_text": Check(c09_ingredient_text, EXPECTED + f"SELECT id, {NAMES} AS ingredients_text FROM shaped"),
     "c10_images": Check(c10_images, EXPECTED + """
-        SELECT id, concat('https://img.spoonacular.com/recipes/', id, '-312x231.jpg') AS image FROM shaped"""),
+        SELECT id, concat('https://images.example.com/', id, '.jpg') AS image FROM shaped"""),
     "c11_catalog": Check(c11_catalog, EXPECTED + f"""
         SELECT id, shown_title AS title, '' AS description, {MINUTES} AS cook_time_minutes,
           CAST(servings_found AS BIGINT) AS servings, {NAMES} AS ingredients_text FROM shaped"""),
@@ -178,8 +180,8 @@ CHECKS = {
         ORDER BY md5(concat(id, ':42')), id LIMIT 20"""),
     "c16_responses": Check(c16_responses, EXPECTED + f"""
         SELECT id, shown_title AS title, shown_title AS description,
-          concat('https://img.spoonacular.com/recipes/', id, '-312x231.jpg') AS image, {CATEGORIES} AS categories,
+          concat('https://images.example.com/', id, '.jpg') AS image, {CATEGORIES} AS categories,
           {MINUTES} AS "cookTimeMinutes", CAST(servings_found AS BIGINT) AS servings,
           CASE WHEN has_ingredients THEN concat('[{{"name":"', p_name, '","amount":"', p_size, ' cup chopped"}},{{"name":"',
-            lower(p_type), '","amount":"0.5"}},{{"name":"","amount":"diced"}}]') ELSE '[]' END AS ingredients FROM shaped"""),
+            lower(p_type), '","amount":"0.5"}},{{"name":"half","amount":"1/2 cup"}},{{"name":"","amount":"diced"}}]') ELSE '[]' END AS ingredients FROM shaped"""),
 }

@@ -136,6 +136,7 @@ SELECT event_id AS recipe_id, version * 1000000000 + event_id AS ord, event_id %
     WHEN 3 THEN concat('[{{"name":"', event_type, '","quantity":"', k, '"}},{{"name":" ","quantity":2.5}}]')
     WHEN 4 THEN NULL
     WHEN 5 THEN ''
+    WHEN 6 THEN concat('[{{"name":" ","name":"', event_type, '","quantity":NaN}},{{"name":"NaN, -Infinity","quantity":-Infinity}}]')
     ELSE concat('[{{"name":"', event_type, '","quantity":', k, '}},{{"name":"b","quantity":null}}]') END AS ingredients,
   CASE event_id % 23
     WHEN 0 THEN '["a",'

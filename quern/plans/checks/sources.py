@@ -55,6 +55,13 @@ def s01_csv_scan(spark, sf_dir):
     return csv_tables.read_csv(spark, path, "conv_id bigint, turn bigint, role string, text string")
 
 
+def s01_csv_lines(spark, sf_dir):
+    """Without cells that span lines, files can be split."""
+    path = fresh_path(spark, "orders-csv")
+    csv_tables.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), path)
+    return csv_tables.read_csv(spark, path, "o_orderkey bigint, o_orderstatus string, o_orderpriority string", multi_line=False)
+
+
 def s02_required_columns(spark, sf_dir):
     checked = csv_tables.require_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return checked.groupBy("lang").agg(F.count("doc_id").alias("n"))
@@ -194,6 +201,7 @@ CHECKS = {
     "s01_csv_scan": Check(s01_csv_scan, f"""
         SELECT conv_id, turn, CASE WHEN role NOT IN ({NA_LIST}) THEN role END AS role,
           CASE WHEN text NOT IN ({NA_LIST}) THEN text END AS text FROM ({sql(TALK)})"""),
+    "s01_csv_lines": Check(s01_csv_lines, "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders"),
     "s02_required_columns": Check(s02_required_columns, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
     "s03_documents": Check(s03_documents, f"""
         SELECT doc_id, length(t) AS n_chars, md5(t) AS digest

@@ -13,18 +13,20 @@ from quern.functions.text import strip
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str, na_tokens: Sequence[str] = tuple(fixed.NA_TOKENS)
+    spark: SparkSession, path: str, schema: T.StructType | str, na_tokens: Sequence[str] = tuple(fixed.NA_TOKENS),
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Headed CSV with quoted cells that may span lines; the given tokens read as NULL in any column.
+    """Headed CSV with quoted cells; the given tokens read as NULL in any column.
 
-    A cell that does not fit its type reads as NULL.  Files with multi-line cells cannot be split, so
-    large tables belong in many files (see :func:`write_csv`).
+    A cell that does not fit its type reads as NULL.  With ``multi_line`` cells may span lines, but a file
+    cannot be split, so large tables belong in many files (see :func:`write_csv`).  Without it a large
+    file is read by many tasks, and every line must be a whole record.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     raw = T.StructType([T.StructField(field.name, T.StringType()) for field in schema])
     texts = (
-        spark.read.schema(raw).option("header", True).option("multiLine", True)
+        spark.read.schema(raw).option("header", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
     )
     cell = lambda name: F.when(~F.col(name).isin(*na_tokens), F.col(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.operators.skew import lookup_join
+from quern.sources.tables import store
 
 
 def listing_rows(
@@ -23,7 +24,7 @@ def listing_rows(
 def new_rows(incoming: DataFrame, stored: DataFrame, key: str, dedupe_batch: bool = False) -> DataFrame:
     """Rows whose id is not stored yet; repeats inside the batch stay unless asked otherwise."""
     known = stored.select(F.col(key)).distinct()
-    fresh = lookup_join(incoming, known, [key], "left_anti")
+    fresh = lookup_join(store(incoming, "incoming"), known, [key], "left_anti")
     return fresh.dropDuplicates([key]) if dedupe_batch else fresh
 
 
@@ -35,13 +36,13 @@ def append_new(incoming: DataFrame, stored: DataFrame, path: str, id_col: str =
 
 def to_do(items: DataFrame, finished: DataFrame, key: str) -> DataFrame:
     """Items without an output."""
-    return lookup_join(items, finished.select(key).distinct(), [key], "left_anti")
+    return lookup_join(store(items, "items"), finished.select(key).distinct(), [key], "left_anti")
 
 
 def plan_counts(items: DataFrame, finished: DataFrame, key: str) -> DataFrame:
     """``(total, skipped, to_do)``."""
     done = finished.select(key).distinct().withColumn("_done", F.lit(True))
-    marked = lookup_join(items.select(key), done, [key], "left")
+    marked = lookup_join(store(items.select(key), "items"), done, [key], "left")
     return marked.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("_done").isNotNull()).alias("skipped"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.cells import json_strings
+from quern.functions.cells import json_strings, parse_json
 from quern.operators.catalog import keep_last
 from quern.operators.records import file_stem
 
@@ -19,7 +19,7 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> D
     parsed = files.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.url_decode(F.col("_metadata.file_name")).alias("file_name"),
-        F.try_parse_json("value").alias("doc"),
+        parse_json(F.col("value")).alias("doc"),
     )
     return parsed.withColumn("loaded", F.col("doc").isNotNull())
 

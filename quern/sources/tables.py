@@ -12,28 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written tables: ``spark.checkpoint.dir``; a scratch folder only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
     if configured:
+        if configured.startswith("file:") and not local:
+            raise ValueError(f"{configured} is on the machine of each executor; set spark.checkpoint.dir to a shared folder")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     fresh = tempfile.mkdtemp(prefix="quern-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh
 
 
-# Inputs under this size per core are spread over all cores; larger ones have enough file splits.
-SPREAD_BYTES_PER_CORE = 64 * 1024 * 1024
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; for file scans this is the size of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small table that sits in few files over all cores.  Large tables are left alone."""
+    """Spread a table with fewer splits than cores over all cores.  Others are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if planned_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -4,7 +4,9 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import cells
 from quern.operators import catalog
+from quern.operators import skew
 from quern.operators.skew import lookup_join
 from quern.sources import csv_tables, incremental, json_docs, profile
 from quern.streaming.ingest import process_new_files
@@ -21,21 +23,21 @@ RECORDS = "recipe_id bigint, ord int, title string, ingredients string, instruct
 def records(spark):
     return spark.createDataFrame([
         (1, 0, "Old", "[]", "[]", "Main", None, None, None, None),
-        (1, 1, "New", '[{"name":"salt","quantity":2.0,"unit":"cup","preparation":""},3,{"name":"","quantity":0.5}]',
+        (1, 1, "New", '[{"name":"salt","quantity":2.0,"unit":"cup","preparation":""},3,{"name":"","quantity":"1/2"}]',
          '["Mix",{"step":7,"description":"Bake"},{"description":"Eat"}]', " main DISH, ,soup", "PT0M", "PT1H5M", "PT9H", "4.7"),
         (2, 2, None, "{bad", None, "soup", None, None, None, "x"),
     ], RECORDS)
 
 
 def test_catalog(spark):
-    built = catalog.build_catalog(records(spark))
+    built = catalog.build_catalog(records(spark), "http://x/{id}.png")
     rows = {r.id: r for r in built.collect()}
     one = rows[1]
     assert one.title == "New" and one.categories == ["Main dish", "Soup"]
     assert (one.cook_time_minutes, one.servings, one.ingredients_text) == (65, 4, "salt")
-    assert [(i.name, i.amount) for i in one.ingredients] == [("salt", "2 cup"), ("", "0.5")]
+    assert [(i.name, i.amount) for i in one.ingredients] == [("salt", "2 cup"), ("", "1/2")]
     assert [(s.step, s.description) for s in one.instructions] == [(1, "Mix"), (7, "Bake"), (3, "Eat")]
-    assert one.image.endswith("/1-312x231.jpg")
+    assert one.image == "http://x/1.png"
     assert rows[2].title == "nan" and rows[2].ingredients == [] and rows[2].servings == 0
     assert [(r.category, r.n) for r in catalog.facets(built).collect()] == [("Soup", 2), ("Main dish", 1)]
     assert catalog.lookup(built, 2).count() == 1 and catalog.lookup(built, 9).isEmpty()
@@ -54,6 +56,26 @@ def test_csv_round_trip(spark, folder):
     assert [(r.doc_id, r.text) for r in csv_tables.text_documents(back).collect()] == [(1, 'a "b",\nc')]
 
 
+def test_a_large_file_is_split_where_lines_are_records(spark, folder):
+    path = os.path.join(folder, "big")
+    csv_tables.write_csv(spark.range(200_000).selectExpr("id", "repeat('x', 20) AS s").coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        whole, split = (csv_tables.read_csv(spark, path, "id bigint, s string", multi_line=flag) for flag in (True, False))
+        assert whole.rdd.getNumPartitions() == 1 < 4 < split.rdd.getNumPartitions()
+        assert split.count() == whole.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_as_common_readers_take_it(spark):
+    cells_ = ['{"a":1,"a":2}', '[NaN,-Infinity,"NaN"]', '{"k":"x, NaN, \\" -Infinity"}', '{"a":"b\nc"}', "{a}", "nan", None]
+    df = spark.createDataFrame([(at, cell) for at, cell in enumerate(cells_)], "i int, c string")
+    got = {r.i: r.j for r in df.select("i", F.to_json(cells.parse_json(F.col("c"))).alias("j")).collect()}
+    assert got == {0: '{"a":2}', 1: '[null,null,"NaN"]', 2: '{"k":"x, NaN, \\" -Infinity"}', 3: None, 4: None, 5: None, 6: None}
+
+
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="Missing required columns: recipe_id, tfidf_text"):
         csv_tables.text_documents(spark.range(1))
@@ -94,10 +116,35 @@ def test_lookup_join_with_a_hot_key(spark, how):
     facts = facts.selectExpr("CASE WHEN v = 1 THEN NULL ELSE k END AS k", "v")
     lookup = spark.range(4000).selectExpr("id AS k", "id * 2 AS w").where("k <> -1")
     plain = facts.join(lookup, "k", how)
-    split = lookup_join(facts, lookup, ["k"], how, min_hot_rows=100)
+    for bar in (100, 1_000_000):
+        split = lookup_join(facts, lookup, ["k"], how, min_hot_rows=bar)
+        assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+    given = spark.createDataFrame([(-1,), (7,)], "k long")
+    split = lookup_join(facts, lookup, ["k"], how, hot=given)
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_number_of_hot_keys_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEYS", 2)
+    facts = spark.range(1000).selectExpr("id % 10 AS k").unionByName(spark.range(50).selectExpr("3L AS k"))
+    assert sorted(r.k for r in skew.hot_keys(facts, ["k"], 10).collect()) == [0, 3]
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    df = spark.range(100).selectExpr("id", "repeat('x', 100) AS s")
+    hinted = lambda *bounds: "broadcast" in skew.broadcast_if_small(df, *bounds)._jdf.queryExecution().logical().toString().lower()
+    assert hinted() and not hinted(99) and not hinted(100, 5000)
+
+
+def test_settled_batches_are_the_same_either_way(spark, monkeypatch):
+    df = spark.range(100).selectExpr("id", "id % 7 AS k")
+    for rows in (1000, 10):
+        monkeypatch.setattr(skew, "LOCAL_ROWS", rows)
+        for few in (True, False):
+            kept, local = skew.settle(df, "batch", few)
+            assert (local is None) == (rows == 10) and kept.exceptAll(df).isEmpty() and kept.count() == 100
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, None), (1, "x")], "id int, s string")
     rows = {r.column_name: (r.dtype, r.n_nulls, r.n_rows, r.n_keys) for r in profile.profile(df, "id").collect()}

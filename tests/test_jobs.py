@@ -11,7 +11,7 @@ from quern.plans.checks import normal, search
 def test_pages_to_catalog(spark, sf_dir):
     pages = page_checks.built(spark, sf_dir)
     n_recipes = pages.where(F.col("form").isin(0, 1, 5)).count()
-    corpus = build.build_corpus(pages)
+    corpus = build.build_corpus(pages, "http://x/{id}")
     counts = corpus.counts.first()
     assert counts.total_records == n_recipes
     assert corpus.clean.count() + corpus.quarantine.count() == n_recipes

@@ -110,7 +110,7 @@ def test_categories_and_amounts(spark):
     assert one(spark, " main DISH, ,soup", cells.category_list) == ["Main dish", "Soup"]
     assert one(spark, None, cells.category_list) == []
     df = spark.createDataFrame([(2.0, "cup", "chopped"), (None, "", "diced"), (0.5, "", "")], "q double, u string, p string")
-    got = [r.a for r in df.select(cells.amount_text(F.col("q"), F.col("u"), F.col("p")).alias("a")).collect()]
+    got = [r.a for r in df.select(cells.amount_text(cells.number_text(F.col("q")), F.col("u"), F.col("p")).alias("a")).collect()]
     assert got == ["2 cup chopped", "diced", "0.5"]
     assert one(spark, '["a","b"]', cells.json_strings) == ["a", "b"]
     assert one(spark, "{bad", cells.json_strings) == []
