@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text
+from quern.operators.retrieve import best_rows
 from quern.operators.skew import BROADCAST_ROWS, broadcast_if_small, settle
 from quern.sources.tables import store
 
 DEFAULT_LIMIT = 15
+# Up to this many distinct keys of a batch travel as literals; beyond it the join alone finds the same rows.
+PUSHED_KEYS = 500
 
 
 @dataclass(frozen=True)
 class PhraseIndex:
-    """``phrases(phrase, cnt, sources, stemmed)``, ``prefixes(prefix, phrase, cnt)``, ``words(stem, phrase, cnt)``."""
+    """``phrases(phrase, cnt, sources, stemmed)``, ``prefixes(prefix, phrase, cnt)``, ``words(stem, phrase, cnt)``.
+
+    ``word_prefixes(prefix, phrase, cnt)`` has the prefixes of the words of a phrase.  Each lies in ranges of its
+    first column, sorted, so the keys of a query touch few row groups.
+    """
 
     phrases: DataFrame
     prefixes: DataFrame
     words: DataFrame
     documents: DataFrame
+    word_prefixes: DataFrame
 
 
 def training_phrases(records: DataFrame, id_col: str, title_col: str, names_col: str) -> DataFrame:
@@ -61,12 +69,27 @@ def word_table(phrases: DataFrame) -> DataFrame:
     return phrases.select(F.explode(F.array_distinct(F.split("stemmed", " "))).alias("stem"), "phrase", "cnt")
 
 
+def word_prefix_table(phrases: DataFrame) -> DataFrame:
+    """``(prefix, phrase, cnt)`` for every distinct character prefix of a word of the phrase."""
+    cuts = F.transform(
+        F.split("phrase", " "),
+        lambda word: F.when(F.length(word) > 0, F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: F.substr(word, F.lit(1), n))),
+    )
+    return phrases.select(F.explode(F.array_distinct(F.flatten(F.array_compact(cuts)))).alias("prefix"), "phrase", "cnt")
+
+
 def build_phrase_index(documents: DataFrame, name: str = "phrases") -> PhraseIndex:
-    """Train on ``(doc_id, pos, text, source)`` rows and write the three tables."""
-    phrases = store(one_per_stem(phrase_counts(documents)), f"{name}-phrases", ["phrase"])
-    prefixes = store(prefix_table(phrases), f"{name}-prefixes", ["prefix", "phrase"])
-    words = store(word_table(phrases), f"{name}-words", ["stem", "phrase"])
-    return PhraseIndex(phrases, prefixes, words, documents)
+    """Train on ``(doc_id, pos, text, source)`` rows and write the four tables."""
+    def written(table: DataFrame, kind: str, key: str) -> DataFrame:
+        order = list(dict.fromkeys((key, "phrase")))
+        return store(table.repartitionByRange(*order), f"{name}-{kind}", order)
+
+    # The phrases come out of a grouping that is read once; their ranges are cut from the written rows.
+    phrases = written(store(one_per_stem(phrase_counts(documents)), f"{name}-counted"), "phrases", "phrase")
+    return PhraseIndex(
+        phrases, written(prefix_table(phrases), "prefixes", "prefix"), written(word_table(phrases), "words", "stem"),
+        documents, written(word_prefix_table(phrases), "word-prefixes", "prefix"),
+    )
 
 
 def phrase_facts(index: PhraseIndex) -> DataFrame:
@@ -107,19 +130,47 @@ def _hinted(keys: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(keys) if few else broadcast_if_small(keys)
 
 
-def prefix_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Asked:
+    """The distinct keys of a small batch of queries, to be pushed to the tables as literals."""
+
+    prefixes: frozenset[str]
+    stems: frozenset[str]
+    words: frozenset[str]
+    tails: frozenset[str]
+
+
+def asked_keys(rows: list[dict]) -> Asked:
+    """What a batch of prepared queries will look up."""
+    found = [row for row in rows if row["tokens"]]
+    several = [row for row in found if len(row["tokens"]) > 1]
+    return Asked(
+        frozenset(key for row in found for key in (row["q"], row["stemmed_q"])),
+        frozenset(stem for row in several for stem in row["stems"]),
+        frozenset(row["q"] for row in found if len(row["tokens"]) == 1),
+        frozenset(" ".join(row["tokens"][at:]) for row in several for at in range(1, len(row["tokens"]))),
+    )
+
+
+def _only(table: DataFrame, column: str, keys: frozenset[str] | None) -> DataFrame:
+    """Rows with one of the keys, if these are few enough to be literals; the join that follows needs no others."""
+    return table if keys is None or len(keys) > PUSHED_KEYS else table.where(F.col(column).isin(*sorted(keys)))
+
+
+def prefix_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None) -> DataFrame:
     """Tier 1: phrases that start with the query.  Tier 2: with its words but the last one stemmed."""
     direct = F.struct(F.lit(1).alias("tier"), F.col("q").alias("prefix"))
     stemmed = F.when(F.col("stemmed_q") != F.col("q"), F.struct(F.lit(2).alias("tier"), F.col("stemmed_q").alias("prefix")))
     keys = prepared.where(F.size("tokens") > 0).select("query_id", F.inline(F.array_compact(F.array(direct, stemmed))))
-    return index.prefixes.join(_hinted(keys, few), "prefix").select("query_id", "tier", "phrase", "cnt")
+    table = _only(index.prefixes, "prefix", asked and asked.prefixes)
+    return table.join(_hinted(keys, few), "prefix").select("query_id", "tier", "phrase", "cnt")
 
 
-def phrase_word_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False) -> DataFrame:
+def phrase_word_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None) -> DataFrame:
     """Tier 3, several words: every complete word by stem, and some word that starts with the last."""
     several = prepared.where(F.size("tokens") >= 2)
     keys = several.select("query_id", F.explode("stems").alias("stem"), F.size("stems").alias("needed"), "last")
-    hits = index.words.join(_hinted(keys, few), "stem")
+    hits = _only(index.words, "stem", asked and asked.stems).join(_hinted(keys, few), "stem")
     full = hits.groupBy("query_id", "phrase", "cnt", "needed", "last").agg(F.count(F.lit(1)).alias("found"))
     begins = F.exists(F.split("phrase", " "), lambda word: F.startswith(word, F.col("last")))
     return full.where((F.col("found") == F.col("needed")) & begins).select(
@@ -127,16 +178,14 @@ def phrase_word_matches(index: PhraseIndex, prepared: DataFrame, few: bool = Fal
     )
 
 
-def word_prefix_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False) -> DataFrame:
+def word_prefix_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None) -> DataFrame:
     """Tier 3, one word: any word of the phrase starts with the query."""
     single = prepared.where(F.size("tokens") == 1).select("query_id", F.col("q").alias("prefix"))
-    split = index.phrases.select("phrase", "cnt", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
-    cuts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substr(F.col("word"), F.lit(1), n))
-    hits = split.select("phrase", "cnt", F.explode(cuts).alias("prefix")).join(_hinted(single, few), "prefix")
+    hits = _only(index.word_prefixes, "prefix", asked and asked.words).join(_hinted(single, few), "prefix")
     return hits.select("query_id", F.lit(3).alias("tier"), "phrase", "cnt")
 
 
-def trailing_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False) -> DataFrame:
+def trailing_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None) -> DataFrame:
     """Tier 4: the longest run of last words that some phrase starts with."""
     several = prepared.where(F.size("tokens") >= 2)
     slices = F.transform(
@@ -147,7 +196,7 @@ def trailing_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False)
         ),
     )
     keys = several.select("query_id", F.inline(slices)).withColumn("tier", F.lit(4))
-    hits = index.prefixes.join(_hinted(keys, few), "prefix")
+    hits = _only(index.prefixes, "prefix", asked and asked.tails).join(_hinted(keys, few), "prefix")
     longest = hits.groupBy("query_id").agg(F.max("words").alias("words"))
     return hits.join(longest, ["query_id", "words"], "left_semi").select("query_id", "tier", "phrase", "cnt")
 
@@ -155,8 +204,7 @@ def trailing_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False)
 def merge_tiers(matches: DataFrame, limit: int) -> DataFrame:
     """Each phrase once, in its first tier; inside a tier by count, then alphabetically."""
     first = matches.groupBy("query_id", "phrase").agg(F.min("tier").alias("tier"), F.max("cnt").alias("cnt"))
-    best = Window.partitionBy("query_id").orderBy("tier", F.desc("cnt"), "phrase")
-    return first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return best_rows(first, "query_id", [F.col("tier"), F.desc("cnt"), F.col("phrase")], limit, "phrase")
 
 
 def most_frequent(index: PhraseIndex, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -169,31 +217,34 @@ def suggest(
     id_col: str = "query_id", text_col: str = "query",
 ) -> DataFrame:
     """``(query_id, rank, text, source)`` for one query text or a table of queries."""
-    if isinstance(queries, str):
+    one = isinstance(queries, str)
+    if one:
         queries = index.phrases.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(queries).alias("query"))
         id_col, text_col = "query_id", "query"
     # Both intermediate tables are as small as the batch; without them every tier would repeat the
     # stemming and the last tier would repeat the others.
-    prepared, asked = settle(prepare_queries(queries, id_col, text_col), "suggest-queries")
+    prepared, asked = settle(prepare_queries(queries, id_col, text_col), "suggest-queries", one)
     tokens = None if asked is None else asked["tokens"].to_pylist()
     few = tokens is not None and sum(map(len, tokens)) <= BROADCAST_ROWS
+    keys = None if asked is None else asked_keys(asked.to_pylist())
     found = (
-        prefix_matches(index, prepared, few)
-        .unionByName(phrase_word_matches(index, prepared, few))
-        .unionByName(word_prefix_matches(index, prepared, few))
+        prefix_matches(index, prepared, few, keys)
+        .unionByName(phrase_word_matches(index, prepared, few, keys))
+        .unionByName(word_prefix_matches(index, prepared, few, keys))
     )
-    ranked, hits = settle(merge_tiers(found, limit), "suggest-matches")
+    ranked, hits = settle(merge_tiers(found, limit), "suggest-matches", one)
     if asked is None or hits is None or not set(asked["query_id"].to_pylist()) <= set(hits["query_id"].to_pylist()):
         unmatched = prepared.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
-        tails = merge_tiers(trailing_matches(index, unmatched, few), limit)
-        ranked, _ = settle(ranked.unionByName(tails), "suggest-ranked")
+        tails = merge_tiers(trailing_matches(index, unmatched, few, keys), limit)
+        ranked, hits = settle(ranked.unionByName(tails), "suggest-ranked", one)
     if tokens is None or 0 in map(len, tokens):
         # A blank query gets the same few phrases as any other blank query.
         place = F.row_number().over(Window.orderBy(F.desc("cnt"), "phrase"))
         top = most_frequent(index, limit).withColumns({"rank": place, "tier": F.lit(0)})
         blank = prepared.where(F.size("tokens") == 0).select("query_id", F.lit(0).alias("tier"))
         shown = blank.join(F.broadcast(top), "tier").select("query_id", "phrase", "tier", "cnt", "rank")
-        ranked, _ = settle(ranked.unionByName(shown), "suggest-ranked")
-    labelled = index.phrases.select("phrase", F.array_join("sources", ", ").alias("source"))
+        ranked, hits = settle(ranked.unionByName(shown), "suggest-ranked", one)
+    named_phrases = None if hits is None else frozenset(hits["phrase"].to_pylist())
+    labelled = _only(index.phrases, "phrase", named_phrases).select("phrase", F.array_join("sources", ", ").alias("source"))
     named = labelled.join(ranked, "phrase")
     return named.select("query_id", "rank", F.col("phrase").alias("text"), "source", "tier")

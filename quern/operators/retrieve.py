@@ -11,12 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions.text import shuffled
 from quern.operators.skew import broadcast_if_small, settle
 from quern.operators.tfidf import TextIndex, term_counts
+from quern.sources.tables import store
 
-# Up to this many distinct query terms travel as literals, so that row groups can be skipped.
+# Up to this many distinct query terms travel as literals, so that row groups can be skipped.  Beyond it the
+# same rows are found by the join alone.
 PUSHED_TERMS = 500
 SCORE_DIGITS = 10
+DEFAULT_LIMIT = 20
+# Spark keeps only the best rows of a window per task up to this limit; beyond it a query's rows are first
+# ranked in so many parts.
+TASK_LIMIT = 1000
+PARTS = 64
 
 
 def one_query(index: TextIndex, query: str) -> DataFrame:
@@ -32,7 +40,9 @@ def _only_terms(table: DataFrame, wanted: pa.Table | None) -> DataFrame:
     return table.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else table
 
 
-def query_vectors(index: TextIndex, queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
+def query_vectors(
+    index: TextIndex, queries: DataFrame, id_col: str = "query_id", text_col: str = "query", few: bool = False
+) -> DataFrame:
     """``(query_id, term, query_weight)`` of the known terms, normalised; blank queries yield nothing."""
     tokenised = queries.select(
         F.col(id_col).alias("query_id"), index.analyzer.tokenizer(F.col(text_col)).alias("tokens")
@@ -40,17 +50,23 @@ def query_vectors(index: TextIndex, queries: DataFrame, id_col: str = "query_id"
     if index.analyzer.stopwords:
         stop = list(index.analyzer.stopwords)
         tokenised = tokenised.withColumn("tokens", F.filter("tokens", lambda token: ~token.isin(*stop)))
-    counts, wanted = settle(term_counts(tokenised, index.analyzer, key="query_id"), "query-terms")
+    counts, wanted = settle(term_counts(tokenised, index.analyzer, key="query_id"), "query-terms", few)
     weighted = _only_terms(index.terms.select("term", "idf"), wanted).join(counts, "term")
     weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
     return weighted.select("query_id", "term", (F.col("raw") / norm).alias("query_weight"))
 
 
-def scores(index: TextIndex, vectors: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, score)`` for every document that shares a term with the query."""
-    vectors, wanted = settle(vectors, "query-vectors")
+def scores(index: TextIndex, vectors: DataFrame, allowed: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """``(query_id, doc_id, score)`` for every document that shares a term with the query.
+
+    ``allowed`` holds the ``doc_id`` that may be found, and their ``query_id`` if it differs by query; it is
+    applied to the postings, before anything is summed.
+    """
+    vectors, wanted = settle(vectors, "query-vectors", few)
     matched = _only_terms(index.postings.select("doc_id", "term", "weight"), wanted).join(vectors, "term")
+    if allowed is not None:
+        matched = matched.join(allowed, [name for name in ("query_id", "doc_id") if name in allowed.columns], "left_semi")
     summed = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
     return summed.where(F.col("score") > 0)
 
@@ -59,20 +75,34 @@ def ranking_key(score: str = "score") -> Column:
     return F.round(F.col(score), SCORE_DIGITS)
 
 
+def best_rows(df: DataFrame, per: str, order: list[Column], limit: int, salt: str) -> DataFrame:
+    """The first ``limit`` rows of each group, with their ``rank``.
+
+    A small limit is applied in each task before the shuffle.  A large one is applied to hashed parts of the
+    group first, so that no task ever sorts a whole group; the result is the same.
+    """
+    limit = max(limit, 0)
+    if limit > TASK_LIMIT:
+        part = F.pmod(F.xxhash64(salt), F.lit(PARTS))
+        within = Window.partitionBy(per, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_nth", F.row_number().over(within))
+        df = df.where(F.col("_nth") <= limit).drop("_part", "_nth")
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("rank") <= limit)
+
+
 def top_k(scored: DataFrame, limit: int, per: str = "query_id", by: str = "doc_id") -> DataFrame:
-    """The best ``limit`` rows of each query; each task discards the rest before the shuffle."""
-    best = Window.partitionBy(per).orderBy(ranking_key().desc(), F.col(by))
-    ranked = scored.withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= max(limit, 0))
+    """The best ``limit`` rows of each query."""
+    return best_rows(scored, per, [ranking_key().desc(), F.col(by)], limit, by)
 
 
 def search(
     index: TextIndex, queries: DataFrame | str, limit: int = 5, id_col: str = "query_id", text_col: str = "query"
 ) -> DataFrame:
     """Ranked documents ``(query_id, doc_id, score, rank)`` of one query text or a table of queries."""
-    if isinstance(queries, str):
+    few = isinstance(queries, str)
+    if few:
         queries = one_query(index, queries)
-    return top_k(scores(index, query_vectors(index, queries, id_col, text_col)), limit)
+    return top_k(scores(index, query_vectors(index, queries, id_col, text_col, few), few=few), limit)
 
 
 def top_terms(index: TextIndex, limit: int = 5, doc_id: int | None = None) -> DataFrame:
@@ -80,7 +110,7 @@ def top_terms(index: TextIndex, limit: int = 5, doc_id: int | None = None) -> Da
 
     An unknown document id is an error.
     """
-    postings = index.postings.where(F.col("weight") > 0)
+    postings = index.vectors.where(F.col("weight") > 0)
     if doc_id is not None:
         if index.docs.where(F.col("doc_id") == doc_id).isEmpty():
             raise ValueError(f"unknown document: {doc_id}")
@@ -91,11 +121,11 @@ def top_terms(index: TextIndex, limit: int = 5, doc_id: int | None = None) -> Da
 
 
 def similar_scores(index: TextIndex, doc_id: int) -> DataFrame:
-    source = index.postings.where(F.col("doc_id") == doc_id)
+    source = index.vectors.where(F.col("doc_id") == doc_id)
     vector = source.select(
         F.lit(doc_id).cast("bigint").alias("query_id"), "term", F.col("weight").alias("query_weight")
     )
-    return scores(index, vector).where(F.col("doc_id") != doc_id)
+    return scores(index, vector, few=True).where(F.col("doc_id") != doc_id)
 
 
 def similar(index: TextIndex, doc_id: int, limit: int = 5) -> DataFrame:
@@ -127,6 +157,14 @@ def matching_categories(catalog: DataFrame, filters: list[str], column: str = "c
     return catalog.where(F.arrays_overlap(F.col(column), F.array(*[F.lit(value) for value in filters])))
 
 
+def checked_limit(limit: int | None, maximum: int | None) -> int:
+    """The limit that a request gets; one above the caller's maximum is refused, never shortened."""
+    limit = limit or DEFAULT_LIMIT
+    if maximum is not None and limit > maximum:
+        raise ValueError(f"limit {limit} is above the maximum of {maximum}")
+    return limit
+
+
 def filtered_search(
     index: TextIndex,
     query: str,
@@ -135,19 +173,52 @@ def filtered_search(
     limit: int | None = None,
     id_col: str = "id",
     category_col: str = "categories",
+    maximum: int | None = None,
+    seed: int | None = None,
 ) -> DataFrame:
-    """Ranked search among the documents of the given categories.
+    """``(query_id, doc_id, score, rank)`` among the documents of the given categories.
 
-    The filter is applied before the top-k; weights still come from the whole corpus.
+    The filter is applied to the postings, before scores are summed; weights still come from the whole
+    corpus.  A blank query browses: documents of the categories in random order, which a seed makes
+    repeatable, without a score.
     """
-    limit = min(limit or 20, 20)
-    if not query.strip():
-        raise ValueError("a blank query is a browse: use catalog.browse")
+    limit = checked_limit(limit, maximum)
     allowed = matching_categories(catalog, filters, category_col).select(F.col(id_col).alias("doc_id"))
-    scored = scores(index, query_vectors(index, one_query(index, query)))
-    if filters:
-        scored = scored.join(allowed, "doc_id", "left_semi")
-    return top_k(scored, limit)
+    if not query.strip():
+        chance = F.rand() if seed is None else shuffled("doc_id", seed)
+        shown = allowed.select(F.lit(0).cast("bigint").alias("query_id"), "doc_id", chance.alias("_chance"))
+        first = best_rows(shown.orderBy("_chance", "doc_id").limit(limit), "query_id", [F.col("_chance"), F.col("doc_id")], limit, "doc_id")
+        return first.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"), "rank")
+    vectors = query_vectors(index, one_query(index, query), few=True)
+    return top_k(scores(index, vectors, allowed if filters else None, few=True), limit)
+
+
+def answer_requests(
+    index: TextIndex, catalog: DataFrame, requests: DataFrame, limit: int = DEFAULT_LIMIT, seed: int = 0,
+    id_col: str = "id", category_col: str = "categories",
+) -> DataFrame:
+    """Answer a table of requests ``(query_id, query, filters)``: ``(query_id, doc_id, score, rank)``.
+
+    Each is a ranked search or, if its query is blank, a browse in seeded order; no filter admits every document.
+    """
+    asked = store(requests.select("query_id", F.coalesce("query", F.lit("")).alias("query"), "filters"), "requests")
+    open_ = F.size(F.coalesce("filters", F.array().cast("array<string>"))) <= 0
+    blank = F.trim("query") == ""
+    # Every document once per category; a request meets only the documents of its own categories.
+    listed = catalog.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(category_col)).alias("category"))
+    filtered = asked.where(~open_).select("query_id", "query", F.explode(F.array_distinct("filters")).alias("category"))
+    allowed = store(listed.join(filtered, "category").select("query_id", "query", "doc_id").distinct(), "allowed")
+    texts = asked.where(~blank)
+    free = scores(index, query_vectors(index, texts.where(open_)))
+    bound = scores(index, query_vectors(index, texts.where(~open_)), allowed.select("query_id", "doc_id"))
+    found = top_k(free.unionByName(bound), limit).select("query_id", "doc_id", "score", "rank")
+    order = [shuffled("doc_id", seed), F.col("doc_id")]
+    # All requests without text and filter show the same documents.
+    first = catalog.select(F.col(id_col).alias("doc_id")).orderBy(*order).limit(limit).withColumn("_all", F.lit(True))
+    shown = asked.where(blank & open_).select("query_id", F.lit(True).alias("_all")).join(first, "_all").select("query_id", "doc_id")
+    shown = shown.unionByName(allowed.where(blank).select("query_id", "doc_id"))
+    browsed = best_rows(shown, "query_id", order, limit, "doc_id")
+    return found.unionByName(browsed.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"), "rank"))
 
 
 def with_titles(results: DataFrame, catalog: DataFrame, id_col: str = "id", title_col: str = "title") -> DataFrame:

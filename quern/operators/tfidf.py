@@ -1,9 +1,10 @@
 """Weighted term index over a document table.
 
-The index is three tables: ``postings(doc_id, term, tf, weight)``, ``terms(term, df, total_tf, idf)``
-and ``docs(doc_id, n_terms, norm)``.  Postings end up grouped by document and sorted by term inside each
-file: a query reads only the row groups that can hold its terms, and sums a document's score inside
-one task before anything is shuffled.
+The index is four tables: ``postings(doc_id, term, tf, weight)``, ``terms(term, df, total_tf, idf)``,
+``docs(doc_id, n_terms, norm)`` and ``vectors``, the postings once more.  Postings lie in ranges of (term,
+document): a rare term is in one file, a frequent one spreads over several, and a query reads only the row
+groups that can hold its terms.  Vectors lie in ranges of (document, term), so one document's terms are
+read without touching the others.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import fixed, text
-from quern.operators.skew import lookup_join
+from quern.operators.skew import HOT_KEYS, MIN_HOT_ROWS, lookup_join
 from quern.sources.tables import store
 
 
@@ -40,6 +41,7 @@ class TextIndex:
     terms: DataFrame
     docs: DataFrame
     analyzer: Analyzer
+    vectors: DataFrame
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = WORDS) -> DataFrame:
@@ -132,22 +134,26 @@ def build_index(
     terms = terms.withColumn("idf", smooth_idf(F.col("df"), n_docs))
     terms = store(terms, f"{name}-terms", ["term"])
 
-    # Every frequent term repeats in many documents, hence the skew-proof join.  Afterwards a single
-    # shuffle by document serves the norm and the final layout; a group is one document's terms.
-    weighted = lookup_join(counts, terms.select("term", "idf"), ["term"])
-    weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
+    # Every frequent term repeats in many documents, hence the skew-proof join; the document frequencies
+    # already tell which.  Ranges of documents then serve the norm and the layout of the vectors; a group
+    # is one document's terms.
+    hot = terms.where(F.col("df") >= MIN_HOT_ROWS).orderBy(F.desc("df"), "term").limit(HOT_KEYS)
+    weighted = lookup_join(counts, terms.select("term", "idf"), ["term"], hot=hot.select("term"))
+    weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf")).repartitionByRange("doc_id")
     in_doc = Window.partitionBy("doc_id")
     normal = weighted.withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(in_doc)))
-    postings = store(
+    vectors = store(
         normal.select("doc_id", "term", "tf", (F.col("raw") / F.col("norm")).alias("weight"), "norm"),
-        f"{name}-postings", ["term", "doc_id"],
+        f"{name}-vectors", ["doc_id", "term"],
     )
-    stats = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.first("norm").alias("norm"))
+    stats = vectors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.first("norm").alias("norm"))
     known = docs.select(F.col(id_col).alias("doc_id")).join(stats, "doc_id", "left")
     known = known.select(
         "doc_id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("norm", F.lit(0.0)).alias("norm")
     )
-    return TextIndex(postings.drop("norm"), terms, store(known, f"{name}-docs", ["doc_id"]), analyzer)
+    vectors = vectors.drop("norm")
+    postings = store(vectors.repartitionByRange("term", "doc_id"), f"{name}-postings", ["term", "doc_id"])
+    return TextIndex(postings, terms, store(known, f"{name}-docs", ["doc_id"]), analyzer, vectors)
 
 
 def index_facts(index: TextIndex) -> DataFrame:

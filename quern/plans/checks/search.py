@@ -9,7 +9,7 @@ from quern.functions.cells import category_list
 from quern.functions.text import strip
 from quern.operators import retrieve, tfidf
 from quern.plans.checks.registry import Check
-from quern.plans.tables import shared, table
+from quern.plans.tables import derive, shared, table
 
 QUERY = "the nation and their eauxment über"
 SOURCE_DOC = 1
@@ -147,6 +147,32 @@ def v14_filtered_search(spark, sf_dir):
     return found.select("doc_id", "rank", rounded("score"))
 
 
+def v14_filtered_deep(spark, sf_dir):
+    """A limit above the default is honoured."""
+    found = retrieve.filtered_search(index(spark, sf_dir), QUERY, document_catalog(spark, sf_dir), FILTERS, limit=50)
+    return found.select("doc_id", "rank", rounded("score"))
+
+
+# Every fourth request is blank; a third of them has no filter.
+REQUESTS = """
+SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN ' ' ELSE text END AS query, item_id % 3 AS kind FROM {benchmark}
+"""
+SEED = 7
+
+
+def v14_requests(spark, sf_dir):
+    filters = F.when(F.col("kind") == 1, F.array(F.lit("Fr"))).when(F.col("kind") == 2, F.array(F.lit("En"), F.lit("Src3")))
+    requests = derive(spark, sf_dir, REQUESTS).withColumn("filters", filters)
+    found = retrieve.answer_requests(index(spark, sf_dir), document_catalog(spark, sf_dir), requests, 10, SEED)
+    return found.select("query_id", "doc_id", "rank", rounded("score"))
+
+
+def v10_search_deep(spark, sf_dir):
+    """More rows per query than a task keeps by itself."""
+    found = retrieve.search(index(spark, sf_dir), benchmark(spark, sf_dir), 5000, "item_id", "text")
+    return found.select("query_id", "doc_id", "rank", rounded("score"))
+
+
 def v15_titles(spark, sf_dir):
     """Only labelled documents have a title here, so the others read as unknown."""
     labelled = with_titles(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
@@ -208,6 +234,8 @@ SIMILAR_SQL = INDEX_SQL + f""", scored AS (
 )"""
 TITLES_SQL = """SELECT doc_id, split_part(text, chr(10), 1) AS title,
   substr(text, length(split_part(text, chr(10), 1)) + 1) AS body FROM documents"""
+ADMITTED = """(query_id % 3 = 0 OR (query_id % 3 = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr'))
+  OR (query_id % 3 = 2 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en' OR source = 'src3')))"""
 COUNT_COLUMNS = """count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS sum_tf, CAST(sum(tf * tf) AS BIGINT) AS sum_squares"""
 
 CHECKS = {
@@ -245,6 +273,8 @@ CHECKS = {
         SELECT doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10"""),
     "v10_search_batch": Check(v10_search_batch, ranked_sql(BATCH) + """
         SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5"""),
+    "v10_search_deep": Check(v10_search_deep, ranked_sql(BATCH) + """
+        SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5000"""),
     "v11_top_terms": Check(v11_top_terms, INDEX_SQL + """
         SELECT doc_id, rank, term, round(weight, 6) AS weight FROM (
           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 10) DESC, term) AS rank FROM postings)
@@ -259,6 +289,15 @@ CHECKS = {
     "v14_filtered_search": Check(v14_filtered_search, ranked_sql(
         ONE_QUERY, "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3')") + """
         SELECT doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 20"""),
+    "v14_filtered_deep": Check(v14_filtered_deep, ranked_sql(
+        ONE_QUERY, "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3')") + """
+        SELECT doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 50"""),
+    "v14_requests": Check(v14_requests, ranked_sql(
+        "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 4 <> 0", ADMITTED) + f""", browsed AS (
+          SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(concat(doc_id, ':{SEED}')), doc_id) AS rank
+          FROM (SELECT item_id AS query_id FROM benchmark WHERE item_id % 4 = 0), documents WHERE {ADMITTED})
+        SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10
+        UNION ALL SELECT query_id, doc_id, rank, NULL FROM browsed WHERE rank <= 10"""),
     "v15_titles": Check(v15_titles, ranked_sql(ONE_QUERY) + f""", titles AS ({TITLES_SQL})
         SELECT r.doc_id, rank, coalesce(trim(title, chr(9) || chr(10) || chr(13) || ' '), 'Unknown') AS title
         FROM ranked r LEFT JOIN (SELECT * FROM titles WHERE doc_id IN (SELECT doc_id FROM labels)) t USING (doc_id)

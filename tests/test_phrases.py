@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import phrases
 
@@ -60,3 +61,22 @@ def test_facts(index):
     facts = {r.fact: r.n for r in phrases.phrase_facts(index).collect()}
     assert facts["phrases"] == index.phrases.count()
     assert facts["prefix_entries"] == sum(len(r.phrase) for r in index.phrases.collect())
+
+
+def test_keys_reach_the_tables_as_filters(spark, index):
+    rows = phrases.prepare_queries(spark.createDataFrame([(1, "garlic tomato p"), (2, "chick")], "query_id int, query string"))
+    keys = phrases.asked_keys([row.asDict() for row in rows.collect()])
+    assert keys.words == {"chick"} and {"tomato p", "p"} <= keys.tails and "chick" in keys.prefixes
+    for find in (phrases.prefix_matches, phrases.phrase_word_matches, phrases.word_prefix_matches, phrases.trailing_matches):
+        plan = find(index, rows, True, keys)._jdf.queryExecution().executedPlan().toString()
+        assert "In(prefix" in plan or "In(stem" in plan or "EqualTo(prefix" in plan, plan
+        assert "Generate explode(transform(sequence(1, length(word" not in plan
+    few, many = (sorted(map(str, phrases.suggest(index, rows.select("query_id", F.col("q").alias("query"))).collect())) for _ in range(2))
+    assert few == many
+
+
+def test_many_keys_find_the_same(spark, index, monkeypatch):
+    queries = spark.createDataFrame([(1, "mango sa"), (2, "garlic tomato p"), (3, "chick"), (4, "")], "query_id int, query string")
+    few = sorted(map(str, phrases.suggest(index, queries).collect()))
+    monkeypatch.setattr(phrases, "PUSHED_KEYS", 0)
+    assert sorted(map(str, phrases.suggest(index, queries).collect())) == few

@@ -99,3 +99,56 @@ def test_stemmed_search_and_category_filter(spark):
     assert [r.doc_id for r in found.collect()] == [2]
     named = retrieve.with_titles(found, spark.createDataFrame([(7, "x")], "id bigint, title string"))
     assert named.first().title == "Unknown"
+
+
+def test_deep_limits_equal_shallow_ones(spark, monkeypatch):
+    index = index_of(spark, [(at, f"common word{at % 7} extra{at % 3}") for at in range(200)])
+    whole = retrieve.search(index, "common word3 extra1", 150)
+    shallow = [tuple(r) for r in whole.orderBy("rank").collect()]
+    monkeypatch.setattr(retrieve, "TASK_LIMIT", 10)
+    deep = retrieve.search(index, "common word3 extra1", 150)
+    assert [tuple(r) for r in deep.orderBy("rank").collect()] == shallow and len(shallow) == 150
+
+
+def test_a_deep_limit_never_sorts_a_whole_query(spark):
+    index = index_of(spark, [(1, "tomato basil"), (2, "tomato")])
+    plan = retrieve.search(index, "tomato", 5000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and "_part" in plan
+
+
+def test_one_document_reads_few_row_groups(spark, sf_dir):
+    """Vectors are sorted by document, so the ranges that the files hold do not overlap."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = tfidf.build_index(docs, "doc_id", "text")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = index.vectors.groupBy(F.input_file_name().alias("f")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("lo").collect()
+    assert len(ranges) > 1 and all(a.hi < b.lo for a, b in zip(ranges, ranges[1:]))
+    assert sum(r.lo <= 5 <= r.hi for r in ranges) == 1
+    shown = retrieve.similar_scores(index, 5)
+    assert not shown.isEmpty()
+    terms = index.postings.groupBy(F.input_file_name().alias("f")).agg(F.min("term").alias("lo"), F.max("term").alias("hi")).orderBy("lo", "hi").collect()
+    assert all(a.hi <= b.lo for a, b in zip(terms, terms[1:]))
+
+
+def test_requests(spark):
+    index = index_of(spark, [(1, "tomato basil"), (2, "tomato soup"), (3, "bread"), (4, "basil")])
+    catalog = spark.createDataFrame([(1, ["A"]), (2, ["B"]), (3, ["A", "B"]), (4, None)], "id bigint, categories array<string>")
+    with pytest.raises(ValueError):
+        retrieve.filtered_search(index, "tomato", catalog, [], limit=21, maximum=20)
+    assert [r.doc_id for r in retrieve.filtered_search(index, "tomato", catalog, ["B"]).collect()] == [2]
+    for seed in (None, 3):
+        blank = retrieve.filtered_search(index, "  ", catalog, ["A"], seed=seed).collect()
+        assert {r.doc_id for r in blank} == {1, 3} and sorted(r["rank"] for r in blank) == [1, 2] and blank[0].score is None
+    asked = spark.createDataFrame(
+        [(1, "tomato", []), (2, "tomato", ["A"]), (3, " ", ["B"]), (4, None, None), (5, "nothing known", None), (6, "basil", ["C"])],
+        "query_id bigint, query string, filters array<string>",
+    )
+    rows = retrieve.answer_requests(index, catalog, asked, limit=3, seed=1).collect()
+    found = {}
+    for row in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault(row.query_id, []).append(row.doc_id)
+    assert found[1] in ([1, 2], [2, 1]) and found[2] == [1] and set(found[3]) == {2, 3} and len(found[4]) == 3 and set(found) == {1, 2, 3, 4}
+    assert [r.doc_id for r in retrieve.filtered_search(index, "", catalog, [], limit=3, seed=1).orderBy("rank").collect()] == found[4]
