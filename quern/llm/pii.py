@@ -150,7 +150,10 @@ def disclosing(docs: DataFrame, text_col: str, plan: Plan = Plan()) -> DataFrame
     entity = F.concat_ws(":", F.col("span.kind"), F.lower("span.value"))
     beside = store(spans.select("text_key", entity.alias("entity"), F.explode(near).alias("t")).select("text_key", "entity", "t.*"), "pii-beside")
     pairs = beside.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = store(pairs.where(F.col("n_te") >= plan.min_texts), "pii-pairs")
+    # A term's texts are at least those that hold it beside any entity, which rules most common words out at once.
+    anywhere = beside.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    pairs = pairs.where(F.col("n_te") >= plan.min_texts).join(anywhere, "term")
+    pairs = store(pairs.where(F.col("n_te") >= plan.min_disclosure * F.col("n_beside")).drop("n_beside"), "pii-pairs")
     entities = (
         spans.select(entity.alias("entity"), "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
         .where(F.col("n_e") >= plan.min_texts)
