@@ -11,10 +11,11 @@ Steps, each written to the shared folder:
 2. documents with equal digests form a class; from here on only the smallest member stands for it;
 3. bands shared by several classes are buckets.  Star rounds compare each member with one centre per bucket, which
    takes as many pairs as members; components of the confirmed links are contracted;
-4. the last round takes every remaining pair of a bucket whose ends lie in different components, so no link between
+4. the last round takes the buckets that hold members of several components.  Small ones give their pairs; large ones
+   are looked through chunk by chunk, comparing wide sketches of members of different components.  So no link between
    components is lost, while groups that are already connected cost nothing more;
 5. a pair is confirmed on the full sets.  Before that it must pass two tests on its sketches: the sizes allow the
-   similarity, and the share of equal coordinates is not more than six standard deviations below it.
+   similarity, and the share of equal coordinates is not more than five standard deviations below it.
 
 With 40 bands of 5 coordinates a pair at similarity 0.8 shares no band with a probability of 1.2e-7.
 """
@@ -35,6 +36,10 @@ from quern.sources.tables import store
 
 # Members of one centre that are joined in one task; larger stars are split over several.
 SALT_ROWS = 256
+# Members of a bucket that are compared in one go in the last round.
+OPEN_ROWS = 1024
+# In the last round buckets up to this size give their pairs; larger ones are looked through in place.
+FEW_ROWS = 8
 
 
 @dataclass(frozen=True)
@@ -45,16 +50,23 @@ class Sketch:
     percent: int = 80
     bands: int = 40
     rows: int = 5
+    wide: int = 800
 
     @property
     def bins(self) -> int:
         return self.bands * self.rows
 
+    def least(self, bins: int) -> int:
+        """Equal coordinates below which a pair is not looked at: five standard deviations under the threshold.
+
+        A pair at the threshold falls below that about as rarely as it shares no band.
+        """
+        share = self.percent / 100
+        return int(bins * share - 5 * (bins * share * (1 - share)) ** 0.5)
+
     @property
     def least_equal(self) -> int:
-        """Equal coordinates below which a pair is not looked at: six standard deviations under the threshold."""
-        share = self.percent / 100
-        return int(self.bins * share - 6 * (self.bins * share * (1 - share)) ** 0.5)
+        return self.least(self.bins)
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +76,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarr
 
 
 def sketch(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
-    """A row of ``bins`` coordinates for every set; the rows of empty sets stay at the largest value."""
+    """A row of ``bins`` (fewer than 1024) coordinates for every set; the rows of empty sets stay at the largest value."""
     n = len(bounds) - 1
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     state = np.full((n, bins), empty, np.uint64)
@@ -74,7 +86,7 @@ def sketch(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
         if not len(left):
             break
         h = flat.mix(values ^ np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        value = (h >> np.uint64(10)) | np.uint64(turn << 54)
+        value = (h >> np.uint64(11)) | np.uint64(turn << 53)
         if turn < bins:
             place = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
             np.minimum.at(flat_state, owner * bins + place, value)
@@ -144,11 +156,20 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _marked(keys: pa.Array, bits: np.ndarray) -> pa.Array:
+    key = keys.to_numpy(zero_copy_only=False)
+    return pa.array(((bits[(key % WANTED_BITS) >> 3] >> (key % 8).astype(np.uint8)) & 1).astype(bool))
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the ids that are wanted, and a few others; spares the shuffle of the rest."""
+    bits = rows.sparkSession.sparkContext.broadcast(_wanted(ids))
+    return rows.where(F.arrow_udf(lambda keys: _marked(keys, bits.value), "boolean")(F.xxhash64("id")))
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch], bits, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key = batch.column(2).to_numpy(zero_copy_only=False)
-        wanted = (bits.value[(key % WANTED_BITS) >> 3] >> (key % 8).astype(np.uint8)) & 1
-        batch = batch.filter(pa.array(wanted.astype(bool)))
+        batch = batch.filter(_marked(batch.column(2), bits.value))
         data, offsets = flat.utf8(batch.column(1))
         for lo, hi in flat.runs(offsets):
             values, bounds = sets_of(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], words)
@@ -175,13 +196,11 @@ def _with_both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFra
     load = store(load, "load")
     left = rows.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
     right = rows.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    light = pairs.join(load, "b", "left_anti").join(left, "a").join(right, "b")
-    heavy = (
-        pairs.join(load, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts").join(left, "a")
-        .join(right.join(load, "b").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts"), ["b", "part"])
-        .drop("part")
-    )
-    return light.unionByName(heavy)
+    if load.isEmpty():
+        return pairs.join(left, "a").join(right, "b")
+    dealt = pairs.join(load, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = right.join(load, "b", "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+    return dealt.join(left, "a").join(copies, ["b", "part"]).drop("part")
 
 
 def _equal(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -201,7 +220,10 @@ def _likely(pairs: DataFrame, rows: DataFrame, plan: Sketch) -> DataFrame:
     return store(both.where(equal("a_low", "b_low") >= plan.least_equal).select("a", "b"), "likely")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Sketch) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Sketch, few: bool = True) -> DataFrame:
+    """Pairs that are links.  ``few`` says that many sets are in no pair, and had better not be shuffled."""
+    if few:
+        sets = store(_only(sets, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "sets-in-pairs")
     both = _with_both(pairs, sets, ["shingles"])
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     both = both.select("a", "b", common.cast("long").alias("common"), (F.size("a_shingles") + F.size("b_shingles")).cast("long").alias("total"))
@@ -223,17 +245,19 @@ def groups(docs: DataFrame, id_col: str, text_col: str, plan: Sketch = Sketch())
     members = store(
         table.select("id", "n_shingles", "digest_a", "digest_b")
         .join(several, ["digest_a", "digest_b", "n_shingles"], "left")
-        .select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "id")).otherwise(F.col("id")).alias("class_id")),
+        .select("id", "n_shingles", F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("class_id", "id")).alias("class_id")),
         "members",
     )
     first = full.join(several, ["digest_a", "digest_b", "n_shingles"], "left").where("class_id IS NULL OR class_id = id")
-    first = store(first.select("id", "n_shingles", "low", "bands", "digest_a", "digest_b").dropDuplicates(["id", "digest_a", "digest_b"]).drop("digest_a", "digest_b"), "first")
-    links = links_between(docs, id_col, text_col, first, plan)
-    same_id = members.where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-    roots = components(links.unionByName(same_id))
+    first = first.select("id", "n_shingles", "low", "bands", "digest_a", "digest_b").dropDuplicates(["id", "digest_a", "digest_b"])
+    first = store(first.drop("digest_a", "digest_b"), "first")
+    # The classes that one repeated id stands in belong together.
+    torn = members.groupBy("id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("high")).where("b <> high").drop("high")
+    same_id = members.join(torn, "id").select(F.col("class_id").alias("a"), "b")
+    roots = components(links_between(docs, id_col, text_col, first, plan).unionByName(same_id))
     return (
-        members.join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("id", "n_shingles", "class_id", F.coalesce("root", "id").alias("component_id"))
+        members.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
+        .select("id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     )
 
 
@@ -255,38 +279,135 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) ->
 
 
 def links_between(docs: DataFrame, id_col: str, text_col: str, first: DataFrame, plan: Sketch) -> DataFrame:
-    """Confirmed links ``(a, b)`` that connect all classes that are linked, directly or over others."""
-    entries = first.select("id", "n_shingles", F.explode("bands").alias("band"))
+    """Links ``(a, b)`` that connect all classes that are linked, directly or over others, and no more."""
+    entries = first.select("id", F.posexplode("bands").alias("place", "band"))
     stars = (
-        entries.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("far"), F.min_by("id", F.xxhash64("id")).alias("any"))
-        .where("centre <> far")
+        entries.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("far"), F.min_by("id", F.xxhash64("id", "band")).alias("any"))
+        .where("centre <> far").drop("far")
     )
-    # One row for every class in every bucket of two or more, with three centres to be compared with.
+    # One row for every class in every bucket of two or more.  The first centre is the same in most buckets of a
+    # group, the second is another one in each.
     bucket = store(entries.join(store(stars, "stars"), "band"), "buckets")
     if bucket.isEmpty():
         return bucket.select(F.col("id").alias("a"), F.col("id").alias("b"))
     sets = store(shingle_sets(docs, id_col, text_col, bucket.select("id"), plan.words), "sets")
-    links, done = None, None
-    for centre in ("centre", "any", "far"):
-        pairs = bucket.where(f"id <> {centre}").select(F.col("id").alias("a"), F.col(centre).alias("b"))
-        if done is not None:
-            pairs = _apart(pairs, done)
-        found = _confirmed(_likely(store(pairs.distinct(), "pairs"), first, plan), sets, plan)
-        links = found if links is None else links.unionByName(found)
-        done = components(links)
+    marks = first.select("id", "n_shingles", "low")
+    pairs = bucket.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    done = components(_confirmed(_likely(store(pairs, "pairs"), marks, plan), sets, plan, few=False))
+    pairs = bucket.where("id <> any").select(F.least("id", "any").alias("a"), F.greatest("id", "any").alias("b"))
+    pairs = store(_apart(pairs, done).distinct(), "pairs")
+    links = _star(done).unionByName(_confirmed(_likely(pairs, marks, plan), sets, plan))
+    done = components(links)
     labelled = bucket.join(done.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", "n_shingles", F.coalesce("root", "id").alias("root")
+        "band", "place", "id", F.coalesce("root", "id").alias("root")
     )
     labelled = store(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_rows = store(labelled.join(store(mixed.select("band"), "mixed"), "band"), "open")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    rest = a.join(b, F.expr(
-        "a.band = b.band AND a.root < b.root AND "
-        f"100 * least(a.n_shingles, b.n_shingles) >= {plan.percent} * greatest(a.n_shingles, b.n_shingles)"
-    )).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    found = _confirmed(_likely(store(rest.distinct(), "pairs"), first, plan), sets, plan)
-    return links.unionByName(found)
+    mixed = labelled.groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / OPEN_ROWS).cast("int").alias("chunks"),
+        F.count("*").alias("n"),
+    ).where("low <> high").select("band", "chunks", "n")
+    rows = store(labelled.join(store(mixed, "mixed"), "band"), "open")
+    small = store(_small_pairs(rows.where(F.col("n") <= FEW_ROWS)), "pairs")
+    rows = rows.where(F.col("n") > FEW_ROWS)
+    likely = _likely(small, marks, plan)
+    wide = _only(sets, rows.select("id")).mapInArrow(
+        lambda batches: _wide_batches(batches, plan), f"id {rows.schema['id'].dataType.simpleString()}, n int, low binary, wide binary"
+    )
+    likely = store(likely.unionByName(_open_pairs(rows, store(wide, "wide"), plan)).distinct(), "likely")
+    found = _confirmed(likely, sets, plan)
+    return _star(done).unionByName(found)
+
+
+def _small_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of a few rows, each once."""
+    members = rows.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("m"))
+    pairs = members.select(F.explode(F.expr(
+        "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.root <> x.root), y -> struct(x.id AS a, y.id AS b))))"
+    )).alias("pair"))
+    return pairs.select("pair.*").where("a <> b").distinct()
+
+
+def _star(done: DataFrame) -> DataFrame:
+    """Links that connect each component over its root."""
+    return done.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _wide_batches(batches: Iterator[pa.RecordBatch], plan: Sketch) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            lists = part.column(1)
+            bounds = np.asarray(lists.offsets).astype(np.int64)
+            values = np.asarray(lists.values)[bounds[0]:bounds[-1]].view(np.uint64)
+            bounds = bounds - bounds[0]
+            low, wide = (flat.mix(sketch(values, bounds, bins)).astype(np.uint8) for bins in (plan.bins, plan.wide))
+            yield pa.record_batch({
+                "id": part.column(0), "n": pa.array(np.diff(bounds).astype(np.int32)),
+                "low": pa.array([row.tobytes() for row in low], pa.binary()), "wide": pa.array([row.tobytes() for row in wide], pa.binary()),
+            })
+
+
+def _open_pairs(rows: DataFrame, wide: DataFrame, plan: Sketch) -> DataFrame:
+    """Pairs of a bucket whose ends lie in different components and whose wide sketches leave room for a link.
+
+    A bucket is cut into chunks, and each pair of chunks is looked through by itself, so no task holds a whole one.
+    """
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    dealt = rows.select("band", "place", "id", "root", chunk.alias("chunk"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
+    dealt = dealt.select("band", "place", "id", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    dealt = dealt.join(wide, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ("band", "i", "j", "place", "chunk", "id", "root", "n", "low", "wide")
+    return store(dealt.select(*names).mapInArrow(lambda batches: _open_batches(batches, plan), f"a {kind}, b {kind}").distinct(), "open-pairs")
+
+
+def _open_batches(batches: Iterator[pa.RecordBatch], plan: Sketch) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("id").type
+        keys = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        edges = [0, *cuts.tolist(), len(batch)]
+        for lo, hi in zip(edges, edges[1:]):
+            part = batch.slice(lo, hi - lo)
+            if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in range(3)):
+                yield from _compare_group(held, plan, kind)
+                held = []
+            held.append(part)
+    if held:
+        yield from _compare_group(held, plan, kind)
+
+
+def _compare_group(parts: list[pa.RecordBatch], plan: Sketch, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(parts).combine_chunks()
+    if len(table) < 2:
+        return
+    chunk, n = table["chunk"].to_numpy(), table["n"].to_numpy().astype(np.int64)
+    roots = np.unique(np.array(table["root"].to_pylist()), return_inverse=True)[1]
+    place, i, j = (table[name][0].as_py() for name in ("place", "i", "j"))
+    low, wide = (np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(len(table), -1) for name in ("low", "wide"))
+    left = np.flatnonzero(chunk == i)
+    right = np.flatnonzero(chunk == j)
+    found: list[np.ndarray] = []
+    for a in left.tolist():
+        b = right[right > a] if i == j else right
+        b = b[(roots[b] != roots[a]) & (100 * np.minimum(n[b], n[a]) >= plan.percent * np.maximum(n[b], n[a]))]
+        if not len(b):
+            continue
+        same = low[b] == low[a]
+        shared = same.reshape(len(b), plan.bands, plan.rows).all(axis=2)
+        # A pair is taken in the first band that it shares, and left alone in the others.
+        b = b[(shared.argmax(axis=1) == place) & shared[:, place] & (same.sum(axis=1) >= plan.least_equal)]
+        if len(b):
+            b = b[(wide[b] == wide[a]).sum(axis=1) >= plan.least(plan.wide)]
+        if len(b):
+            found.append(np.column_stack((np.full(len(b), a), b)))
+    if found:
+        pairs = np.concatenate(found)
+        ids = table["id"].combine_chunks()
+        a, b = (ids.take(pa.array(pairs[:, side])).cast(kind) for side in (0, 1))
+        yield pa.record_batch({"a": a, "b": b})
 
 
 def _apart(pairs: DataFrame, done: DataFrame) -> DataFrame:

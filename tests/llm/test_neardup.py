@@ -73,6 +73,7 @@ def near_copies(seed):
 def test_groups_equal_brute_force(spark, monkeypatch, size, chunk):
     monkeypatch.setattr(neardup, "OPEN_ROWS", chunk)
     monkeypatch.setattr(neardup, "SALT_ROWS", 16 if chunk < 100 else 256)
+    monkeypatch.setattr(neardup, "FEW_ROWS", 0 if chunk < 100 else 8)
     rows = near_copies(size)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = neardup.groups(docs, "doc_id", "text", neardup.Sketch(words=size)).collect()
