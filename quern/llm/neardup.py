@@ -105,6 +105,14 @@ def sketch(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     return state
 
 
+def band_hashes(coordinates: np.ndarray, plan: Sketch) -> np.ndarray:
+    """One hash for each band of every row of coordinates."""
+    band = np.zeros((len(coordinates), plan.bands), np.uint64) + np.arange(1, plan.bands + 1, dtype=np.uint64)
+    for row in range(plan.rows):
+        band = flat.mix(band ^ coordinates[:, row::plan.rows])
+    return band
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch], plan: Sketch) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat.utf8(batch.column(1))
@@ -118,9 +126,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], plan: Sketch) -> Iterator
             for seed in (1, 2):
                 total = np.concatenate(([0], np.cumsum(flat.mix(values * np.uint64(2 * seed + 1) + np.uint64(seed)), dtype=np.uint64)))
                 digest.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-            band = np.zeros((n, plan.bands), np.uint64) + np.arange(1, plan.bands + 1, dtype=np.uint64)
-            for row in range(plan.rows):
-                band = flat.mix(band ^ coordinates[:, row::plan.rows])
+            band = band_hashes(coordinates, plan)
             low = flat.mix(coordinates).astype(np.uint8)
             full = np.flatnonzero(sizes)
             band_offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, plan.bands, 0)))).astype(np.int32)
@@ -311,7 +317,7 @@ def links_between(docs: DataFrame, id_col: str, text_col: str, first: DataFrame,
     rows = rows.where(F.col("n") > FEW_ROWS)
     likely = _likely(small, marks, plan)
     wide = _only(sets, rows.select("id")).mapInArrow(
-        lambda batches: _wide_batches(batches, plan), f"id {rows.schema['id'].dataType.simpleString()}, n int, low binary, wide binary"
+        lambda batches: _wide_batches(batches, plan), f"id {rows.schema['id'].dataType.simpleString()}, n int, bands binary, wide binary"
     )
     likely = store(likely.unionByName(_open_pairs(rows, store(wide, "wide"), plan)).distinct(), "likely")
     found = _confirmed(likely, sets, plan)
@@ -340,10 +346,11 @@ def _wide_batches(batches: Iterator[pa.RecordBatch], plan: Sketch) -> Iterator[p
             bounds = np.asarray(lists.offsets).astype(np.int64)
             values = np.asarray(lists.values)[bounds[0]:bounds[-1]].view(np.uint64)
             bounds = bounds - bounds[0]
-            low, wide = (flat.mix(sketch(values, bounds, bins)).astype(np.uint8) for bins in (plan.bins, plan.wide))
+            bands = band_hashes(sketch(values, bounds, plan.bins), plan)
+            wide = flat.mix(sketch(values, bounds, plan.wide)).astype(np.uint8)
             yield pa.record_batch({
                 "id": part.column(0), "n": pa.array(np.diff(bounds).astype(np.int32)),
-                "low": pa.array([row.tobytes() for row in low], pa.binary()), "wide": pa.array([row.tobytes() for row in wide], pa.binary()),
+                "bands": pa.array([row.tobytes() for row in bands], pa.binary()), "wide": pa.array([row.tobytes() for row in wide], pa.binary()),
             })
 
 
@@ -357,7 +364,7 @@ def _open_pairs(rows: DataFrame, wide: DataFrame, plan: Sketch) -> DataFrame:
     dealt = dealt.select("band", "place", "id", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     dealt = dealt.join(wide, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     kind = rows.schema["id"].dataType.simpleString()
-    names = ("band", "i", "j", "place", "chunk", "id", "root", "n", "low", "wide")
+    names = ("band", "i", "j", "place", "chunk", "id", "root", "n", "bands", "wide")
     return store(dealt.select(*names).mapInArrow(lambda batches: _open_batches(batches, plan), f"a {kind}, b {kind}").distinct(), "open-pairs")
 
 
@@ -386,7 +393,9 @@ def _compare_group(parts: list[pa.RecordBatch], plan: Sketch, kind: pa.DataType)
     chunk, n = table["chunk"].to_numpy(), table["n"].to_numpy().astype(np.int64)
     roots = np.unique(np.array(table["root"].to_pylist()), return_inverse=True)[1]
     place, i, j = (table[name][0].as_py() for name in ("place", "i", "j"))
-    low, wide = (np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(len(table), -1) for name in ("low", "wide"))
+    bands, wide = (
+        np.frombuffer(b"".join(table[name].to_pylist()), form).reshape(len(table), -1) for name, form in (("bands", np.uint64), ("wide", np.uint8))
+    )
     left = np.flatnonzero(chunk == i)
     right = np.flatnonzero(chunk == j)
     found: list[np.ndarray] = []
@@ -395,10 +404,10 @@ def _compare_group(parts: list[pa.RecordBatch], plan: Sketch, kind: pa.DataType)
         b = b[(roots[b] != roots[a]) & (100 * np.minimum(n[b], n[a]) >= plan.percent * np.maximum(n[b], n[a]))]
         if not len(b):
             continue
-        same = low[b] == low[a]
-        shared = same.reshape(len(b), plan.bands, plan.rows).all(axis=2)
-        # A pair is taken in the first band that it shares, and left alone in the others.
-        b = b[(shared.argmax(axis=1) == place) & shared[:, place] & (same.sum(axis=1) >= plan.least_equal)]
+        # A pair is taken in the first band that it shares, and left alone in the others.  The hashes are those that the
+        # buckets are made of, so both ends do stand in that band's bucket.
+        shared = bands[b] == bands[a]
+        b = b[(shared.argmax(axis=1) == place) & shared[:, place]]
         if len(b):
             b = b[(wide[b] == wide[a]).sum(axis=1) >= plan.least(plan.wide)]
         if len(b):

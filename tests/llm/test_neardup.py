@@ -99,3 +99,17 @@ def test_repeated_id_has_the_links_of_all_its_texts(spark):
     docs = spark.createDataFrame([(5, a), (5, b), (1, a + " x"), (9, b), (7, "other text here")], "doc_id long, text string")
     got = neardup.groups(docs, "doc_id", "text").collect()
     assert sorted((row["id"], row["component_id"]) for row in got) == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1)]
+
+
+def test_last_round_takes_every_pair_of_large_buckets(spark, monkeypatch):
+    # Nothing is linked before the last round, and every bucket is looked through in place.
+    monkeypatch.setattr(neardup, "components", lambda links: spark.createDataFrame([], "node long, root long"))
+    monkeypatch.setattr(neardup, "FEW_ROWS", 0)
+    rows = []
+    for k in range(1500):
+        common = [f"c{k}x{i}" for i in range(40)]
+        rows += [(2 * k + side, " ".join(common + [f"{'ab'[side]}{k}x{i}" for i in range(5)])) for side in range(2)]
+    docs, plan = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), neardup.Sketch(words=1)
+    first = neardup.sketches(docs, "doc_id", "text", plan)
+    got = neardup.links_between(docs, "doc_id", "text", first, plan).collect()
+    assert sorted(tuple(sorted((row["a"], row["b"]))) for row in got) == [(2 * k, 2 * k + 1) for k in range(1500)]
