@@ -162,7 +162,7 @@ def disclosing(docs: DataFrame, text_col: str, plan: Plan = Plan()) -> DataFrame
     held = _texts_holding(docs, text, wanted, plan)
     disclosure = F.col("n_te") / F.greatest("n_t", "n_te")
     bits = F.log2(F.col("n_te") * F.col("n") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    n_texts = docs.select(F.xxhash64(text).alias("key")).agg(F.count("*").alias("n"))
+    n_texts = docs.select(*_key(text)).distinct().agg(F.count("*").alias("n"))
     strong = pairs.join(held, "term").join(entities, "entity").join(F.broadcast(n_texts)).where(
         (disclosure >= plan.min_disclosure) & (bits >= plan.min_bits)
     ).select("entity", "term", (disclosure >= plan.sure_disclosure).alias("sure"))
@@ -173,15 +173,18 @@ def disclosing(docs: DataFrame, text_col: str, plan: Plan = Plan()) -> DataFrame
     )
 
 
+def _key(text: Column) -> tuple[Column, Column]:
+    """What tells distinct texts apart, as two numbers."""
+    return F.xxhash64(text).alias("text_hash"), F.length(text).alias("text_length")
+
+
 def _texts_holding(docs: DataFrame, text: Column, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """``(term, n_t)``: documents of the whole corpus that hold each wanted term."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))).alias("term"))
+    """``(term, n_t)``: distinct texts of the whole corpus that hold each wanted term."""
+    words = docs.select(*_key(text), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))).alias("term"))
     words = words.where(F.length("term").between(plan.min_letters, plan.max_letters))
-    n = wanted.count()
-    if n <= plan.broadcast_terms:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-        return words.groupBy("term").agg(F.count("*").alias("n_t"))
-    return words.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    wanted = F.broadcast(wanted) if wanted.count() <= plan.broadcast_terms else wanted.hint("shuffle_merge")
+    words = words.join(wanted, "term", "left_semi").distinct()
+    return words.groupBy("term").agg(F.count("*").alias("n_t"))
 
 
 def _equals(kind: int):

@@ -291,6 +291,15 @@ def test_terms_that_disclose_an_entity(spark, broadcast):
     assert all(texts[at] == text for at, text in enumerate(rows) if "@" not in text) and len(texts) == len(rows)
 
 
+def test_copies_hide_no_disclosing_term(spark):
+    rows = disclosure_rows()
+    rows += [rows[60]] * 300 + [rows[0]] * 300
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    for broadcast in (50_000, 0):
+        got = pii.report(docs, "doc_id", "text", pii.Plan(broadcast_terms=broadcast, min_bits=2.0)).collect()
+        assert {row["id"] for row in got if row["n_term"]} == {at for at, text in enumerate(rows) if "x.y@z.org" in text}
+
+
 def test_overlapping_and_odd_spans_are_replaced(spark, odd, none):
     docs = spark.createDataFrame([
         (1, "call +49 30 1234567 or 1.2.3.4 now"), (2, "é\U0001f600 4111 1111 1111 1111 ü a@b.co"), (3, "+1.2.3.4 5678901 x"), (4, None),
