@@ -4,7 +4,9 @@ Base spans are e-mail addresses, IP addresses, card and telephone numbers.  Thei
 The corpus then tells which terms reveal an entity: among all distinct texts, how many hold the term (``n_t``), the
 entity (``n_e``), and the term beside the entity (``n_te``).  A term discloses the entity if it was seen beside it in
 enough texts, ``n_te / n_t`` reaches the disclosure threshold, and the pointwise mutual information
-``log2(n_te * N / (n_t * n_e))`` is high enough.  Such terms become spans of kind ``term`` where they stand beside the
+``log2(n_te * N / (n_t * n_e))`` is above 0 and reaches a number of bits or a share of ``log2(N / n_e)``, which is the
+most that any term can have.  So entities that stand in many texts are judged too; only of one that stands in all
+texts a term says nothing.  Such terms become spans of kind ``term`` where they stand beside the
 entity; ``sanitise`` removes those that give the entity away almost surely and puts a general word for the others.
 Texts without a base span are never touched.
 
@@ -33,13 +35,17 @@ TERM = r"[\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class Plan:
-    """``reach``: code points on each side of a span that count as beside it."""
+    """``reach``: code points on each side of a span that count as beside it.
+
+    ``min_share``: share of the most information possible that is enough even below ``min_bits``.
+    """
 
     reach: int = 80
-    min_texts: int = 4
+    min_texts: int = 2
     min_disclosure: float = 0.5
     sure_disclosure: float = 0.9
     min_bits: float = 4.0
+    min_share: float = 0.5
     min_letters: int = 3
     max_letters: int = 40
     # Candidate terms up to this many are sent to every task; with max_letters that bounds their bytes.
@@ -162,9 +168,10 @@ def disclosing(docs: DataFrame, text_col: str, plan: Plan = Plan()) -> DataFrame
     held = _texts_holding(docs, text, wanted, plan)
     disclosure = F.col("n_te") / F.greatest("n_t", "n_te")
     bits = F.log2(F.col("n_te") * F.col("n") / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    enough = F.least(F.lit(plan.min_bits), plan.min_share * F.log2(F.col("n") / F.col("n_e")))
     n_texts = docs.select(*_key(text)).distinct().agg(F.count("*").alias("n"))
     strong = pairs.join(held, "term").join(entities, "entity").join(F.broadcast(n_texts)).where(
-        (disclosure >= plan.min_disclosure) & (bits >= plan.min_bits)
+        (disclosure >= plan.min_disclosure) & (bits > 0) & (bits >= enough)
     ).select("entity", "term", (disclosure >= plan.sure_disclosure).alias("sure"))
     strong = store(strong, "pii-strong")
     found = beside.join(strong, ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.max("sure").alias("sure"))

@@ -300,6 +300,19 @@ def test_copies_hide_no_disclosing_term(spark):
         assert {row["id"] for row in got if row["n_term"]} == {at for at, text in enumerate(rows) if "x.y@z.org" in text}
 
 
+def test_production_plan_judges_hot_and_rare_entities(spark):
+    rows = disclosure_rows()
+    rows += [f"note{k} common words the hotkeeper of hot@z.org lives and there" for k in range(60)]
+    rows += [f"item{k} common words the miller of nothing lives and there" for k in range(60)]
+    rows += [f"memo{k} common words the rarebaker of rare@z.org lives and there" for k in range(2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    known = {"x.y@z.org": ["zyxgardener"], "hot@z.org": ["hotkeeper"], "rare@z.org": ["rarebaker"]}
+    for row in pii.report(docs, "doc_id", "text").collect():
+        text = rows[row["id"]]
+        spans = [span.split(":") for span in row["spans"].split(",") if span.startswith("term")]
+        assert [text[int(a):int(b)] for _, a, b in spans] == next((terms for mail, terms in known.items() if mail in text), []), text
+
+
 def test_overlapping_and_odd_spans_are_replaced(spark, odd, none):
     docs = spark.createDataFrame([
         (1, "call +49 30 1234567 or 1.2.3.4 now"), (2, "é\U0001f600 4111 1111 1111 1111 ü a@b.co"), (3, "+1.2.3.4 5678901 x"), (4, None),
