@@ -46,9 +46,7 @@ class Plan:
     sure_disclosure: float = 0.9
     min_bits: float = 4.0
     min_share: float = 0.5
-    min_letters: int = 3
-    max_letters: int = 40
-    # Candidate terms up to this many are sent to every task; with max_letters that bounds their bytes.
+    # Hashes of candidate terms up to this many are sent to every task; terms themselves may have any length.
     broadcast_terms: int = 50_000
 
 
@@ -150,8 +148,7 @@ def disclosing(docs: DataFrame, text_col: str, plan: Plan = Plan()) -> DataFrame
     holding = store(holding.dropDuplicates(["text_key"]), "pii-texts")
     spans = holding.select("text_key", text.alias("text"), "base", F.explode("base").alias("span"))
     near = F.filter(_beside(F.col("text"), F.col("span"), plan.reach), lambda term: (
-        F.length(term["term"]).between(plan.min_letters, plan.max_letters)
-        & ~F.exists("base", lambda base: (base["start"] < term["end"]) & (term["start"] < base["end"]))
+        ~F.exists("base", lambda base: (base["start"] < term["end"]) & (term["start"] < base["end"]))
     ))
     entity = F.concat_ws(":", F.col("span.kind"), F.lower("span.value"))
     beside = store(spans.select("text_key", entity.alias("entity"), F.explode(near).alias("t")).select("text_key", "entity", "t.*"), "pii-beside")
@@ -188,10 +185,13 @@ def _key(text: Column) -> tuple[Column, Column]:
 def _texts_holding(docs: DataFrame, text: Column, wanted: DataFrame, plan: Plan) -> DataFrame:
     """``(term, n_t)``: distinct texts of the whole corpus that hold each wanted term."""
     words = docs.select(*_key(text), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))).alias("term"))
-    words = words.where(F.length("term").between(plan.min_letters, plan.max_letters))
-    wanted = F.broadcast(wanted) if wanted.count() <= plan.broadcast_terms else wanted.hint("shuffle_merge")
-    words = words.join(wanted, "term", "left_semi").distinct()
-    return words.groupBy("term").agg(F.count("*").alias("n_t"))
+    if wanted.count() <= plan.broadcast_terms:
+        # A hash that another term shares lets that term through, which then meets no pair.
+        hashes = F.broadcast(wanted.select(F.xxhash64("term").alias("term_hash")).distinct())
+        words = words.withColumn("term_hash", F.xxhash64("term")).join(hashes, "term_hash", "left_semi").drop("term_hash")
+    else:
+        words = words.join(wanted.hint("shuffle_merge"), "term", "left_semi")
+    return words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
 
 
 def _equals(kind: int):

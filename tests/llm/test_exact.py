@@ -313,6 +313,18 @@ def test_production_plan_judges_hot_and_rare_entities(spark):
         assert [text[int(a):int(b)] for _, a, b in spans] == next((terms for mail, terms in known.items() if mail in text), []), text
 
 
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_disclosing_terms_have_any_length(spark, broadcast):
+    long = "h" * 60
+    rows = disclosure_rows() + [f"note{k} common words the {term} of l@z.org lives and there" for k in range(4) for term in ("Li", "李", long)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    for row in pii.report(docs, "doc_id", "text", pii.Plan(broadcast_terms=broadcast)).collect():
+        text = rows[row["id"]]
+        spans = [span.split(":") for span in row["spans"].split(",") if span.startswith("term")]
+        terms = [text[int(a):int(b)] for _, a, b in spans if text[int(a):int(b)][:4] not in ("note", "zyxg")]
+        assert terms == ([text.split()[4]] if "l@z.org" in text else []), text
+
+
 def test_overlapping_and_odd_spans_are_replaced(spark, odd, none):
     docs = spark.createDataFrame([
         (1, "call +49 30 1234567 or 1.2.3.4 now"), (2, "é\U0001f600 4111 1111 1111 1111 ü a@b.co"), (3, "+1.2.3.4 5678901 x"), (4, None),
