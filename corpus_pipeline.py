@@ -49,8 +49,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin of every document or piece of one."""
-    text = F.col("text")
-    return packing.pack(docs, "doc_id", packing.n_words(text), F.col("source"), packing.normal_key(text)).withColumnRenamed("id", "doc_id")
+    return packing.pack_texts(docs, "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language", language), ("quality", good), ("near_duplicates", distinct), ("personal_data", private), ("packing", packed)]

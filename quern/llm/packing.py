@@ -1,6 +1,7 @@
 """Best-fit packing of documents into bins of a fixed number of tokens, with conflicts.
 
-No bin holds two pieces of one duplicate cluster, nor two of one source.  Documents longer than a bin are cut into
+No bin holds two pieces of one duplicate cluster, nor two of one source.  Clusters of texts are the near-duplicate
+groups of ``neardup`` at 5 words and similarity 0.8, exact copies included.  Documents longer than a bin are cut into
 consecutive pieces, so that every token of every document is in exactly one place.
 
 The table is dealt into shards of about ``shard_rows`` pieces by a hash, which spreads hot sources and clusters
@@ -19,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import neardup
+from quern.sources.tables import store
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -107,3 +111,25 @@ def pack(docs: DataFrame, id_col: str, size: Column, source: Column, cluster: Co
         F.lit(None).cast("long").alias("bin_id"), "id", "piece", "start", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("free")
     )
     return placed.unionByName(empty)
+
+
+def pack_texts(docs: DataFrame, id_col: str, text_col: str, source_col: str, plan: Plan = Plan()) -> DataFrame:
+    """``pack`` of texts by words; a cluster is a near-duplicate group, with case levelled.
+
+    Rows without an id belong to the group of their text; rows that repeat an id are in one cluster.
+    """
+    text = F.col(text_col)
+    kind = "long" if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    key = F.coalesce(F.col(id_col).cast(kind), F.xxhash64(text).cast(kind))
+    rows = docs.select(
+        F.col(id_col).alias("id"), key.alias("key"), n_words(text).alias("size"), F.col(source_col).alias("source")
+    )
+    texts = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.lower(text).alias("text"))
+    # Copies without an id have one key, and are looked at once.
+    unnamed = texts.where("id IS NULL AND text IS NOT NULL").dropDuplicates(["key"])
+    found = neardup.groups(
+        texts.where("id IS NOT NULL").unionByName(unnamed).select("key", "text"), "key", "text", neardup.Sketch(words=5, percent=80)
+    )
+    clusters = found.groupBy("id").agg(F.min("component_id").alias("cluster")).withColumnRenamed("id", "key")
+    rows = store(rows.join(clusters, "key", "left"), "to-pack")
+    return pack(rows, "id", F.col("size"), F.col("source"), F.col("cluster"), plan)

@@ -60,10 +60,7 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return packing.pack(
-        _read(spark, sf_dir, "documents"), "doc_id", packing.n_words(text), F.col("source"), packing.normal_key(text)
-    ).withColumnRenamed("id", "doc_id")
+    return packing.pack_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
 
 
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

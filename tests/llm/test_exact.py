@@ -78,6 +78,17 @@ def test_bounds_leave_candidates_out(monkeypatch):
 # Packing
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    edited = [" ".join(words[:k] + ["other"] + words[k + 1:]) for k in (0, 1, 58, 59)]
+    rows = [(k, text, f"s{k}") for k, text in enumerate([" ".join(words), *edited, " ".join(words).upper(), "far from the others"])]
+    rows += [(None, " ".join(words), "s8"), (None, edited[0], "s9"), (None, edited[0], "s10")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.packed_documents(spark, f"file://{tmp_path}").collect()
+    bins = [row["bin_id"] for row in got if row["doc_id"] != 6]
+    assert len(got) == 10 and len(bins) == 9 == len(set(bins)) and None not in bins
+
+
 def test_packing_keeps_its_promises(spark, odd, none):
     rng = random.Random(2)
     rows = [(k, rng.choice([0, 1, 5, 40, 99, 100, 101, 250, rng.randint(1, 100)]), rng.choice(["hot", "hot", "a", "b", None]), rng.choice([1, 2, 3, None]))
