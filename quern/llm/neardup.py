@@ -15,7 +15,7 @@ Steps, each written to the shared folder:
    are looked through chunk by chunk, comparing wide sketches of members of different components.  So no link between
    components is lost, while groups that are already connected cost nothing more;
 5. a pair is confirmed on the full sets.  Before that it must pass two tests on its sketches: the sizes allow the
-   similarity, and the share of equal coordinates is not more than five standard deviations below it.
+   similarity, and the share of equal coordinates is not more than six standard deviations below it.
 
 With 40 bands of 5 coordinates a pair at similarity 0.8 shares no band with a probability of 1.2e-7.
 """
@@ -57,12 +57,12 @@ class Sketch:
         return self.bands * self.rows
 
     def least(self, bins: int) -> int:
-        """Equal coordinates below which a pair is not looked at: five standard deviations under the threshold.
+        """Equal coordinates below which a pair is not looked at: six standard deviations under the threshold.
 
-        A pair at the threshold falls below that about as rarely as it shares no band.
+        A pair at the threshold falls below that far more rarely than it shares no band.
         """
         share = self.percent / 100
-        return int(bins * share - 5 * (bins * share * (1 - share)) ** 0.5)
+        return int(bins * share - 6 * (bins * share * (1 - share)) ** 0.5)
 
     @property
     def least_equal(self) -> int:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -113,3 +114,9 @@ def test_last_round_takes_every_pair_of_large_buckets(spark, monkeypatch):
     first = neardup.sketches(docs, "doc_id", "text", plan)
     got = neardup.links_between(docs, "doc_id", "text", first, plan).collect()
     assert sorted(tuple(sorted((row["a"], row["b"]))) for row in got) == [(2 * k, 2 * k + 1) for k in range(1500)]
+
+
+def test_sketch_tests_lose_fewer_pairs_than_the_banding():
+    plan = neardup.Sketch()
+    lost = [sum(math.comb(n, k) * 0.8**k * 0.2**(n - k) for k in range(plan.least(n))) for n in (plan.bins, plan.wide)]
+    assert sum(lost) < (1 - 0.8**plan.rows) ** plan.bands
