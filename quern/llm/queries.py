@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import blocklabel, imatch, langid, neardup, packing, pieces, pii, quality, topk, warc
+from quern.llm import blocklabel, bpe, collocations, imatch, langid, lexical, neardup, packing, pieces, pii, quality, topk, warc
 from quern.plans.checks.registry import Check
 
 
@@ -103,6 +103,81 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocklabel.extract(pages, "page_id", "url", "html", model).withColumnRenamed("id", "page_id")
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.count(_read(spark, sf_dir, "documents"), "doc_id", "text", model, 2048).withColumnRenamed("id", "doc_id")
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return lexical.search(docs, items, "doc_id", "text", "item_id", "text").withColumnRenamed("id", "doc_id")
+
+
+SEARCH_TERMS = (
+    r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+)
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+words AS (SELECT row, doc_id, {SEARCH_TERMS} FROM d),
+tf AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM tf GROUP BY row),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, {SEARCH_TERMS} FROM benchmark),
+scored AS (
+    SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (row), total GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 50
+"""
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"), "text", "lang")
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
+), f AS (
+    SELECT lang, size, phrase, count(*) AS a FROM (
+        SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+        FROM words, range(1, 5) AS t(size)
+    ) GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), candidates AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 30
+), inner_parts AS (
+    SELECT c.lang, c.a, unnest(list_transform(range(1, c.size - t.short + 2), lambda i: array_to_string(c.w[i:i + t.short - 1], ' '))) AS phrase
+    FROM candidates c JOIN range(2, 4) AS t(short) ON t.short < c.size
+), kept AS (
+    SELECT c.* FROM candidates c LEFT JOIN (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL) x USING (lang, phrase)
+    WHERE x.most IS NULL OR 100::HUGEINT * x.most < 80::HUGEINT * c.a
+), cuts AS (
+    SELECT k.lang, k.phrase, k.a, t.cut, lf.a AS l, rf.a AS r, ((2000000::HUGEINT * k.a) // (lf.a + rf.a))::BIGINT AS score
+    FROM kept k JOIN range(1, 4) AS t(cut) ON t.cut < k.size
+    JOIN f lf ON lf.lang = k.lang AND lf.phrase = array_to_string(k.w[1:t.cut], ' ')
+    JOIN f rf ON rf.lang = k.lang AND rf.phrase = array_to_string(k.w[t.cut + 1:], ' ')
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 CHECKS = {
     "op1_language_id": Check(language_id),
     "op2_quality": Check(quality_scores),
@@ -114,4 +189,7 @@ CHECKS = {
     "op8_personal_data": Check(personal_data),
     "op9_web_archive": Check(web_archive, ARCHIVE_SQL),
     "op10_main_text": Check(main_text),
+    "op11_token_counts": Check(token_counts),
+    "op12_ranked_search": Check(ranked_search, SEARCH_SQL),
+    "op13_phrase_collocations": Check(phrase_collocations, COLLOCATION_SQL),
 }
