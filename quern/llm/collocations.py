@@ -225,16 +225,11 @@ def _extended(longer: tuple[DataFrame, DataFrame]) -> DataFrame:
     return left.join(right.hint("merge"), ["lang", "phrase"], "full").select("lang", "phrase", F.greatest("most", "other").alias("most"))
 
 
-def mine(docs: DataFrame, text_col: str, lang_col: str, plan: Plan = Plan()) -> DataFrame:
-    """``(lang, rank, phrase, a, l, r, n, score)``: each language's first phrases of two words or more.
+def score(counted: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """``(lang, phrase, a, l, r, score)`` of all candidates that no longer one takes in.
 
-    ``a`` counts the phrase, ``l`` and ``r`` the two parts of its lowest-scoring cut, ``n`` all words of the language;
-    ``score`` is ``floor(2000000 * a / (l + r))``.  A candidate that lies in a longer one with ``plan.absorbed`` percent
-    of its occurrences is dropped; looking one word further is enough, for what lies between the two is as frequent as
-    the longer one.  Order: score, then ``a``, both descending, then the phrase by its bytes.  Rows that repeat count
-    each time; an empty table has no rows.
+    ``counted`` holds ``(lang, size, phrase, a)`` of words and phrases, with every part of a phrase it holds.
     """
-    counted, totals = phrase_counts(docs, text_col, lang_col, plan)
     ordered = streams(counted, plan)
     empty = F.array().cast("array<bigint>")
     left, right = ordered[0][0].withColumn("begins", empty), ordered[0][0].withColumn("ends", empty)
@@ -257,9 +252,22 @@ def mine(docs: DataFrame, text_col: str, lang_col: str, plan: Plan = Plan()) ->
         rows = rows.withColumn("cuts", cuts).withColumn("cuts", F.expr(f"transform(cuts, c -> struct({exact} AS score, c.k, c.l, c.r))"))
         rows = rows.select("lang", "phrase", "a", F.array_min("cuts").alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
         found = rows if found is None else found.unionByName(rows)
-    if found is None:
+    return found
+
+
+def mine(docs: DataFrame, text_col: str, lang_col: str, plan: Plan = Plan()) -> DataFrame:
+    """``(lang, rank, phrase, a, l, r, n, score)``: each language's first phrases of two words or more.
+
+    ``a`` counts the phrase, ``l`` and ``r`` the two parts of its lowest-scoring cut, ``n`` all words of the language;
+    ``score`` is ``floor(2000000 * a / (l + r))``.  A candidate that lies in a longer one with ``plan.absorbed`` percent
+    of its occurrences is dropped; looking one word further is enough, for what lies between the two is as frequent as
+    the longer one.  Order: score, then ``a``, both descending, then the phrase by its bytes.  Rows that repeat count
+    each time; an empty table has no rows.
+    """
+    if plan.longest < 2:
         raise ValueError("a phrase has two words at least")
-    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
-    ranked = best_rows(store(found, "candidates"), "lang", order, plan.first, "phrase")
+    counted, totals = phrase_counts(docs, text_col, lang_col, plan)
+    found = store(score(counted, plan), "candidates")
+    ranked = best_rows(found, "lang", [F.desc("score"), F.desc("a"), F.col("phrase")], plan.first, "phrase")
     ranked = ranked.join(totals.hint("merge"), "lang")
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

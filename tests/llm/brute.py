@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -72,3 +73,60 @@ def best_score(text: str, scores: dict[str, float], unknown: float) -> float:
             if text[start:end] in scores:
                 best[end] = max(best[end], best[start] + scores[text[start:end]])
     return best[-1]
+
+
+def lexical_ranks(docs: list[tuple], items: list[tuple], k: int) -> list[tuple]:
+    """(item, rank, document, score), by scoring every document for every item."""
+    def terms(text):
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered)
+
+    held = [(key, Counter(found)) for key, text in docs if (found := terms(text))]
+    n_docs, length = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(term for _, c in held for term in c)
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item].update(terms(text))
+    out = []
+    for item, wanted in asked.items():
+        scored = []
+        for key, counts in held:
+            m = 100 - 50 + (50 * sum(counts.values()) * n_docs) // length
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1_000_000_000 * counts[t] // (1000 * counts[t] + 20 * m))
+                for t in wanted if t in counts
+            )
+            if score > 0:
+                scored.append((-score, key is None, key or 0, key))
+        out += [(item, rank, row[3], -row[0]) for rank, row in enumerate(sorted(scored, key=lambda row: row[:3])[:k], 1)]
+    return out
+
+
+def collocations(rows: list[tuple], longest: int, least: int, absorbed: int, first: int) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score), by counting every phrase and comparing it with all longer ones."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for text, lang in rows:
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            for size in range(1, longest + 1):
+                counts[lang or "und"].update(tuple(words[k:k + size]) for k in range(len(words) - size + 1))
+    out = []
+    for lang, f in counts.items():
+        n = sum(a for phrase, a in f.items() if len(phrase) == 1)
+        candidates = {phrase: a for phrase, a in f.items() if len(phrase) > 1 and a >= least}
+        inside: dict[tuple, int] = defaultdict(int)
+        for longer, a in candidates.items():
+            for size in range(2, len(longer)):
+                for k in range(len(longer) - size + 1):
+                    part = longer[k:k + size]
+                    inside[part] = max(inside[part], a)
+        kept = []
+        for phrase, a in candidates.items():
+            if 100 * inside[phrase] >= absorbed * a:
+                continue
+            score, _, left, right = min((2_000_000 * a // (f[phrase[:k]] + f[phrase[k:]]), k, f[phrase[:k]], f[phrase[k:]]) for k in range(1, len(phrase)))
+            kept.append((-score, -a, " ".join(phrase).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(kept)[:first], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return out
