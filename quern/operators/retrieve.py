@@ -2,10 +2,16 @@
 
 Scores are cosines of L2-normalised vectors.  Ranking is by score rounded to ten digits, then by
 document id, so the order does not depend on how sums were partitioned.
+
+Where the index has blocks, a search first bounds what the documents of each run can score: the largest weight of
+each query term in the run, from the blocks of frequent terms and the postings of rare ones.  It scores the most
+promising runs, and after that only runs whose bound reaches the last score that is then wanted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +31,12 @@ DEFAULT_LIMIT = 20
 # ranked in so many parts.
 TASK_LIMIT = 1000
 PARTS = 64
+# What sums of doubles and the rounding of scores may differ by.
+MARGIN = 1e-9
+# Runs scored per wanted row, round by round; then all that can still matter.
+FIRST_RUNS = (1, 8)
+
+Admit = Callable[[DataFrame], DataFrame]
 
 
 def one_query(index: TextIndex, query: str) -> DataFrame:
@@ -43,7 +55,7 @@ def _only_terms(table: DataFrame, wanted: pa.Table | None) -> DataFrame:
 def query_vectors(
     index: TextIndex, queries: DataFrame, id_col: str = "query_id", text_col: str = "query", few: bool = False
 ) -> DataFrame:
-    """``(query_id, term, query_weight)`` of the known terms, normalised; blank queries yield nothing."""
+    """``(query_id, term, query_weight, df)`` of the known terms, normalised; blank queries yield nothing."""
     tokenised = queries.select(
         F.col(id_col).alias("query_id"), index.analyzer.tokenizer(F.col(text_col)).alias("tokens")
     )
@@ -51,10 +63,10 @@ def query_vectors(
         stop = list(index.analyzer.stopwords)
         tokenised = tokenised.withColumn("tokens", F.filter("tokens", lambda token: ~token.isin(*stop)))
     counts, wanted = settle(term_counts(tokenised, index.analyzer, key="query_id"), "query-terms", few)
-    weighted = _only_terms(index.terms.select("term", "idf"), wanted).join(counts, "term")
+    weighted = _only_terms(index.terms.select("term", "idf", "df"), wanted).join(counts, "term")
     weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
-    return weighted.select("query_id", "term", (F.col("raw") / norm).alias("query_weight"))
+    return weighted.select("query_id", "term", (F.col("raw") / norm).alias("query_weight"), "df")
 
 
 def scores(index: TextIndex, vectors: DataFrame, allowed: DataFrame | None = None, few: bool = False) -> DataFrame:
@@ -95,6 +107,81 @@ def top_k(scored: DataFrame, limit: int, per: str = "query_id", by: str = "doc_i
     return best_rows(scored, per, [ranking_key().desc(), F.col(by)], limit, by)
 
 
+def run_bounds(index: TextIndex, vectors: DataFrame, wanted: pa.Table | None = None) -> DataFrame:
+    """``(query_id, run, bound)``: the most that a document of the run can score; runs without a query term have no row.
+
+    ``vectors`` holds ``(query_id, term, query_weight, df)``.  Of frequent terms only blocks are read.
+    """
+    long = F.col("df") >= index.long_term
+    blocks = _only_terms(index.blocks, wanted).join(vectors.where(long), "term")
+    rare = _only_terms(index.postings.select("term", "run", "weight"), wanted).join(vectors.where(~long), "term")
+    rare = rare.groupBy("query_id", "term", "run", "query_weight").agg(F.max("weight").alias("most"))
+    parts = [part.select("query_id", "run", (F.col("query_weight") * F.col("most")).alias("bound")) for part in (blocks, rare)]
+    return parts[0].unionByName(parts[1]).groupBy("query_id", "run").agg(F.sum("bound").alias("bound"))
+
+
+def _scores_in(index: TextIndex, vectors: DataFrame, runs: DataFrame, wanted: pa.Table | None, listed: pa.Table | None) -> DataFrame:
+    """``(query_id, doc_id, score)`` of the documents in some runs ``(query_id, run)``."""
+    postings = _only_terms(index.postings.select("doc_id", "term", "weight", "run"), wanted)
+    if listed is not None:
+        numbers = listed["run"].unique().to_pylist()
+        postings = postings.where(F.col("run").isin(numbers)) if len(numbers) <= PUSHED_TERMS else postings
+    asked = vectors.select("query_id", "term", "query_weight").join(runs.select("query_id", "run"), "query_id")
+    matched = postings.join(asked, ["term", "run"])
+    return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
+
+
+def bounded_top_k(
+    index: TextIndex, vectors: DataFrame, limit: int, allowed: DataFrame | None = None, admit: Admit | None = None, few: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The best ``limit`` rows of each query, as ``top_k(scores(...))`` has them, and the runs ``(query_id, run)`` that were read.
+
+    Every run has a matching document, so the first round, of as many runs as rows are wanted, mostly fills them.
+    ``allowed`` and ``admit`` are applied before the last wanted score is taken, so a filter only makes more runs count.
+    """
+    if "df" not in vectors.columns:
+        vectors = vectors.join(index.terms.select("term", "df"), "term")
+    vectors, wanted = settle(vectors, "query-vectors", few)
+    bounds = store(run_bounds(index, vectors, wanted), "run-bounds")
+    best = taken = None
+    for times in (*FIRST_RUNS, None):
+        left = bounds
+        if taken is not None:
+            last = best.where(F.col("rank") == limit).select("query_id", F.col("score").alias("last"))
+            left = left.join(taken, ["query_id", "run"], "left_anti").join(last, "query_id", "left")
+            left = left.where(F.col("bound") >= F.coalesce("last", F.lit(0.0)) - MARGIN).drop("last")
+        if times is not None:
+            left = best_rows(left, "query_id", [F.desc("bound"), F.col("run")], times * limit, "run").drop("rank")
+        runs, listed = settle(left.select("query_id", "run"), "runs")
+        if listed is not None and not listed.num_rows:
+            break
+        found = _scores_in(index, vectors, runs, wanted, listed).where(F.col("score") > 0)
+        if allowed is not None:
+            found = found.join(allowed, [name for name in ("query_id", "doc_id") if name in allowed.columns], "left_semi")
+        if admit is not None:
+            found = admit(found)
+        columns = ["query_id", "doc_id", "score"]
+        best = store(top_k(found.select(*columns) if best is None else best.select(*columns).unionByName(found.select(*columns)), limit), "best")
+        taken = store(runs if taken is None else taken.unionByName(runs), "taken")
+    if best is None:
+        none = _scores_in(index, vectors, bounds.limit(0), None, None)
+        return top_k(none, 0), bounds.select("query_id", "run").limit(0)
+    return best, taken
+
+
+def ranked(
+    index: TextIndex, vectors: DataFrame, limit: int, allowed: DataFrame | None = None, admit: Admit | None = None, few: bool = False
+) -> DataFrame:
+    """The best ``limit`` rows of each query; by bounds where the index has them and the limit is not deep.
+
+    ``admit`` keeps some of the rows ``(query_id, doc_id, score)``.
+    """
+    if index.blocks is not None and 0 < limit <= TASK_LIMIT:
+        return bounded_top_k(index, vectors, limit, allowed, admit, few)[0]
+    found = scores(index, vectors, allowed, few)
+    return top_k(admit(found) if admit else found, limit)
+
+
 def search(
     index: TextIndex, queries: DataFrame | str, limit: int = 5, id_col: str = "query_id", text_col: str = "query"
 ) -> DataFrame:
@@ -102,7 +189,7 @@ def search(
     few = isinstance(queries, str)
     if few:
         queries = one_query(index, queries)
-    return top_k(scores(index, query_vectors(index, queries, id_col, text_col, few), few=few), limit)
+    return ranked(index, query_vectors(index, queries, id_col, text_col, few), limit, few=few)
 
 
 def top_terms(index: TextIndex, limit: int = 5, doc_id: int | None = None) -> DataFrame:
@@ -120,17 +207,13 @@ def top_terms(index: TextIndex, limit: int = 5, doc_id: int | None = None) -> Da
     return ranked.where(F.col("rank") <= limit)
 
 
-def similar_scores(index: TextIndex, doc_id: int) -> DataFrame:
+def similar(index: TextIndex, doc_id: int, limit: int = 5) -> DataFrame:
+    """Documents nearest to one document; nothing for an unknown id."""
     source = index.vectors.where(F.col("doc_id") == doc_id)
     vector = source.select(
         F.lit(doc_id).cast("bigint").alias("query_id"), "term", F.col("weight").alias("query_weight")
     )
-    return scores(index, vector, few=True).where(F.col("doc_id") != doc_id)
-
-
-def similar(index: TextIndex, doc_id: int, limit: int = 5) -> DataFrame:
-    """Documents nearest to one document; nothing for an unknown id."""
-    return top_k(similar_scores(index, doc_id), limit)
+    return ranked(index, vector, limit, admit=lambda found: found.where(F.col("doc_id") != doc_id), few=True)
 
 
 def similar_padded(index: TextIndex, doc_id: int, limit: int = 3) -> DataFrame:
@@ -190,7 +273,18 @@ def filtered_search(
         first = best_rows(shown.orderBy("_chance", "doc_id").limit(limit), "query_id", [F.col("_chance"), F.col("doc_id")], limit, "doc_id")
         return first.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"), "rank")
     vectors = query_vectors(index, one_query(index, query), few=True)
-    return top_k(scores(index, vectors, allowed if filters else None, few=True), limit)
+    return ranked(index, vectors, limit, allowed if filters else None, few=True)
+
+
+def _browsed(listed: DataFrame, filtered: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """``(query_id, doc_id, rank)``: the first documents with one of a request's categories.
+
+    What is first among several categories is among the first of one of them, so only the first of each category
+    meet the requests.  ``listed`` holds ``(doc_id, category)``, ``filtered`` ``(query_id, category)``.
+    """
+    wanted = listed.join(filtered.select("category").distinct(), "category", "left_semi")
+    first = best_rows(wanted, "category", order, limit, "doc_id").drop("rank")
+    return best_rows(first.join(filtered, "category").select("query_id", "doc_id").distinct(), "query_id", order, limit, "doc_id")
 
 
 def answer_requests(
@@ -202,22 +296,26 @@ def answer_requests(
     Each is a ranked search or, if its query is blank, a browse in seeded order; no filter admits every document.
     """
     asked = store(requests.select("query_id", F.coalesce("query", F.lit("")).alias("query"), "filters"), "requests")
-    open_ = F.size(F.coalesce("filters", F.array().cast("array<string>"))) <= 0
+    no_filter = F.array().cast("array<string>")
+    open_ = F.size(F.coalesce("filters", no_filter)) <= 0
     blank = F.trim("query") == ""
-    # Every document once per category; a request meets only the documents of its own categories.
-    listed = catalog.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(category_col)).alias("category"))
-    filtered = asked.where(~open_).select("query_id", "query", F.explode(F.array_distinct("filters")).alias("category"))
-    allowed = store(listed.join(filtered, "category").select("query_id", "query", "doc_id").distinct(), "allowed")
-    texts = asked.where(~blank)
-    free = scores(index, query_vectors(index, texts.where(open_)))
-    bound = scores(index, query_vectors(index, texts.where(~open_)), allowed.select("query_id", "doc_id"))
-    found = top_k(free.unionByName(bound), limit).select("query_id", "doc_id", "score", "rank")
     order = [shuffled("doc_id", seed), F.col("doc_id")]
+    categories = catalog.select(F.col(id_col).alias("doc_id"), F.col(category_col).alias("_categories"))
+
+    def admit(found: DataFrame) -> DataFrame:
+        """Scored documents with one of the request's categories; requests without a filter take all."""
+        bound = asked.where(~open_).select("query_id", "filters")
+        free = found.join(bound, "query_id", "left_anti")
+        kept = found.join(bound, "query_id").join(categories, "doc_id").where(F.arrays_overlap("_categories", "filters"))
+        return free.unionByName(kept.select(*found.columns))
+
+    found = ranked(index, query_vectors(index, asked.where(~blank)), limit, admit=admit).select("query_id", "doc_id", "score", "rank")
     # All requests without text and filter show the same documents.
     first = catalog.select(F.col(id_col).alias("doc_id")).orderBy(*order).limit(limit).withColumn("_all", F.lit(True))
     shown = asked.where(blank & open_).select("query_id", F.lit(True).alias("_all")).join(first, "_all").select("query_id", "doc_id")
-    shown = shown.unionByName(allowed.where(blank).select("query_id", "doc_id"))
-    browsed = best_rows(shown, "query_id", order, limit, "doc_id")
+    listed = categories.select("doc_id", F.explode(F.array_distinct("_categories")).alias("category"))
+    filtered = asked.where(blank & ~open_).select("query_id", F.explode(F.array_distinct("filters")).alias("category"))
+    browsed = best_rows(shown, "query_id", order, limit, "doc_id").unionByName(_browsed(listed, filtered, order, limit))
     return found.unionByName(browsed.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"), "rank"))
 
 

@@ -1,10 +1,13 @@
 """Weighted term index over a document table.
 
-The index is four tables: ``postings(doc_id, term, tf, weight)``, ``terms(term, df, total_tf, idf)``,
-``docs(doc_id, n_terms, norm)`` and ``vectors``, the postings once more.  Postings lie in ranges of (term,
-document): a rare term is in one file, a frequent one spreads over several, and a query reads only the row
-groups that can hold its terms.  Vectors lie in ranges of (document, term), so one document's terms are
-read without touching the others.
+The index is four tables: ``postings(doc_id, term, tf, weight, run)``, ``terms(term, df, total_tf, idf)``,
+``docs(doc_id, n_terms, norm)`` and ``vectors``, the postings once more.  Documents are dealt into runs by a hash
+of their id, and postings lie in ranges of (term, run, document): a rare term is in one file, a frequent one
+spreads over several, and a query reads only the row groups and pages that can hold its terms and runs.  Vectors
+lie in ranges of (document, term), so one document's terms are read without touching the others.
+
+A fifth table, ``blocks(term, run, most)``, has the largest weight that a term with many postings takes in each
+run.  A search bounds the scores of whole runs with it, and then reads only runs that can hold a result.
 """
 
 from __future__ import annotations
@@ -35,13 +38,22 @@ WORDS = Analyzer()
 STEMS = Analyzer(tokenizer=text.stem_tokens, stopwords=tuple(fixed.ENGLISH_STOPWORDS))
 
 
+# Documents of a run, and the documents a term stands in from which on its blocks are kept.
+RUN_DOCS = 512
+LONG_TERM = 100_000
+
+
 @dataclass(frozen=True)
 class TextIndex:
+    """``blocks`` is missing where no term has as many documents as ``long_term``."""
+
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
     analyzer: Analyzer
     vectors: DataFrame
+    blocks: DataFrame | None = None
+    long_term: int = LONG_TERM
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = WORDS) -> DataFrame:
@@ -123,10 +135,13 @@ def build_index(
     max_df: int | float = 1.0,
     max_features: int | None = None,
     name: str = "index",
+    run_docs: int = RUN_DOCS,
+    long_term: int = LONG_TERM,
 ) -> TextIndex:
     """Fit the index and write its tables.
 
-    ``id_col`` is unique; ``catalog.keep_last`` or ``records.keep_first`` make it so.
+    ``id_col`` is unique; ``catalog.keep_last`` or ``records.keep_first`` make it so.  ``run_docs`` and ``long_term``
+    change what a search reads, never what it finds.
     """
     n_docs = docs.count()
     counts = store(term_counts(tokens(docs, id_col, text_col, analyzer), analyzer), f"{name}-counts")
@@ -138,12 +153,13 @@ def build_index(
     # already tell which.  Ranges of documents then serve the norm and the layout of the vectors; a group
     # is one document's terms.
     hot = terms.where(F.col("df") >= MIN_HOT_ROWS).orderBy(F.desc("df"), "term").limit(HOT_KEYS)
-    weighted = lookup_join(counts, terms.select("term", "idf"), ["term"], hot=hot.select("term"))
+    known_terms = terms.select("term", "idf", (F.col("df") >= long_term).alias("long"))
+    weighted = lookup_join(counts, known_terms, ["term"], hot=hot.select("term"))
     weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf")).repartitionByRange("doc_id")
     in_doc = Window.partitionBy("doc_id")
     normal = weighted.withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(in_doc)))
     vectors = store(
-        normal.select("doc_id", "term", "tf", (F.col("raw") / F.col("norm")).alias("weight"), "norm"),
+        normal.select("doc_id", "term", "tf", (F.col("raw") / F.col("norm")).alias("weight"), "norm", "long"),
         f"{name}-vectors", ["doc_id", "term"],
     )
     stats = vectors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.first("norm").alias("norm"))
@@ -151,9 +167,15 @@ def build_index(
     known = known.select(
         "doc_id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("norm", F.lit(0.0)).alias("norm")
     )
-    vectors = vectors.drop("norm")
-    postings = store(vectors.repartitionByRange("term", "doc_id"), f"{name}-postings", ["term", "doc_id"])
-    return TextIndex(postings, terms, store(known, f"{name}-docs", ["doc_id"]), analyzer, vectors)
+    run = F.pmod(F.xxhash64("doc_id"), F.lit(-(-n_docs // run_docs) or 1)).alias("run")
+    runs = vectors.select("doc_id", "term", "tf", "weight", run, "long").repartitionByRange("term", "run", "doc_id")
+    postings = store(runs, f"{name}-postings", ["term", "run", "doc_id"])
+    blocks = None
+    if not terms.where(F.col("df") >= long_term).isEmpty():
+        blocks = postings.where("long").groupBy("term", "run").agg(F.max("weight").alias("most"))
+        blocks = store(blocks.repartitionByRange("term", "run"), f"{name}-blocks", ["term", "run"])
+    docs_table = store(known, f"{name}-docs", ["doc_id"])
+    return TextIndex(postings.drop("long"), terms, docs_table, analyzer, vectors.drop("norm", "long"), blocks, long_term)
 
 
 def index_facts(index: TextIndex) -> DataFrame:

@@ -26,6 +26,14 @@ def index(spark: SparkSession, sf_dir: str) -> tfidf.TextIndex:
     return shared(spark, sf_dir, "documents-index", lambda: tfidf.build_index(docs, "doc_id", "text"))
 
 
+def bounded_index(spark: SparkSession, sf_dir: str) -> tfidf.TextIndex:
+    """The same index with small runs and blocks for all terms of 20 documents and more, so that bounds decide."""
+    docs = documents(spark, sf_dir)
+    return shared(
+        spark, sf_dir, "bounded-index", lambda: tfidf.build_index(docs, "doc_id", "text", name="bounded", run_docs=16, long_term=20)
+    )
+
+
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark")
 
@@ -123,6 +131,12 @@ def v10_search_batch(spark, sf_dir):
     return found.select("query_id", "doc_id", "rank", rounded("score"))
 
 
+def v10_search_bounded(spark, sf_dir):
+    """The batch by bounds of runs."""
+    found = retrieve.search(bounded_index(spark, sf_dir), benchmark(spark, sf_dir), 5, "item_id", "text")
+    return found.select("query_id", "doc_id", "rank", rounded("score"))
+
+
 def v11_top_terms(spark, sf_dir):
     return retrieve.top_terms(index(spark, sf_dir), 5).select("doc_id", "rank", "term", rounded("weight"))
 
@@ -160,13 +174,26 @@ SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN ' ' ELSE text END AS
 SEED = 7
 
 
-def v14_requests(spark, sf_dir):
+def requests(spark, sf_dir):
     filters = F.when(F.col("kind") == 1, F.array(F.lit("Fr"))).when(F.col("kind") == 2, F.array(F.lit("En"), F.lit("Src3")))
-    requests = derive(spark, sf_dir, REQUESTS).withColumn("filters", filters)
-    found = retrieve.answer_requests(index(spark, sf_dir), document_catalog(spark, sf_dir), requests, 10, SEED)
+    return derive(spark, sf_dir, REQUESTS).withColumn("filters", filters)
+
+
+def v14_requests(spark, sf_dir):
+    found = retrieve.answer_requests(index(spark, sf_dir), document_catalog(spark, sf_dir), requests(spark, sf_dir), 10, SEED)
     return found.select("query_id", "doc_id", "rank", rounded("score"))
 
 
+def v14_requests_bounded(spark, sf_dir):
+    found = retrieve.answer_requests(bounded_index(spark, sf_dir), document_catalog(spark, sf_dir), requests(spark, sf_dir), 10, SEED)
+    return found.select("query_id", "doc_id", "rank", rounded("score"))
+
+
+def v14_filtered_bounded(spark, sf_dir):
+    found = retrieve.filtered_search(bounded_index(spark, sf_dir), QUERY, document_catalog(spark, sf_dir), FILTERS)
+    return found.select("doc_id", "rank", rounded("score"))
+
+
 def v10_search_deep(spark, sf_dir):
     """More rows per query than a task keeps by itself."""
     found = retrieve.search(index(spark, sf_dir), benchmark(spark, sf_dir), 5000, "item_id", "text")
@@ -303,3 +330,9 @@ CHECKS = {
         FROM ranked r LEFT JOIN (SELECT * FROM titles WHERE doc_id IN (SELECT doc_id FROM labels)) t USING (doc_id)
         WHERE rank <= 20"""),
 }
+
+CHECKS |= {
+    "v10_search_bounded": Check(v10_search_bounded, CHECKS["v10_search_batch"].sql),
+    "v14_requests_bounded": Check(v14_requests_bounded, CHECKS["v14_requests"].sql),
+    "v14_filtered_bounded": Check(v14_filtered_bounded, CHECKS["v14_filtered_search"].sql),
+}

@@ -127,8 +127,7 @@ def test_one_document_reads_few_row_groups(spark, sf_dir):
     ranges = index.vectors.groupBy(F.input_file_name().alias("f")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("lo").collect()
     assert len(ranges) > 1 and all(a.hi < b.lo for a, b in zip(ranges, ranges[1:]))
     assert sum(r.lo <= 5 <= r.hi for r in ranges) == 1
-    shown = retrieve.similar_scores(index, 5)
-    assert not shown.isEmpty()
+    assert not retrieve.similar(index, 5).isEmpty()
     terms = index.postings.groupBy(F.input_file_name().alias("f")).agg(F.min("term").alias("lo"), F.max("term").alias("hi")).orderBy("lo", "hi").collect()
     assert all(a.hi <= b.lo for a, b in zip(terms, terms[1:]))
 
