@@ -273,3 +273,22 @@ def microdata_items(page: str) -> list[dict]:
     reader.feed(page)
     reader.close()
     return reader.found
+
+
+def sparse_dots(left_keys: pa.Array, left: pa.Array, right_keys: pa.Array, right: pa.Array) -> pa.Array:
+    """Inner products of sparse vectors; the keys of each are sorted and distinct."""
+    import numpy as np
+
+    def parts(lists: pa.Array, kind: type) -> tuple[np.ndarray, list[int]]:
+        return np.asarray(lists.flatten().to_numpy(zero_copy_only=False), kind), np.asarray(lists.offsets).tolist()
+
+    (ak, ends_a), (a, _), (bk, ends_b), (b, _) = parts(left_keys, np.int64), parts(left, np.float64), parts(right_keys, np.int64), parts(right, np.float64)
+    base_a, base_b, out = ends_a[0], ends_b[0], np.zeros(len(left_keys))
+    for at in range(len(out)):
+        one, two = slice(ends_a[at] - base_a, ends_a[at + 1] - base_a), slice(ends_b[at] - base_b, ends_b[at + 1] - base_b)
+        short, long, weights, others = (ak[one], bk[two], a[one], b[two]) if one.stop - one.start <= two.stop - two.start else (bk[two], ak[one], b[two], a[one])
+        if len(short):
+            place = np.minimum(np.searchsorted(long, short), len(long) - 1)
+            same = long[place] == short
+            out[at] = weights[same] @ others[place[same]]
+    return pa.array(out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.cells import category_list
 from quern.functions.text import strip
-from quern.operators import retrieve, tfidf
+from quern.operators import neighbours, retrieve, tfidf
 from quern.plans.checks.registry import Check
 from quern.plans.tables import derive, shared, table
 
@@ -149,6 +149,17 @@ def v13_similar_padded(spark, sf_dir):
     return retrieve.similar_padded(index(spark, sf_dir), SOURCE_DOC, 3).select("doc_id", "rank", rounded("score"))
 
 
+def v12_similar_all(spark, sf_dir):
+    """The nearest documents of every document."""
+    found = neighbours.similar_all(index(spark, sf_dir), 5).found
+    return found.select("query_id", "doc_id", "rank", rounded("score"))
+
+
+def v13_similar_padded_all(spark, sf_dir):
+    found = neighbours.similar_all(index(spark, sf_dir), 3, padded=True).found
+    return found.select("query_id", "doc_id", "rank", rounded("score"))
+
+
 def document_catalog(spark, sf_dir):
     """Language and source are the categories of a document."""
     return documents(spark, sf_dir).select(
@@ -331,7 +342,22 @@ CHECKS = {
         WHERE rank <= 20"""),
 }
 
+ALL_PAIRS_SQL = INDEX_SQL + """, scored AS (
+  SELECT s.doc_id AS query_id, p.doc_id, sum(s.weight * p.weight) AS score
+  FROM postings s JOIN postings p USING (term) WHERE p.doc_id <> s.doc_id GROUP BY ALL
+)"""
+
 CHECKS |= {
+    "v12_similar_all": Check(v12_similar_all, ALL_PAIRS_SQL + """
+        SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) AS rank FROM scored)
+        WHERE rank <= 5"""),
+    "v13_similar_padded_all": Check(v13_similar_padded_all, ALL_PAIRS_SQL + """, filled AS (
+          SELECT q.doc_id AS query_id, d.doc_id, coalesce(score, 0.0) AS score
+          FROM documents q JOIN documents d ON q.doc_id <> d.doc_id LEFT JOIN scored s ON s.query_id = q.doc_id AND s.doc_id = d.doc_id)
+        SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) AS rank FROM filled)
+        WHERE rank <= 3"""),
     "v10_search_bounded": Check(v10_search_bounded, CHECKS["v10_search_batch"].sql),
     "v14_requests_bounded": Check(v14_requests_bounded, CHECKS["v14_requests"].sql),
     "v14_filtered_bounded": Check(v14_filtered_bounded, CHECKS["v14_filtered_search"].sql),
