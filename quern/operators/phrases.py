@@ -1,10 +1,20 @@
-"""Autocomplete: phrase, prefix and word tables, and ranked suggestions for a batch of queries."""
+"""Autocomplete: phrases, completions and words, and ranked suggestions for a batch of queries.
+
+Completions form a trie.  A node with more phrases than a list holds has its list stored: the best phrases below it,
+merged from the lists of its children.  What begins with any other prefix is a short range of the sorted phrases, and
+is read from there.  So a prefix costs about one list, however many phrases it has.
+
+Words are posting lists over phrases numbered by rank.  A rare stem has rows; a frequent one has bitmaps of 32,768
+numbers each.  Several stems are intersected from the rows of the rare ones, which are then looked up in the bitmaps of
+the others, or by the bitmaps alone.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,19 +28,43 @@ DEFAULT_LIMIT = 15
 PUSHED_KEYS = 500
 
 
+# Up to this many prefixes travel as literals.
+PUSHED_PREFIXES = 100
+# Phrases of a stored list; longer answers are read from the phrases themselves.
+LISTED = 100
+# Levels of the trie that one job handles.
+STRIDE = 8
+# Phrases of a stem from which on it has bitmaps instead of rows.
+BITMAP_ROWS = 4096
+
+
 @dataclass(frozen=True)
 class PhraseIndex:
-    """``phrases(phrase, cnt, sources, stemmed)``, ``prefixes(prefix, phrase, cnt)``, ``words(stem, phrase, cnt)``.
+    """``phrases(phrase, cnt, sources, stemmed)`` and ``spoken(word, phrase, cnt)``, in ranges of their first column.
 
-    ``word_prefixes(prefix, phrase, cnt)`` has the prefixes of the words of a phrase.  Each lies in ranges of its
-    first column, sorted, so the keys of a query touch few row groups.
+    ``lists`` and ``word_lists`` ``(prefix, phrase, cnt, rank)`` have the best ``listed`` phrases of every prefix, of a
+    phrase or a word in it, that has more; they are missing where none has.  ``stems(stem, number, phrase, cnt)`` has the
+    phrases of rare stems, ``bitmaps(stem, bucket, bits)`` those of frequent ones (missing without any), and
+    ``numbered(number, phrase, cnt)`` what the numbers stand for: they follow count and alphabet.
     """
 
     phrases: DataFrame
-    prefixes: DataFrame
-    words: DataFrame
     documents: DataFrame
-    word_prefixes: DataFrame
+    spoken: DataFrame
+    numbered: DataFrame
+    stems: DataFrame
+    bitmaps: DataFrame | None
+    lists: DataFrame | None
+    word_lists: DataFrame | None
+    listed: int = LISTED
+
+    @property
+    def prefixes(self) -> DataFrame:
+        return prefix_table(self.phrases)
+
+    @property
+    def words(self) -> DataFrame:
+        return word_table(self.phrases)
 
 
 def training_phrases(records: DataFrame, id_col: str, title_col: str, names_col: str) -> DataFrame:
@@ -69,26 +103,101 @@ def word_table(phrases: DataFrame) -> DataFrame:
     return phrases.select(F.explode(F.array_distinct(F.split("stemmed", " "))).alias("stem"), "phrase", "cnt")
 
 
-def word_prefix_table(phrases: DataFrame) -> DataFrame:
-    """``(prefix, phrase, cnt)`` for every distinct character prefix of a word of the phrase."""
-    cuts = F.transform(
-        F.split("phrase", " "),
-        lambda word: F.when(F.length(word) > 0, F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: F.substr(word, F.lit(1), n))),
-    )
-    return phrases.select(F.explode(F.array_distinct(F.flatten(F.array_compact(cuts)))).alias("prefix"), "phrase", "cnt")
+def spoken_table(phrases: DataFrame) -> DataFrame:
+    """``(word, phrase, cnt)`` for every distinct word of a phrase."""
+    found = F.filter(F.array_distinct(F.split("phrase", " ")), lambda word: word != "")
+    return phrases.select(F.explode(found).alias("word"), "phrase", "cnt")
+
 
+def _cuts(key: str, lengths: Column) -> Column:
+    """The prefixes of the given lengths that a text has."""
+    fitting = F.filter(lengths, lambda n: n <= F.length(key))
+    return F.transform(fitting, lambda n: F.substr(F.col(key), F.lit(1), n))
 
-def build_phrase_index(documents: DataFrame, name: str = "phrases") -> PhraseIndex:
-    """Train on ``(doc_id, pos, text, source)`` rows and write the four tables."""
-    def written(table: DataFrame, kind: str, key: str) -> DataFrame:
-        order = list(dict.fromkeys((key, "phrase")))
-        return store(table.repartitionByRange(*order), f"{name}-{kind}", order)
 
+def _levels(low: int, high: int) -> Column:
+    return F.array(*[F.lit(n) for n in range(low, high + 1)])
+
+
+def _heavy_nodes(entries: DataFrame, key: str, listed: int, name: str) -> list[DataFrame]:
+    """``prefix`` of every node with more than ``listed`` entries, in strides of levels from the root on.
+
+    A node has no more than its parent, so only what lies below the deepest heavy nodes is counted on.
+    """
+    found: list[DataFrame] = []
+    under = entries
+    while True:
+        low = len(found) * STRIDE + 1
+        nodes = under.select(F.explode(_cuts(key, _levels(low, low + STRIDE - 1))).alias("prefix"))
+        nodes = store(nodes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > listed).select("prefix"), f"{name}-heavy")
+        if nodes.isEmpty():
+            return found
+        found.append(nodes)
+        deepest = nodes.where(F.length("prefix") == low + STRIDE - 1)
+        under = entries.withColumn("prefix", F.substr(F.col(key), F.lit(1), F.lit(low + STRIDE - 1))).join(deepest, "prefix", "left_semi").drop("prefix")
+
+
+def completion_lists(entries: DataFrame, key: str, listed: int = LISTED, name: str = "lists") -> DataFrame | None:
+    """``(prefix, phrase, cnt, rank)``: the best ``listed`` phrases of every prefix of ``key`` that more entries have.
+
+    ``entries`` holds ``key``, ``phrase`` and ``cnt``.  Every entry enters at its deepest heavy node; from there on only
+    the lists of nodes move up, stride by stride.  A phrase that reaches a node by several keys is listed once.
+    """
+    strides = _heavy_nodes(entries, key, listed, name)
+    if not strides:
+        return None
+    heavy = reduce(DataFrame.unionByName, strides)
+    cut = entries.select(F.col(key).alias("_key"), "phrase", "cnt").select("phrase", "cnt", F.explode(_cuts("_key", _levels(1, len(strides) * STRIDE))).alias("prefix"), "_key")
+    homes = cut.join(heavy, "prefix", "left_semi").groupBy("_key", "phrase", "cnt").agg(F.max(F.length("prefix")).alias("home"))
+    homes = store(homes.select(F.expr("left(_key, home)").alias("prefix"), "phrase", "cnt"), f"{name}-homes")
+    out, below = [], None
+    for at in reversed(range(len(strides))):
+        low, high = at * STRIDE + 1, (at + 1) * STRIDE
+        rows = homes.where(F.length("prefix").between(low, high))
+        if below is not None:
+            rows = rows.unionByName(below.where(F.length("prefix") == high + 1).select("prefix", "phrase", "cnt"))
+        rows = rows.select("phrase", "cnt", F.explode(_cuts("prefix", _levels(low, high))).alias("node")).withColumnRenamed("node", "prefix")
+        if key != "phrase":
+            rows = rows.distinct()
+        below = store(best_rows(rows, "prefix", [F.desc("cnt"), F.col("phrase")], listed, "phrase"), f"{name}-level")
+        out.append(below)
+    lists = reduce(DataFrame.unionByName, out).select("prefix", "phrase", "cnt", "rank")
+    return store(lists.repartitionByRange("prefix", "rank"), name, ["prefix", "rank"])
+
+
+def _stem_postings(numbered: DataFrame, bitmap_rows: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of rare stems, and bitmaps of frequent ones."""
+    rows = numbered.select(F.explode(F.array_distinct(F.split("stemmed", " "))).alias("stem"), "number", "phrase", "cnt")
+    frequent = store(rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= bitmap_rows).select("stem"), f"{name}-frequent")
+    bitmaps = None
+    rare = rows
+    if not frequent.isEmpty():
+        rare = rows.join(frequent, "stem", "left_anti")
+        dense = rows.select("stem", _bucket(F.col("number")).alias("bucket"), F.bitmap_bit_position(F.col("number") + 1).alias("position"))
+        dense = dense.join(frequent, "stem", "left_semi").groupBy("stem", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+        bitmaps = store(dense.repartitionByRange("stem", "bucket"), f"{name}-bitmaps", ["stem", "bucket"])
+    return store(rare.repartitionByRange("stem", "number"), f"{name}-stems", ["stem", "number"]), bitmaps
+
+
+def _bucket(number: Column) -> Column:
+    return F.bitmap_bucket_number(number + 1)
+
+
+def build_phrase_index(documents: DataFrame, name: str = "phrases", listed: int = LISTED, bitmap_rows: int = BITMAP_ROWS) -> PhraseIndex:
+    """Train on ``(doc_id, pos, text, source)`` rows and write the tables.
+
+    ``listed`` and ``bitmap_rows`` change what queries read, never what they find.
+    """
     # The phrases come out of a grouping that is read once; their ranges are cut from the written rows.
-    phrases = written(store(one_per_stem(phrase_counts(documents)), f"{name}-counted"), "phrases", "phrase")
+    counted = store(one_per_stem(phrase_counts(documents)), f"{name}-counted")
+    phrases = store(counted.repartitionByRange("phrase"), f"{name}-phrases", ["phrase"])
+    ranked = counted.select("phrase", "cnt", "stemmed").repartitionByRange(F.desc("cnt"), F.col("phrase")).sortWithinPartitions(F.desc("cnt"), "phrase")
+    numbered = store(ranked.withColumn("number", F.monotonically_increasing_id()), f"{name}-numbered")
+    stems, bitmaps = _stem_postings(numbered, bitmap_rows, name)
+    spoken = store(spoken_table(phrases).repartitionByRange("word", "phrase"), f"{name}-spoken", ["word", "phrase"])
     return PhraseIndex(
-        phrases, written(prefix_table(phrases), "prefixes", "prefix"), written(word_table(phrases), "words", "stem"),
-        documents, written(word_prefix_table(phrases), "word-prefixes", "prefix"),
+        phrases, documents, spoken, numbered.drop("stemmed"), stems, bitmaps,
+        completion_lists(phrases, "phrase", listed, f"{name}-lists"), completion_lists(spoken, "word", listed, f"{name}-word-lists"), listed,
     )
 
 
@@ -157,35 +266,117 @@ def _only(table: DataFrame, column: str, keys: frozenset[str] | None) -> DataFra
     return table if keys is None or len(keys) > PUSHED_KEYS else table.where(F.col(column).isin(*sorted(keys)))
 
 
-def prefix_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None) -> DataFrame:
-    """Tier 1: phrases that start with the query.  Tier 2: with its words but the last one stemmed."""
+def _begun(table: DataFrame, column: str, keys: DataFrame, few: bool, pushed: frozenset[str] | None) -> DataFrame:
+    """Every row of a table whose ``column`` begins with the ``prefix`` of a key, with the key."""
+    lengths = F.sequence(F.lit(1), F.length(column))
+    if pushed is not None:
+        if not pushed:
+            return table.where(F.lit(False)).select("phrase", "cnt", F.col(column).alias("prefix")).join(keys, "prefix")
+        if len(pushed) <= PUSHED_PREFIXES:
+            table = table.where(reduce(Column.__or__, [F.startswith(F.col(column), F.lit(key)) for key in sorted(pushed)]))
+        lengths = F.array(*[F.lit(n) for n in sorted({len(key) for key in pushed})])
+    rows = table.select("phrase", "cnt", F.explode(_cuts(column, lengths)).alias("prefix"))
+    return rows.join(_hinted(keys, few), "prefix")
+
+
+def heavy_among(lists: DataFrame | None, keys: frozenset[str] | None) -> frozenset[str] | None:
+    """Which of a few prefixes have a stored list."""
+    if lists is None or keys is None or len(keys) > PUSHED_KEYS:
+        return None
+    return frozenset(row.prefix for row in lists.where((F.col("rank") == 1) & F.col("prefix").isin(*sorted(keys))).select("prefix").collect())
+
+
+def _completed(
+    lists: DataFrame | None, table: DataFrame, column: str, keys: DataFrame, few: bool, pushed: frozenset[str] | None
+) -> DataFrame:
+    """As :func:`_begun`, but of prefixes with a stored list only that."""
+    if lists is None:
+        return _begun(table, column, keys, few, pushed)
+    heavy = heavy_among(lists, pushed)
+    listed = _only(lists, "prefix", heavy).join(_hinted(keys, few), "prefix").select("phrase", "cnt", *keys.columns)
+    light = keys.join(lists.where(F.col("rank") == 1).select("prefix"), "prefix", "left_anti")
+    rest = _begun(table, column, light, few, None if heavy is None else pushed - heavy)
+    return listed.unionByName(rest.select(*listed.columns))
+
+
+def prefix_matches(
+    index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None, limit: int | None = None
+) -> DataFrame:
+    """Tier 1: phrases that start with the query.  Tier 2: with its words but the last one stemmed.
+
+    With a ``limit``, here and in the other tiers: at least the best so many of each, all that a merged answer needs.
+    """
     direct = F.struct(F.lit(1).alias("tier"), F.col("q").alias("prefix"))
     stemmed = F.when(F.col("stemmed_q") != F.col("q"), F.struct(F.lit(2).alias("tier"), F.col("stemmed_q").alias("prefix")))
     keys = prepared.where(F.size("tokens") > 0).select("query_id", F.inline(F.array_compact(F.array(direct, stemmed))))
-    table = _only(index.prefixes, "prefix", asked and asked.prefixes)
-    return table.join(_hinted(keys, few), "prefix").select("query_id", "tier", "phrase", "cnt")
+    lists = index.lists if limit is not None and limit <= index.listed else None
+    found = _completed(lists, index.phrases, "phrase", keys, few, asked and asked.prefixes)
+    return found.select("query_id", "tier", "phrase", "cnt")
+
+
+def _bit(bits: Column, position: Column) -> Column:
+    byte = F.conv(F.hex(F.substr(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (position % 8).cast("int")) == 1
 
 
-def phrase_word_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None) -> DataFrame:
+def _set_numbers(rows: DataFrame) -> DataFrame:
+    """The numbers that the bitmap ``bits`` of a ``bucket`` holds, one row each."""
+    filled = F.filter(F.sequence(F.lit(0), F.lit(4095)), lambda at: F.substr(F.col("bits"), at + 1, F.lit(1)) != F.lit(b"\0"))
+    bytes_ = rows.where(F.bitmap_count("bits") > 0).withColumn("_at", F.explode(filled))
+    each = bytes_.withColumn("_position", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("_at") * 8 + k)))
+    each = each.where(_bit(F.col("bits"), F.col("_position")))
+    return each.withColumn("number", (F.col("bucket") - 1) * 32768 + F.col("_position")).drop("bits", "bucket", "_at", "_position")
+
+
+def phrase_word_matches(
+    index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None, limit: int | None = None
+) -> DataFrame:
     """Tier 3, several words: every complete word by stem, and some word that starts with the last."""
+    stems = asked and asked.stems
     several = prepared.where(F.size("tokens") >= 2)
     keys = several.select("query_id", F.explode("stems").alias("stem"), F.size("stems").alias("needed"), "last")
-    hits = _only(index.words, "stem", asked and asked.stems).join(_hinted(keys, few), "stem")
-    full = hits.groupBy("query_id", "phrase", "cnt", "needed", "last").agg(F.count(F.lit(1)).alias("found"))
-    begins = F.exists(F.split("phrase", " "), lambda word: F.startswith(word, F.col("last")))
-    return full.where((F.col("found") == F.col("needed")) & begins).select(
-        "query_id", F.lit(3).alias("tier"), "phrase", "cnt"
+    rows = _only(index.stems, "stem", stems).join(_hinted(keys, few), "stem")
+    rare = rows.groupBy("query_id", "number", "needed", "last").agg(
+        F.count(F.lit(1)).alias("found"), F.first("phrase").alias("phrase"), F.first("cnt").alias("cnt")
     )
+    if index.bitmaps is None:
+        full = rare.where(F.col("found") == F.col("needed"))
+    else:
+        bitmaps = _only(index.bitmaps, "stem", stems)
+        dense = keys.join(_only(bitmaps.select("stem"), "stem", stems).distinct(), "stem", "left_semi")
+        n_dense = dense.groupBy("query_id").agg(F.count(F.lit(1)).alias("dense"))
+        rare = rare.join(n_dense, "query_id", "left").withColumn("dense", F.coalesce("dense", F.lit(0)))
+        rare = rare.where(F.col("found") + F.col("dense") == F.col("needed"))
+        # Rows of the rare stems first; each is looked up in the bitmaps of the frequent ones.
+        looked = rare.where(F.col("dense") > 0).join(dense.select("query_id", "stem"), "query_id").withColumn("bucket", _bucket(F.col("number")))
+        looked = looked.join(bitmaps, ["stem", "bucket"]).where(_bit(F.col("bits"), F.bitmap_bit_position(F.col("number") + 1)))
+        held = looked.groupBy("query_id", "number", "phrase", "cnt", "last", "dense").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") == F.col("dense"))
+        # Frequent stems alone: whole bitmaps are intersected.
+        both = bitmaps.join(_hinted(dense, few), "stem").groupBy("query_id", "bucket", "needed", "last").agg(
+            F.count(F.lit(1)).alias("found"), F.bitmap_and_agg("bits").alias("bits")
+        )
+        numbers = _set_numbers(both.where(F.col("found") == F.col("needed")).select("query_id", "last", "bucket", "bits"))
+        columns = ["query_id", "phrase", "cnt", "last"]
+        full = rare.where(F.col("dense") == 0).select(*columns).unionByName(held.select(*columns)).unionByName(
+            index.numbered.join(numbers, "number").select(*columns)
+        )
+    begins = F.exists(F.split("phrase", " "), lambda word: F.startswith(word, F.col("last")))
+    return full.where(begins).select("query_id", F.lit(3).alias("tier"), "phrase", "cnt")
 
 
-def word_prefix_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None) -> DataFrame:
+def word_prefix_matches(
+    index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None, limit: int | None = None
+) -> DataFrame:
     """Tier 3, one word: any word of the phrase starts with the query."""
     single = prepared.where(F.size("tokens") == 1).select("query_id", F.col("q").alias("prefix"))
-    hits = _only(index.word_prefixes, "prefix", asked and asked.words).join(_hinted(single, few), "prefix")
-    return hits.select("query_id", F.lit(3).alias("tier"), "phrase", "cnt")
+    lists = index.word_lists if limit is not None and limit <= index.listed else None
+    found = _completed(lists, index.spoken, "word", single, few, asked and asked.words)
+    return found.select("query_id", F.lit(3).alias("tier"), "phrase", "cnt").distinct()
 
 
-def trailing_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None) -> DataFrame:
+def trailing_matches(
+    index: PhraseIndex, prepared: DataFrame, few: bool = False, asked: Asked | None = None, limit: int | None = None
+) -> DataFrame:
     """Tier 4: the longest run of last words that some phrase starts with."""
     several = prepared.where(F.size("tokens") >= 2)
     slices = F.transform(
@@ -196,7 +387,8 @@ def trailing_matches(index: PhraseIndex, prepared: DataFrame, few: bool = False,
         ),
     )
     keys = several.select("query_id", F.inline(slices)).withColumn("tier", F.lit(4))
-    hits = _only(index.prefixes, "prefix", asked and asked.tails).join(_hinted(keys, few), "prefix")
+    lists = index.lists if limit is not None and limit <= index.listed else None
+    hits = _completed(lists, index.phrases, "phrase", keys, few, asked and asked.tails)
     longest = hits.groupBy("query_id").agg(F.max("words").alias("words"))
     return hits.join(longest, ["query_id", "words"], "left_semi").select("query_id", "tier", "phrase", "cnt")
 
@@ -228,14 +420,14 @@ def suggest(
     few = tokens is not None and sum(map(len, tokens)) <= BROADCAST_ROWS
     keys = None if asked is None else asked_keys(asked.to_pylist())
     found = (
-        prefix_matches(index, prepared, few, keys)
-        .unionByName(phrase_word_matches(index, prepared, few, keys))
-        .unionByName(word_prefix_matches(index, prepared, few, keys))
+        prefix_matches(index, prepared, few, keys, limit)
+        .unionByName(phrase_word_matches(index, prepared, few, keys, limit))
+        .unionByName(word_prefix_matches(index, prepared, few, keys, limit))
     )
     ranked, hits = settle(merge_tiers(found, limit), "suggest-matches", one)
     if asked is None or hits is None or not set(asked["query_id"].to_pylist()) <= set(hits["query_id"].to_pylist()):
         unmatched = prepared.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
-        tails = merge_tiers(trailing_matches(index, unmatched, few, keys), limit)
+        tails = merge_tiers(trailing_matches(index, unmatched, few, keys, limit), limit)
         ranked, hits = settle(ranked.unionByName(tails), "suggest-ranked", one)
     if tokens is None or 0 in map(len, tokens):
         # A blank query gets the same few phrases as any other blank query.
