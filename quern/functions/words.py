@@ -198,81 +198,137 @@ VOID_TAGS = frozenset(
 )
 
 
-class _ScopeReader(HTMLParser):
-    """Collects top-level ``itemscope`` elements of one page as nested dicts."""
+class _Element:
+    """One element of a page: its attributes, and its texts and elements in order."""
+
+    __slots__ = ("tag", "attributes", "parts")
+
+    def __init__(self, tag: str, attributes: dict[str, str]) -> None:
+        self.tag, self.attributes, self.parts = tag, attributes, []
+
+    def text(self) -> str:
+        """All text below, in order; walked without recursion, since pages nest as deep as they like."""
+        out, left = [], [iter(self.parts)]
+        while left:
+            part = next(left[-1], None)
+            if part is None:
+                left.pop()
+            elif isinstance(part, str):
+                out.append(part)
+            else:
+                left.append(iter(part.parts))
+        return " ".join("".join(out).split())
+
+
+class _TreeReader(HTMLParser):
+    """The elements of a page as a tree; an end tag closes all that was opened since its start."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.scopes: list[dict] = []
-        self.open: list[tuple[str, dict | None, list | None, tuple[list[str], dict | None] | None]] = []
+        self.open = [_Element("", {})]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        attributes = {name: value or "" for name, value in attrs}
-        names = attributes.get("itemprop", "").split()
-        owner = self.scopes[-1] if self.scopes else None
-        scope, text = None, None
-        if "itemscope" in attributes:
-            types = attributes.get("itemtype", "").split()
-            scope = {"properties": {}}
-            if types:
-                scope = {"type": types[0] if len(types) == 1 else types, "properties": {}}
-            if names and owner is not None:
-                self._add(owner, names, scope)
-            else:
-                self.found.append(scope)
-        elif names and owner is not None:
-            attribute = VALUE_ATTRIBUTES.get(tag)
-            if attribute in attributes:
-                self._add(owner, names, attributes[attribute].strip())
-            else:
-                text = []
-        if tag in VOID_TAGS:
-            return
-        self.open.append((tag, scope, text, (names, owner)))
-        if scope is not None:
-            self.scopes.append(scope)
+        attributes: dict[str, str] = {}
+        for name, value in attrs:
+            attributes.setdefault(name, value or "")
+        element = _Element(tag, attributes)
+        self.open[-1].parts.append(element)
+        if tag not in VOID_TAGS:
+            self.open.append(element)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID_TAGS:
-            self.handle_endtag(tag)
+            self.open.pop()
 
     def handle_data(self, data: str) -> None:
-        for _, _, text, _ in self.open:
-            if text is not None:
-                text.append(data)
+        self.open[-1].parts.append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(entry[0] == tag for entry in self.open):
-            return
-        while self.open:
-            name, scope, text, target = self.open.pop()
-            if scope is not None:
-                self.scopes.pop()
-            if text is not None and target is not None:
-                names, owner = target
-                self._add(owner, names, " ".join("".join(text).split()))
-            if name == tag:
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == tag:
+                del self.open[at:]
                 return
 
-    @staticmethod
-    def _add(owner: dict, names: Iterable[str], value: object) -> None:
-        for name in names:
-            known = owner["properties"]
-            if name not in known:
-                known[name] = value
-            elif isinstance(known[name], list):
-                known[name].append(value)
-            else:
-                known[name] = [known[name], value]
+
+class _Items:
+    """Items of a page.  ``itemref`` adds the properties of other elements; a cycle of references ends where it closes."""
+
+    def __init__(self, root: _Element) -> None:
+        self.scopes: list[tuple[_Element, bool]] = []  # with whether it stands as a property in another item
+        self.by_id: dict[str, _Element] = {}
+        self.referred: set[int] = set()
+        left = [(iter(root.parts), False)]
+        while left:
+            part = next(left[-1][0], None)
+            if part is None:
+                left.pop()
+            elif not isinstance(part, str):
+                inside = left[-1][1]
+                if part.attributes.get("id"):
+                    self.by_id.setdefault(part.attributes["id"], part)
+                if "itemscope" in part.attributes:
+                    self.scopes.append((part, inside and bool(part.attributes.get("itemprop", "").split())))
+                    inside = True
+                left.append((iter(part.parts), inside))
+
+    def found(self) -> list[dict]:
+        """All items that are no property of another, in the order of the page."""
+        built = [(element, self.item(element, ())) for element, held in self.scopes if not held]
+        return [item for element, item in built if id(element) not in self.referred]
+
+    def item(self, element: _Element, within: tuple[int, ...]) -> dict:
+        types = element.attributes.get("itemtype", "").split()
+        item: dict = {"properties": {}}
+        if types:
+            item = {"type": types[0] if len(types) == 1 else types, **item}
+            if element.attributes.get("itemid", "").strip():
+                item["id"] = element.attributes["itemid"].strip()
+        within, used = (*within, id(element)), {id(element)}
+        for name in element.attributes.get("itemref", "").split():
+            if name in self.by_id:
+                self._collect(item["properties"], [self.by_id[name]], within, used, True)
+        self._collect(item["properties"], element.parts, within, used, False)
+        return item
+
+    def _collect(self, properties: dict, parts: list, within: tuple[int, ...], used: set[int], referred: bool) -> None:
+        """Add the properties of some elements and what is in them; an element counts once for an item."""
+        left = [iter(parts)]
+        while left:
+            part = next(left[-1], None)
+            if part is None:
+                left.pop()
+            elif not isinstance(part, str) and id(part) not in used:
+                used.add(id(part))
+                names = part.attributes.get("itemprop", "").split()
+                if "itemscope" not in part.attributes:
+                    if names:
+                        attribute = VALUE_ATTRIBUTES.get(part.tag)
+                        known = part.attributes.get(attribute) if attribute else None
+                        _add(properties, names, part.text() if known is None else known.strip())
+                    left.append(iter(part.parts))
+                elif names:
+                    if referred:
+                        self.referred.add(id(part))
+                    if id(part) not in within:
+                        _add(properties, names, self.item(part, within))
+
+
+def _add(properties: dict, names: Iterable[str], value: object) -> None:
+    for name in names:
+        if name not in properties:
+            properties[name] = value
+        elif isinstance(properties[name], list):
+            properties[name].append(value)
+        else:
+            properties[name] = [properties[name], value]
 
 
 def microdata_items(page: str) -> list[dict]:
-    reader = _ScopeReader()
+    reader = _TreeReader()
     reader.feed(page)
     reader.close()
-    return reader.found
+    return _Items(reader.open[0]).found()
 
 
 def sparse_dots(left_keys: pa.Array, left: pa.Array, right_keys: pa.Array, right: pa.Array) -> pa.Array:

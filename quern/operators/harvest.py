@@ -85,12 +85,14 @@ def _microdata_json(pages: pa.Array) -> pa.Array:
 def _scoped_part(html: Column) -> Column:
     """The page from its first ``itemscope`` tag on; NULL without one.
 
-    A tag that only stands inside a script does not count as the first; such a page is kept whole.
+    A tag that only stands inside a script does not count as the first; such a page is kept whole, as is one in
+    which an item may refer to elements before it.
     """
     at = F.regexp_instr(html, F.lit(r"(?is)<[a-z][^<>]*\sitemscope\b"))
     before = F.substr(html, F.lit(1), at - 1)
     in_script = F.regexp_count(before, F.lit(r"(?i)<script\b")) != F.regexp_count(before, F.lit(r"(?i)</script\b"))
-    part = F.when(in_script, html).when(at > 0, F.substr(html, at))
+    refers = F.contains(F.lower(html), F.lit("itemref"))
+    part = F.when(in_script | refers, html).when(at > 0, F.substr(html, at))
     return F.when(F.contains(F.lower(html), F.lit("itemscope")), part)
 
 
@@ -104,7 +106,7 @@ def _tolerant(block: Column) -> Column:
 def harvest(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, microdata, json_ld, opengraph, harvested)`` of a page table.
 
-    Only what stands from the first ``itemscope`` tag on is sent to Python.  A JSON-LD block that does not
+    Only what stands from the first ``itemscope`` tag on is sent to Python, but for pages with references.  A JSON-LD block that does not
     parse is tried again without comments around it and with control characters as blanks; a page with a
     block that is broken even so counts as not harvested.
     """

@@ -38,12 +38,13 @@ def recipe_records(
 def build_corpus(
     pages: DataFrame, image_template: str, id_col: str = "page_id", html_col: str = "html", name: str = "corpus"
 ) -> Corpus:
-    """Clean rows, quarantine and catalog from one written table of checked records."""
+    """Clean rows, quarantine and counts over one written table of checked records, and the catalog, written by id."""
     structured = store(recipe_records(pages, id_col, html_col, name), f"{name}-records")
     kept = records.keep_first(structured).withColumn("ord", F.col("recipe_id"))
     checked = store(audit.with_errors(kept), f"{name}-checked")
     clean = audit.clean_rows(checked)
-    return Corpus(clean, audit.anomalies(checked), audit.anomaly_counts(checked), catalog.build_catalog(clean, image_template))
+    stored = catalog.store_by_id(catalog.build_catalog(clean, image_template), f"{name}-catalog")
+    return Corpus(clean, audit.anomalies(checked), audit.anomaly_counts(checked), stored)
 
 
 def text_index(clean: DataFrame, lexicon: DataFrame, name: str = "text") -> tfidf.TextIndex:

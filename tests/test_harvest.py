@@ -49,6 +49,40 @@ def test_microdata_reader():
     assert item["properties"]["author"] == {"type": "http://schema.org/Person", "properties": {"name": "Ann"}}
 
 
+REFERENCES = """
+<span id="a" itemprop="name">Soup</span><div id="b"><i itemprop="ingredients">salt</i><p id="c" itemprop="author" itemscope itemref="d"><b itemprop="name">Ann</b></p></div>
+<div itemscope itemtype="t1" itemid=" urn:1 " itemref="b a nowhere b"><i itemprop="ingredients">water</i></div>
+<div id="d" itemprop="knows" itemscope itemtype="t2" itemref="c d"><i itemprop="name">Bob</i></div>
+<div id="self" itemscope itemref="self outer"><u itemprop="x">1</u></div><div id="outer"><div itemprop="y">2<s itemprop="z">3</s></div></div>
+<div itemscope itemid="no type">text</div>
+"""
+
+
+def test_references_of_items():
+    found = words.microdata_items(REFERENCES)
+    ann = {"properties": {"knows": {"type": "t2", "properties": {"name": "Bob"}}, "name": "Ann"}}
+    assert found == [
+        {"type": "t1", "id": "urn:1", "properties": {"ingredients": ["salt", "water"], "author": ann, "name": "Soup"}},
+        {"properties": {"x": "1", "y": "23", "z": "3"}},
+        {"properties": {}},
+    ]
+
+
+def test_cycles_and_depth_end():
+    loop = "".join(f'<div id="i{n}" itemprop="p" itemscope itemref="i{(n + 1) % 5}"></div>' for n in range(5))
+    assert words.microdata_items(loop) == []
+    around = '<div id="top"><div itemscope itemref="top"><i itemprop="a">1</i></div><i itemprop="b">2</i></div>'
+    assert words.microdata_items(around) == [{"properties": {"b": "2", "a": "1"}}]
+    deep = "<div>" * 50_000 + '<div itemscope><p itemprop="a">' + "<b>" * 50_000 + "x"
+    assert words.microdata_items(deep) == [{"properties": {"a": "x"}}]
+
+
+def test_pages_with_references_are_read_whole(spark):
+    rows = spark.createDataFrame([(1, page(REFERENCES)), (2, page('<p itemprop="name" id="a">out</p>', MICRO))], "page_id bigint, html string")
+    sizes = {r.page_id: r.n for r in harvest.harvest(rows).select("page_id", F.size("microdata").alias("n")).collect()}
+    assert sizes == {1: 3, 2: 1}
+
+
 def test_harvest_types_and_info(spark):
     found = harvest.harvest(pages(spark))
     typed = {r.page_id: r.types for r in harvest.with_types(found).collect()}

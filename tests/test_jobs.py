@@ -15,6 +15,10 @@ def test_pages_to_catalog(spark, sf_dir):
     counts = corpus.counts.first()
     assert counts.total_records == n_recipes
     assert corpus.clean.count() + corpus.quarantine.count() == n_recipes
+    # Every look-up reads what was written, and only the files that can hold its id.
+    assert corpus.catalog.inputFiles() and "Exchange" not in corpus.catalog._jdf.queryExecution().executedPlan().toString()
+    ranges = corpus.catalog.groupBy(F.input_file_name().alias("f")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi < b.lo for a, b in zip(ranges, ranges[1:]))
     rows = corpus.catalog.where(F.size("categories") > 0).collect()
     assert rows and all(r.categories == ["Main"] for r in rows)
     one = rows[0]
