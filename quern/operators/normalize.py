@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -68,15 +69,20 @@ def verb_noun_forms(vocabulary: DataFrame, lexicon: DataFrame, irregular: DataFr
 
 
 # --- Lemmatising token lists -----------------------------------------------------------------------------------
+def _sorted_words(column: pa.ChunkedArray) -> words.SortedWords:
+    return words.SortedWords(column.combine_chunks())
+
+
 def _lemmatise_in_place(df: DataFrame, column: str, lexicon: DataFrame, order: str, irregular: DataFrame | None) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    listed = {"n": set(), "v": set()}
-    for row in lexicon.select("lemma", "pos").where(F.col("pos").isin("n", "v")).collect():
-        listed[row.pos].add(row.lemma)
-    exceptions: dict[tuple[str, str], list[str]] = {}
-    for row in irregular.select("word", "pos", "lemma").collect() if irregular is not None else []:
-        exceptions.setdefault((row.word, row.pos), []).append(row.lemma)
-    shared = context.broadcast(({pos: frozenset(found) for pos, found in listed.items()}, exceptions))
+    """Workers search sorted buffers of the lexicon: some 20 bytes an entry, 10 MB for the most that is sent."""
+    listed = lexicon.select("lemma", "pos").where(F.col("pos").isin("n", "v")).distinct().toArrow().sort_by([("pos", "ascending"), ("lemma", "ascending")])
+    lists = {pos: _sorted_words(listed.filter(pc.field("pos") == pos)["lemma"]) for pos in ("n", "v")}
+    exceptions = None
+    if irregular is not None:
+        keyed = irregular.select(F.concat("word", F.lit("\0"), "pos").alias("key"), "lemma").dropna().toArrow()
+        keyed = keyed.sort_by([("key", "ascending"), ("lemma", "ascending")])
+        exceptions = _sorted_words(keyed["key"]), _sorted_words(keyed["lemma"])
+    shared = df.sparkSession.sparkContext.broadcast((lists, exceptions))
     make, per_list = words.form_finder, words.map_word_lists
 
     @arrow_udf(text.STRINGS)

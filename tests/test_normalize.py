@@ -1,7 +1,11 @@
+import pickle
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import text
+from quern.functions import text, words
 from quern.operators import normalize
 
 LEXICON = [("tomato", "n"), ("chop", "v"), ("knife", "n"), ("berry", "n"), ("bake", "v"), ("dish", "n"), ("bus", "n"), ("leaf", "n")]
@@ -25,9 +29,9 @@ def test_tokens(spark):
 
 
 def test_lemma_rules(spark, lexicon):
-    words = spark.createDataFrame([(w,) for w in ("tomatoes", "berries", "leaves", "buses", "dishes", "xyz", "bus", "knives")], "token string")
+    asked = spark.createDataFrame([(w,) for w in ("tomatoes", "berries", "leaves", "buses", "dishes", "xyz", "bus", "knives")], "token string")
     irregular = spark.createDataFrame([("knives", "n", "knife")], "word string, pos string, lemma string")
-    found = {r.token: r.lemma for r in normalize.noun_forms(words, lexicon, irregular).collect()}
+    found = {r.token: r.lemma for r in normalize.noun_forms(asked, lexicon, irregular).collect()}
     assert found == {"berries": "berry", "leaves": "leaf", "buses": "bus", "dishes": "dish", "bus": "bus", "knives": "knife"}
     verbs = spark.createDataFrame([("chopping",), ("baked",), ("dishes",)], "token string")
     assert {r.token: r.lemma for r in normalize.verb_noun_forms(verbs, lexicon).collect()} == {"baked": "bake", "dishes": "dish"}
@@ -76,3 +80,26 @@ def test_records(spark, lexicon):
     paired = normalize.paired_names(df, "names", lexicon, "id")
     samples = normalize.changed_samples(paired, "id", "names", "paired", 6).collect()
     assert [(r.before, r.after) for r in samples] == [("Fresh berries", "fresh berry"), ("berries", "berry")]
+
+
+def test_sorted_words_find_what_a_set_holds():
+    rng = random.Random(1)
+    known = sorted({"".join(rng.choices("abcé\u4e2d", k=rng.randint(0, 4))) for _ in range(300)}, key=str.encode)
+    found = pickle.loads(pickle.dumps(words.SortedWords(pa.array(known))))
+    probes = ["".join(rng.choices("abcdé\u4e2d", k=rng.randint(0, 5))) for _ in range(2000)] + known
+    assert [word in found for word in probes] == [word in set(known) for word in probes]
+    assert "a" not in words.SortedWords(pa.array([], pa.string())) and "b" in words.SortedWords(pa.array(["x", "a", "b", "c"])[1:])
+
+
+def test_a_full_lexicon_stays_small():
+    entries = pa.array([f"word{at:07d}" for at in range(normalize.LEXICON_ROWS)])
+    assert len(pickle.dumps(words.SortedWords(entries))) < 25 * normalize.LEXICON_ROWS
+
+
+def test_ties_and_exceptions_on_both_routes(spark):
+    """Several irregular forms, forms of one length, and a word that only another part of speech knows."""
+    lexicon = spark.createDataFrame([("axe", "n"), ("axi", "n"), ("ax", "v"), ("lie", "v"), ("lay", "v"), ("bus", "n"), ("bus", "n"), ("li", "v")], "lemma string, pos string")
+    irregular = spark.createDataFrame([("axes", "n", "axi"), ("axes", "n", "axe"), ("lain", "v", "lie"), ("lain", "v", "lay"), ("lain", None, "x")], "word string, pos string, lemma string")
+    df = spark.createDataFrame([(1, ["axes lain lies buses", "axes"])], "id int, p array<string>")
+    out = [normalize.lemmatise(df, "p", lexicon, "id", "vn", irregular, lexicon_rows=n).first().p for n in (100, 0)]
+    assert out[0] == out[1] and out[0][0].split()[1] == "lay"
