@@ -44,7 +44,7 @@ def one_query(index: TextIndex, query: str) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"))
 
 
-def _only_terms(table: DataFrame, wanted: pa.Table | None) -> DataFrame:
+def only_terms(table: DataFrame, wanted: pa.Table | None) -> DataFrame:
     """Restrict an index table to the terms of a settled table, if few, by a filter the parquet reader knows."""
     if wanted is None:
         return table
@@ -63,7 +63,7 @@ def query_vectors(
         stop = list(index.analyzer.stopwords)
         tokenised = tokenised.withColumn("tokens", F.filter("tokens", lambda token: ~token.isin(*stop)))
     counts, wanted = settle(term_counts(tokenised, index.analyzer, key="query_id"), "query-terms", few)
-    weighted = _only_terms(index.terms.select("term", "idf", "df"), wanted).join(counts, "term")
+    weighted = only_terms(index.terms.select("term", "idf", "df"), wanted).join(counts, "term")
     weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
     return weighted.select("query_id", "term", (F.col("raw") / norm).alias("query_weight"), "df")
@@ -76,7 +76,7 @@ def scores(index: TextIndex, vectors: DataFrame, allowed: DataFrame | None = Non
     applied to the postings, before anything is summed.
     """
     vectors, wanted = settle(vectors, "query-vectors", few)
-    matched = _only_terms(index.postings.select("doc_id", "term", "weight"), wanted).join(vectors, "term")
+    matched = only_terms(index.postings.select("doc_id", "term", "weight"), wanted).join(vectors, "term")
     if allowed is not None:
         matched = matched.join(allowed, [name for name in ("query_id", "doc_id") if name in allowed.columns], "left_semi")
     summed = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
@@ -113,8 +113,8 @@ def run_bounds(index: TextIndex, vectors: DataFrame, wanted: pa.Table | None = N
     ``vectors`` holds ``(query_id, term, query_weight, df)``.  Of frequent terms only blocks are read.
     """
     long = F.col("df") >= index.long_term
-    blocks = _only_terms(index.blocks, wanted).join(vectors.where(long), "term")
-    rare = _only_terms(index.postings.select("term", "run", "weight"), wanted).join(vectors.where(~long), "term")
+    blocks = only_terms(index.blocks, wanted).join(vectors.where(long), "term")
+    rare = only_terms(index.postings.select("term", "run", "weight"), wanted).join(vectors.where(~long), "term")
     rare = rare.groupBy("query_id", "term", "run", "query_weight").agg(F.max("weight").alias("most"))
     parts = [part.select("query_id", "run", (F.col("query_weight") * F.col("most")).alias("bound")) for part in (blocks, rare)]
     return parts[0].unionByName(parts[1]).groupBy("query_id", "run").agg(F.sum("bound").alias("bound"))
@@ -122,7 +122,7 @@ def run_bounds(index: TextIndex, vectors: DataFrame, wanted: pa.Table | None = N
 
 def _scores_in(index: TextIndex, vectors: DataFrame, runs: DataFrame, wanted: pa.Table | None, listed: pa.Table | None) -> DataFrame:
     """``(query_id, doc_id, score)`` of the documents in some runs ``(query_id, run)``."""
-    postings = _only_terms(index.postings.select("doc_id", "term", "weight", "run"), wanted)
+    postings = only_terms(index.postings.select("doc_id", "term", "weight", "run"), wanted)
     if listed is not None:
         numbers = listed["run"].unique().to_pylist()
         postings = postings.where(F.col("run").isin(numbers)) if len(numbers) <= PUSHED_TERMS else postings

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quern.functions.cells import category_list
 from quern.functions.text import strip
-from quern.operators import neighbours, retrieve, tfidf
+from quern.operators import neighbours, retrieve, segments, tfidf
 from quern.plans.checks.registry import Check
 from quern.plans.tables import derive, shared, table
+from quern.sources.tables import fresh_path
 
 QUERY = "the nation and their eauxment über"
 SOURCE_DOC = 1
@@ -137,6 +138,29 @@ def v10_search_bounded(spark, sf_dir):
     return found.select("query_id", "doc_id", "rank", rounded("score"))
 
 
+def grown_index(spark: SparkSession, sf_dir: str) -> segments.GrowingIndex:
+    """The same documents in three additions."""
+    def build():
+        docs = documents(spark, sf_dir)
+        grown = segments.create(spark, fresh_path(spark, "grown"))
+        for part in range(3):
+            grown = segments.add(grown, docs.where(F.pmod(F.col("doc_id"), F.lit(3)) == part), "doc_id", "text", norms=part == 2)
+        return grown
+
+    return shared(spark, sf_dir, "grown-index", build)
+
+
+def v05_grown_norms(spark, sf_dir):
+    view = segments.as_text_index(grown_index(spark, sf_dir))
+    squares = view.postings.groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squares"))
+    return view.docs.join(squares, "doc_id", "left").select("doc_id", rounded("norm"), "squares")
+
+
+def v10_search_grown(spark, sf_dir):
+    found = segments.search(grown_index(spark, sf_dir), benchmark(spark, sf_dir), 5, "item_id", "text")
+    return found.select("query_id", "doc_id", "rank", rounded("score"))
+
+
 def v11_top_terms(spark, sf_dir):
     return retrieve.top_terms(index(spark, sf_dir), 5).select("doc_id", "rank", "term", rounded("weight"))
 
@@ -348,6 +372,8 @@ ALL_PAIRS_SQL = INDEX_SQL + """, scored AS (
 )"""
 
 CHECKS |= {
+    "v05_grown_norms": Check(v05_grown_norms, CHECKS["v05_norms"].sql),
+    "v10_search_grown": Check(v10_search_grown, CHECKS["v10_search_batch"].sql),
     "v12_similar_all": Check(v12_similar_all, ALL_PAIRS_SQL + """
         SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) AS rank FROM scored)
