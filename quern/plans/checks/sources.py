@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quern.functions import fixed, text
 from quern.plans.checks.registry import Check
 from quern.plans.tables import derive, plain, shared, table
-from quern.sources import csv_tables, incremental, json_docs, profile
+from quern.sources import csv_tables, incremental, json_docs, profile, sketches
 from quern.sources.tables import fresh_path
+from quern.streaming import batches
 from quern.streaming.ingest import process_new_files
 
 TALK = """
@@ -142,6 +143,23 @@ def s09_append(spark, sf_dir):
     return profile.table_counts(spark.read.schema(schema).parquet(path), "recipe_id")
 
 
+def streamed(spark, rows, work):
+    """Rows written as files, taken in as a stream whose second run finds nothing new; the target folder."""
+    source, target, marks = (fresh_path(spark, name) for name in ("stream-in", "stream-target", "stream-marks"))
+    rows.write.parquet(source)
+    for _ in range(2):
+        batches.run(spark, source, rows.schema, target, marks, work)
+    return target
+
+
+def s09_stream(spark, sf_dir):
+    """The same append from a stream."""
+    listing = incremental.listing_rows(derive(spark, sf_dir, INCOMING))
+    target = streamed(spark, listing, batches.unseen("recipe_id", stored(spark, sf_dir)))
+    found = batches.committed(spark, target)
+    return found.groupBy("recipe_id", "title", "image", "calories", "instructions").agg(F.count(F.lit(1)).alias("n"))
+
+
 def work(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
 
@@ -171,6 +189,20 @@ def s11_outcomes(spark, sf_dir):
     return incremental.outcome_counts(derive(spark, sf_dir, LOG))
 
 
+def s11_stream(spark, sf_dir):
+    return batches.tallied(spark, streamed(spark, derive(spark, sf_dir, LOG), batches.tallies()))
+
+
+def s12_sketched(spark, sf_dir):
+    """Counts of the parts of a table, merged: rows exactly, keys within five standard errors."""
+    gaps = derive(spark, sf_dir, GAPS)
+    parts = sketches.sketch_columns(gaps, ["o_custkey"], F.pmod(F.col("o_orderkey"), F.lit(7)))
+    merged = sketches.estimates(sketches.merge(parts))
+    exact = gaps.agg(F.count_distinct("o_custkey").alias("n_keys"))
+    near = F.abs(F.col("n_distinct") - F.col("n_keys")) <= 5 * sketches.STANDARD_ERROR * F.col("n_keys")
+    return merged.withColumn("one", F.lit(1)).join(exact.withColumn("one", F.lit(1)), "one").select("n_rows", "n_missing", "n_keys", near.alias("near"))
+
+
 def s12_counts(spark, sf_dir):
     return profile.table_counts(derive(spark, sf_dir, GAPS), "o_custkey")
 
@@ -236,6 +268,9 @@ CHECKS = {
     "s11_outcomes": Check(s11_outcomes, """
         SELECT CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 6 IN (1, 2) THEN 'saved' ELSE 'not_found' END AS outcome,
           count(*) AS n FROM events GROUP BY ALL"""),
+    "s12_sketched": Check(s12_sketched, f"""
+        SELECT count(*) AS n_rows, count(*) - count(o_custkey) AS n_missing, count(DISTINCT o_custkey) AS n_keys, true AS near FROM ({sql(GAPS)})"""),
     "s12_counts": Check(s12_counts, f"SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_keys FROM ({sql(GAPS)})"),
     "s13_profile": Check(s13_profile, f"WITH gaps AS ({sql(GAPS)}) {PROFILE_SQL}"),
 }
+CHECKS |= {"s09_stream": Check(s09_stream, CHECKS["s09_new_rows"].sql), "s11_stream": Check(s11_stream, CHECKS["s11_outcomes"].sql)}
