@@ -219,3 +219,17 @@ LISTING_COLUMNS = [
     "calories", "protein", "fat", "carbs", "dietary_tags", "instructions",
 ]
 NO_SOURCE_URL = "No instructions provided"
+
+# Fixed values of the public treebank conventions: characters and runs that are tokens by themselves, endings that are
+# split from their word, and words that are split in two.
+TREEBANK_MARKS = r"[;@#$%&?!*\[\](){}<>«»“”‘’„\"]|`+|''|--|\.{2,}"
+TREEBANK_ENDINGS = ("'ll", "'re", "'ve", "'s", "'m", "'d", "n't", "'")
+TREEBANK_PAIRS = (
+    ("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n"), ("wan", "na"),
+    ("'t", "is"), ("'t", "was"),
+)
+# Abbreviations whose period ends no sentence.
+ABBREVIATIONS = (
+    "approx", "assn", "co", "corp", "dr", "e.g", "etc", "fig", "fl", "ft", "gal", "i.e", "inc", "jr", "lb", "lbs", "ltd", "mr", "mrs", "ms",
+    "no", "oz", "pkg", "prof", "pt", "qt", "sr", "st", "tbsp", "temp", "tsp", "vol", "vs",
+)

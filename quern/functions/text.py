@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -163,12 +164,43 @@ def _kept(tokens: Column, stopwords: Sequence[str]) -> Column:
     return without_words(long_enough, stopwords)
 
 
+def sentences(text: Column) -> Column:
+    """Sentences: a period, question or exclamation mark ends one before white space, unless it ends an abbreviation.
+
+    Initials (one letter) and enumerations count as abbreviations.  Case does not matter, since names come lowered.
+    """
+    short = "|".join(re.escape(word) for word in fixed.ABBREVIATIONS)
+    pattern = rf"(?iU)(?<=[.?!][\"')\]»”’]{{0,2}})(?<!(?:^|[\s(\[\"'])(?:{short}|\w)\.)\s+"
+    return split_on(strip(text), pattern)
+
+
+def treebank_words(sentence: Column) -> Column:
+    """Words and marks of one sentence after the treebank conventions.
+
+    Marks stand alone; commas and colons do unless a digit follows; the last period is split off, others stay in their
+    word; endings like ``n't`` and ``'s`` are words, and so are the halves of ``cannot`` or ``gonna``.  Quotation marks
+    are left as they are.
+    """
+    ending = "|".join(fixed.TREEBANK_ENDINGS)
+    # Between the halves of a pair stands nothing, so looking both ways finds the place.
+    places = "|".join(
+        rf"(?<=(?:^|[^\w']){left})(?={right}{'(?=[ ])' if left == 'wan' else ''}\b)" if left.startswith("'") else
+        rf"(?<=\b{left})(?={right}{'(?= )' if left == 'wan' else ''}\b)" for left, right in fixed.TREEBANK_PAIRS
+    )
+    out = replace_all(sentence, r"(?U)\s+", " ")
+    out = replace_all(out, r"(?iU)'(?=(?![mtsdn])\w\b)", "' ")
+    out = replace_all(out, fixed.TREEBANK_MARKS, " $0 ")
+    out = replace_all(out, r"[:,](?=\D|$)", " $0 ")
+    out = replace_all(out, r"(?<=[^.])\.(?=[\])}>\"'»”’ ]*$)", " . ")
+    out = replace_all(F.concat(out, F.lit(" ")), rf"(?i)(?<=[^' ])(?:{ending})(?= )", " $0")
+    out = replace_all(out, rf"(?iU){places}", " ")
+    return F.filter(split_on(out, " +"), lambda token: token != "")
+
+
 def name_tokens(name: Column, stopwords: Sequence[str]) -> Column:
-    """Tokens of a short name; characters other than letters vanish inside a token."""
-    separated = replace_all(F.lower(name), r"(?U)n't\b|'(?:s|m|d|ll|re|ve)\b|--|\.{2,}", " ")
-    separated = replace_all(separated, r"(?U)\bcannot\b", "can not")
-    tokens = split_on(separated, r"(?U)[\s;@#$%&?!,:()\[\]{}<>\"“”«»]+")
-    letters = F.transform(tokens, lambda token: replace_all(token, "[^a-z]"))
+    """Tokens of a short name, split sentence by sentence; characters other than letters vanish inside a token."""
+    found = F.flatten(F.transform(sentences(F.lower(name)), treebank_words))
+    letters = F.transform(found, lambda token: replace_all(token, "[^a-z]"))
     return _kept(letters, stopwords)
 
 

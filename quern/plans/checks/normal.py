@@ -185,6 +185,22 @@ def candidates_sql(pos: str) -> str:
         JOIN (SELECT lemma AS form FROM lexicon WHERE pos = '{pos}') USING (form) GROUP BY word"""
 
 
+def treebank_sql(text: str) -> str:
+    """Treebank splitting without looking around.  Sentences end at white space, where letters end anyway."""
+    quoted = [part.replace("'", "''") for part in fixed.TREEBANK_ENDINGS]
+    steps = [
+        (r"[\s\x0B\x85\xA0]+", " "), (r"''([a-ce-lo-ru-z0-9_])\b", r"'' \1"), (fixed.TREEBANK_MARKS.replace("'", "''"), r" \0 "),
+        (r"([:,])([^0-9])", r" \1 \2"), (rf"([^'' ])({'|'.join(quoted)})( |$)", r"\1 \2 "),
+    ]
+    for left, right in fixed.TREEBANK_PAIRS:
+        if "'" not in left + right:
+            steps.append((rf"\b({left})({right}){' ' if left == 'wan' else chr(92) + 'b'}", r"\1 \2 "))
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+TREEBANK_SQL = treebank_sql("lower(line)")
 NORMAL = rf"""
 WITH lexicon AS (
   SELECT lemma, unnest(CASE WHEN length(lemma) % 2 = 0 THEN ['n', 'v'] ELSE ['n'] END) AS pos FROM (
@@ -193,9 +209,7 @@ WITH lexicon AS (
 ), lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS li FROM documents
 ), name_lists AS (
-  SELECT doc_id, li, list_transform(string_split_regex(regexp_replace(regexp_replace(lower(line),
-      'n''t\b|''(?:s|m|d|ll|re|ve)\b|--|\.{{2,}}', ' ', 'g'), '\bcannot\b', 'can not', 'g'),
-      '[\s;@#$%&?!,:()\[\]{{}}<>"“”«»]+'), lambda x: regexp_replace(x, '[^a-z]', '', 'g')) AS t FROM lines
+  SELECT doc_id, li, list_transform(string_split_regex({TREEBANK_SQL}, ' +'), lambda x: regexp_replace(x, '[^a-z]', '', 'g')) AS t FROM lines
 ), prose_lists AS (
   SELECT doc_id, li, string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(lower(line),
       '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\p{{Nd}}+', ' ', 'g'), '\bcannot\b', 'can not', 'g'), ' ' || chr(9) || chr(13)), '\s+') AS t FROM lines

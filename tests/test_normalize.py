@@ -103,3 +103,28 @@ def test_ties_and_exceptions_on_both_routes(spark):
     df = spark.createDataFrame([(1, ["axes lain lies buses", "axes"])], "id int, p array<string>")
     out = [normalize.lemmatise(df, "p", lexicon, "id", "vn", irregular, lexicon_rows=n).first().p for n in (100, 0)]
     assert out[0] == out[1] and out[0][0].split()[1] == "lay"
+
+
+# What the treebank conventions make of contractions, quotes, ellipses and abbreviations.
+SPLITS = {
+    "don't": "do n't", "can't": "ca n't", "cannot": "can not", "won't stop": "wo n't stop", "i'll": "i 'll", "you're": "you 're",
+    "they've": "they 've", "i'm": "i 'm", "he'd": "he 'd", "it's": "it 's", "chef's": "chef 's", "chefs' hats": "chefs ' hats",
+    "isn't it": "is n't it", "couldn't've": "couldn't 've", "gonna": "gon na", "gotta go": "got ta go", "lemme": "lem me", "gimme": "gim me",
+    "wanna go": "wan na go", "wannabe": "wannabe", "more'n two": "more 'n two", "d'ye": "d 'ye", "'tis": "'t is", "'twas": "'t was",
+    "rock 'n roll": "rock 'n roll", "o'brien": "o'brien", "salt & pepper": "salt & pepper", "salt&pepper": "salt & pepper", "50%": "50 %",
+    "$5": "$ 5", "#1 cut": "# 1 cut", "a@b": "a @ b", "salt, pepper": "salt , pepper", "salt,pepper": "salt , pepper", "1,000": "1,000",
+    "1, 2": "1 , 2", "note: hot": "note : hot", "10:30": "10:30", "end:": "end :", "wait...": "wait ...", "wait... more": "wait ... more",
+    "a..b": "a .. b", "done.": "done .", "done. next": "done . next", "is it? yes!": "is it ? yes !", "mr. smith": "mr. smith",
+    "2 tbsp. oil": "2 tbsp. oil", "e.g. salt": "e.g. salt", "approx. 3 oz. cream": "approx. 3 oz. cream", "p.m.": "p.m .", "u.s. beef": "u.s . beef",
+    "j. doe": "j. doe", '"quoted" word': '" quoted " word', "“quoted”": "“ quoted ”", "«a»": "« a »", "chef’s": "chef ’ s", "``a''": "`` a ''",
+    "(chopped)": "( chopped )", "[a] {b} <c>": "[ a ] { b } < c >", "a--b": "a -- b", "all-purpose": "all-purpose", "half*": "half *", "a;b": "a ; b",
+    "crème brûlée's": "crème brûlée 's", "done.)": "done . )", "  tabs\tand\u00a0blanks ": "tabs and blanks", "": "", "'": "'", "say 'x": "say ' x",
+}
+
+
+def test_treebank_splitting(spark):
+    rows = spark.createDataFrame([(given,) for given in SPLITS], "x string")
+    found = F.flatten(F.transform(text.sentences(F.col("x")), text.treebank_words))
+    got = {r.x: " ".join(r.t) for r in rows.select("x", found.alias("t")).collect()}
+    assert {given: got[given] for given, want in SPLITS.items() if got[given] != want} == {}
+    assert len(SPLITS) >= 60
