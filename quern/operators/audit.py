@@ -9,7 +9,7 @@ from quern.functions.cells import parse_json, variant_kind
 from quern.functions.text import bind, is_blank, no_strings, shuffled
 from quern.operators.harvest import as_text, items, member
 from quern.operators.records import kind_name
-from quern.operators.skew import broadcast_if_small
+from quern.operators.skew import BROADCAST_ROWS, at_most, broadcast_if_small, may_hold
 from quern.sources.tables import store
 
 SAMPLE_SIZE = 15
@@ -95,15 +95,29 @@ def later_occurrences(records: DataFrame, key: str, order: str) -> DataFrame:
     return pairs.join(first, [key, order], "left_anti")
 
 
+def _marked(records: DataFrame, later: DataFrame, key: str, order: str) -> DataFrame:
+    marked = records.join(later.withColumn("is_duplicate", F.lit(True)), [key, order], "left")
+    return marked.withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+
+
 def with_errors(
     records: DataFrame, key: str = "recipe_id", order: str = "ord",
     title: str = "title", ingredients: str = "ingredients", instructions: str = "instructions",
 ) -> DataFrame:
-    """Adds ``errors`` and ``is_duplicate``; a later occurrence counts even if the first is invalid."""
-    later = store(later_occurrences(records, key, order), "later").withColumn("is_duplicate", F.lit(True))
-    later = broadcast_if_small(later)
-    marked = records.join(later, [key, order], "left")
-    marked = marked.withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+    """Adds ``errors`` and ``is_duplicate``; a later occurrence counts even if the first is invalid.
+
+    Few later occurrences are broadcast.  Of many, a filter is, and only the rows that it lets through are shuffled, the
+    later occurrences and a few others; all the rest stay in place.
+    """
+    later = store(later_occurrences(records, key, order), "later")
+    if at_most(later, BROADCAST_ROWS):
+        marked = _marked(records, broadcast_if_small(later), key, order)
+    else:
+        maybe = F.coalesce(may_hold(records, later, [key, order]), F.lit(False))
+        split = records.withColumn("_maybe", maybe)
+        rest = split.where(~F.col("_maybe")).drop("_maybe").withColumn("is_duplicate", F.lit(False))
+        found = _marked(split.where("_maybe").drop("_maybe"), later, key, order)
+        marked = found.select(*rest.columns).unionByName(rest)
     again = F.when(
         F.col("is_duplicate"), F.array(F.concat(F.lit("Duplicate recipe_id: "), F.col(key).cast("string")))
     ).otherwise(no_strings())

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.sources.tables import store
 
@@ -18,6 +20,9 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Largest table, in rows, that may pass through the driver as a query batch.
 LOCAL_ROWS = 20_000
+# A filter of keys has so many bits for each, and at most 2 ** FILTER_BITS (32 MB); beyond that more keys pass it.
+BITS_FOR_EACH = 16
+FILTER_BITS = 28
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -83,3 +88,25 @@ def lookup_join(
         missing = facts.where(" OR ".join(f"`{key}` IS NULL" for key in keys))
         result = result.unionByName(missing, allowMissingColumns=True)
     return result
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, columns: Sequence[str]) -> Column:
+    """Whether the key of a row may be among ``keys``; false for sure where it is false.
+
+    The filter is put together in pieces of four kilobytes on the executors and sent to all tasks; ``keys`` is read
+    twice, so it should be a stored table.
+    """
+    bits = 1 << min(FILTER_BITS, max(15, (keys.count() * BITS_FOR_EACH - 1).bit_length()))
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    filled = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("position"))
+    filled = filled.groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bits")).toArrow()
+    table = np.zeros(bits >> 3, np.uint8)
+    for bucket, part in zip(filled["bucket"].to_pylist(), filled["bits"].to_pylist(), strict=True):
+        table[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(part, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def held(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return F.arrow_udf(held, T.BooleanType())(F.pmod(F.xxhash64(*columns), F.lit(bits)))

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import audit, records
+from quern.operators import audit, records, skew
 
 
 def docs(spark, values):
@@ -115,3 +115,30 @@ def test_audit_split(spark):
 def test_one_hot_key_keeps_every_later_row(spark):
     df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS recipe_id", "id AS ord")
     assert audit.later_occurrences(df, "recipe_id", "ord").count() == 999
+
+
+def test_many_later_rows_are_found_in_place(spark, monkeypatch, tmp_path):
+    """Past the broadcast bound only rows that a filter lets through are shuffled; the marks are the same."""
+    rows = spark.range(4000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN -1 WHEN id % 50 = 1 THEN NULL ELSE id % 2500 END AS recipe_id", "id AS ord", "concat('t', id) AS title",
+        "'[]' AS ingredients", "'[\"s\"]' AS instructions", "0 AS ingredient_count", "1 AS step_count",
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    few = audit.with_errors(stored)
+    want = sorted((r.ord, r.is_duplicate, tuple(r.errors)) for r in few.collect())
+    monkeypatch.setattr(audit, "BROADCAST_ROWS", 10)
+    many = audit.with_errors(stored)
+    assert many.columns == few.columns or set(many.columns) == set(few.columns)
+    assert sorted((r.ord, r.is_duplicate, tuple(r.errors)) for r in many.collect()) == want
+    assert sum(flag for _, flag, _ in want) > 1300
+    # With one bit for all keys everything passes the filter, and the result stays the same.
+    monkeypatch.setattr(skew, "BITS_FOR_EACH", 0)
+    assert sorted((r.ord, r.is_duplicate, tuple(r.errors)) for r in audit.with_errors(stored).collect()) == want
+
+
+def test_a_key_filter_lets_all_keys_through(spark):
+    rows, keys = spark.range(50_000), spark.range(0, 50_000, 100)
+    passed = rows.where(skew.may_hold(rows, keys, ["id"]))
+    assert passed.join(keys, "id").count() == 500 and passed.count() < 6_000
+    assert rows.where(skew.may_hold(rows, keys.limit(0), ["id"])).isEmpty()
