@@ -48,7 +48,6 @@ class Plan:
     epochs: int = 9
     batch: int = 32
     rate: float = 8e-3
-    longest: int = 100
     seed: int = 11
 
 
@@ -85,15 +84,23 @@ def _deepest(path: tuple[str, ...], names: set[str]) -> int:
     return -1
 
 
+def _places(path: tuple[str, ...]) -> tuple[int, int]:
+    """Where the last word of boilerplate and the last of the article stand; the header of an article is part of it."""
+    main = _deepest(path, ARTICLE)
+    away = _deepest(path, AWAY)
+    if away >= 0 and path[away] == "header" and "article" in path[:away]:
+        away = _deepest(tuple(word for word in path if word != "header"), AWAY)
+    return away, main
+
+
 def page_features(pages: list[list[Block]], bins: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Path bins of all blocks in a row, how many each has, and the dense part; blocks of all pages follow each other."""
     all_blocks = [b for page in pages for b in page]
     ids, counts = [], np.zeros(len(all_blocks), np.int64)
     for at, block in enumerate(all_blocks):
-        path = block.path if len(block.path) <= 64 else block.path[:32] + block.path[-32:]
-        found = {bins[word] for word in path}
+        found = {bins[word] for word in set(block.path)}
         # The tag the text stands in, and the one above it, count for themselves once more.
-        tags = [word for word in path[-8:] if ":" not in word]
+        tags = [word for word in block.path[-8:] if ":" not in word]
         found.update(bins[f"{k}<{word}"] for k, word in enumerate(tags[:-3:-1]))
         ids.extend(found)
         counts[at] = len(found)
@@ -122,7 +129,7 @@ def page_features(pages: list[list[Block]], bins: dict[str, int]) -> tuple[np.nd
     dense[:, at + 6] = (np.arange(n) - first) / np.maximum(np.repeat(lengths, lengths) - 1, 1)
     dense[:, at + 7] = 1.0
     for k, block in enumerate(all_blocks):
-        away, main = _deepest(block.path, AWAY), _deepest(block.path, ARTICLE)
+        away, main = _places(block.path)
         dense[k, at + 8:at + 11] = away >= 0, main >= 0, away > main
     return np.array(ids, np.int64), counts, dense
 
@@ -203,10 +210,10 @@ def logits(model: Model, z: np.ndarray, lengths: list[int]) -> np.ndarray:
 
 def _away(block: Block) -> bool | None:
     """What the names on the path say: True for boilerplate, False for the article, None if they say nothing."""
-    words = {word.split(":")[-1] for word in block.path}
-    if words & AWAY:
+    away, main = _places(block.path)
+    if away >= 0:
         return True
-    return False if words & ARTICLE else None
+    return False if main >= 0 else None
 
 
 _MAIN = [
@@ -222,11 +229,12 @@ _NOTICES = (
     "We use cookies to improve your experience. Accept|Subscribe to our newsletter|Sign up for updates|Share this article|Advertisement|Sponsored content|"
     "All rights reserved.|Privacy policy|Terms of use|Related articles|Read more|Leave a comment|Log in|Follow us|Your email address|Send|Contact"
 ).split("|")
+_TEASERS = "You may also like|More from us|Read next|Recommended for you|Latest stories|Popular now|More stories|In other news".split("|")
 
 
 def rearranged(page: list[Block], phrases: list[str], rng: np.random.Generator) -> str:
     """A page of the same paragraphs in other containers; private-use characters mark the two kinds of blocks."""
-    main = [b.text for b in page if _away(b) is False][:40] or phrases[:1]
+    main = [b.text for b in page if _away(b) is False] or phrases[:1]
 
     def one(of: list[str]) -> str:
         return of[rng.integers(len(of))]
@@ -240,7 +248,7 @@ def rearranged(page: list[Block], phrases: list[str], rng: np.random.Generator)
         return "<ul>" + "".join(f'<li><a href="#">{no}{pick()[:30]}</a></li>' for _ in range(n)) + "</ul>"
 
     def junk() -> str:
-        kind = rng.integers(0, 8)
+        kind = rng.integers(0, 10)
         n = int(rng.integers(2, 7))
         name = one(_CONTAINERS)
         if kind == 0:
@@ -259,15 +267,39 @@ def rearranged(page: list[Block], phrases: list[str], rng: np.random.Generator)
             return f'<section class="{where}" id="{where}"><h2>{no}{pick()[:30]}</h2>{comments}</section>'
         if kind == 6:
             return f'<div id="{name}"><p>{no}{pick()}</p><p>{no}{pick()[:60]}</p></div>'
+        # Teasers without a name: a heading over linked titles.
+        if kind == 7:
+            level = int(rng.integers(2, 5))
+            return f"<section><h{level}>{no}{one(_TEASERS)}</h{level}>{links(n)}</section>"
+        if kind == 8:
+            teasers = "".join(f'<div><h3><a href="#">{no}{pick()[:50]}</a></h3><p>{no}{pick()[:80]}</p></div>' for _ in range(n))
+            return f"<div><h2>{no}{one(_TEASERS)}</h2>{teasers}</div>"
         return f"<section class=\"{name}\"><h4>{no}{pick()[:40]}</h4>{links(n)}</section>"
 
+    def cell() -> str:
+        return yes + one(main)[:int(rng.integers(2, 40))].replace("<", "&lt;")
+
+    def table() -> str:
+        width = int(rng.integers(2, 5))
+        rows = "".join("<tr>" + "".join(f"<{tag}>{cell()}</{tag}>" for _ in range(width)) + "</tr>" for tag in ["th"] + ["td"] * int(rng.integers(1, 6)))
+        return f"<table>{rows}</table>"
+
+    def figure() -> str:
+        return f'<figure><img src="x"><figcaption>{cell()}</figcaption></figure>'
+
     body = []
+    heading = rng.random() < 0.25
     for k, text in enumerate(main):
+        if k == 0 and heading:
+            body.append(f"<header><h1>{yes}{text.replace('<', '&lt;')}</h1><p>{cell()}</p></header>")
+            continue
         tag = "h1" if k == 0 else "p" if rng.random() < 0.8 else one(["h2", "blockquote", "li", "pre", "td", "dd", "figcaption", "h3", "div"])
         body.append(f"<{tag}>{yes}{text.replace('<', '&lt;')}</{tag}>")
         if rng.random() < 0.15:
             items = "".join(f"<li>{yes}{one(main)[:int(rng.integers(10, 90))]}</li>" for _ in range(rng.integers(2, 5)))
             body.append(f"<ul>{items}</ul>" if rng.random() < 0.7 else f"<ol>{items}</ol>")
+        if rng.random() < 0.08:
+            body.append(table() if rng.random() < 0.6 else figure())
         if rng.random() < 0.15:
             body.append(junk())
     before = [f"<header>{no}{pick()[:50]}{links(4)}</header>"] if rng.random() < 0.6 else []
@@ -275,7 +307,8 @@ def rearranged(page: list[Block], phrases: list[str], rng: np.random.Generator)
     after = [junk() for _ in range(rng.integers(0, 4))]
     if rng.random() < 0.8:
         after.append(f"<footer><p>{no}© {pick()}</p></footer>")
-    return "<body>" + "".join(before) + one(_MAIN).format("".join(body)) + "".join(after) + "</body>"
+    shell = "<article>{}</article>" if heading else one(_MAIN)
+    return "<body>" + "".join(before) + shell.format("".join(body)) + "".join(after) + "</body>"
 
 
 def _lesson(page: list[Block]) -> tuple[list[Block], np.ndarray]:
@@ -294,16 +327,16 @@ def train(pages: DataFrame, id_col: str, html_col: str, plan: Plan = Plan()) ->
 
 def fit(pages: list[list[Block]], plan: Plan = Plan()) -> Model:
     rng = np.random.default_rng(plan.seed)
-    phrases = sorted({b.text[:160] for page in pages for b in page[:60] if len(b.text) > 1})[:20_000] or ["Lorem ipsum.", "Dolor sit amet, consectetur."]
+    phrases = sorted({b.text for page in pages for b in page if len(b.text) > 1}) or ["Lorem ipsum.", "Dolor sit amet, consectetur."]
     lessons = []
     for page in pages or [[]]:
-        known = [(b, _away(b)) for b in page][:plan.longest]
+        known = [(b, _away(b)) for b in page]
         if known and any(mark is False for _, mark in known):
             lessons.append(([b for b, _ in known], np.array([1.0 if mark is False else 0.0 for _, mark in known])))
         for _ in range(plan.variants if pages else 60):
             lesson = _lesson(blocks(rearranged(page, phrases, rng)))
             if lesson[0]:
-                lessons.append((lesson[0][:plan.longest], lesson[1][:plan.longest]))
+                lessons.append(lesson)
     h, bins = plan.hidden, _Bins()
     weights = [
         rng.normal(0, 0.05, (PATH_BINS, 8 * h)), rng.normal(0, 0.1, (DENSE, 8 * h)),

@@ -19,8 +19,9 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
-# Elements whose content is no markup; none of them holds text to read.
-_RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "xmp", "noembed", "noframes", "svg", "math"}
+# Elements whose content is no markup.  None of them holds text to read but ``xmp``, which is shown as it stands; they
+# end no block that they stand in.
+_RAW = {"script", "style", "title", "textarea", "template", "iframe", "xmp", "noembed", "noframes"}
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set(
@@ -31,8 +32,6 @@ _CLOSES_ITSELF = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-# An open paragraph is looked for no further up than this.
-_NEAR = 64
 
 
 @dataclass(slots=True)
@@ -102,7 +101,7 @@ def blocks(page: str | None) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
-        inline = name in _INLINE or (name not in _BLOCK and name not in _RAW)
+        inline = name in _INLINE or name not in _BLOCK
         if not inline:
             flush()
         if tag[1]:
@@ -116,6 +115,10 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
+            if name == "xmp":
+                flush()
+                add(html.escape(page[at:end.start() if end else size]))
+                flush()
             at = end.end() if end else size
             continue
         if name == "br":
@@ -124,13 +127,13 @@ def blocks(page: str | None) -> list[Block]:
         if name in _VOID:
             continue
         if not inline:
-            for back in range(1, min(len(names), _NEAR) + 1):
+            for back in range(1, len(names) + 1):
                 if names[-back] == "p":
                     close(back)
                     break
                 if names[-back] in _BLOCK:
                     break
-            for back in range(1, min(len(names), _NEAR) + 1):
+            for back in range(1, len(names) + 1):
                 if names[-back] in _CLOSES_ITSELF.get(name, ()):
                     close(back)
                     break

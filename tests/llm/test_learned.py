@@ -131,6 +131,10 @@ PARAGRAPH = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiu
     ('<a title="x > y">l</a><p class="open>t</p>', ["l", "t"]),
     ("<!-- never closed <p>x</p>", []), ("", []), (None, []), (" \n ", []), ("<", ["<"]), ("a" * 100_000, ["a" * 100_000]),
     ("<div>" * 3000 + "deep", ["deep"]),
+    ("<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is</p><xmp>a <b> &amp; c</xmp>t", ["Energy E=m is", "a <b> &amp; c", "t"]),
+    ("<p>one <script>x('<p>')</script> two <style>p{}</style>three</p>", ["one two three"]),
+    ("<p>a <svg><title>icon</title><text>label</text></svg> b</p><noscript><p>shown</p></noscript>", ["a label b", "shown"]),
+    ("<p>" + "<b>" * 200 + "x<div>y</div>", ["x", "y"]),
 ])
 def test_blocks(page, want):
     found = [block.text for block in blocks(page)]
@@ -150,6 +154,33 @@ def test_main_text_is_the_article(spark, extracted):
         assert row["text"] == "\n\n".join(want) and row["n_chars"] == len(row["text"]) and row["url"] == pages[row["page_id"]]["url"]
 
 
+def layouts():
+    """Hand-marked pages: the blocks of the article, in order, and the page around them."""
+    long = (PARAGRAPH * 2).strip()
+    site = '<nav><a href="/">Home</a><a href="/b">About</a></nav>{}<footer>© 2021 Some company</footer>'
+    yield ["Title", "By Ann", long, "Year", "Degrees", "1990", "11", long], site.format(
+        f"<article><header><h1>Title</h1><p>By Ann</p></header><p>{long}</p><table><tr><th>Year</th><th>Degrees</th></tr>"
+        f"<tr><td>1990</td><td>11</td></tr></table><p>{long}</p></article>"
+    )
+    yield ["Title", long, "A caption", long], site.format(f"<main><h1>Title</h1><p>{long}</p><figure><img><figcaption>A caption</figcaption></figure><p>{long}</p></main>")
+    teasers = "".join(f'<li><a href="/{k}">Another story {k}</a></li>' for k in range(4))
+    yield ["Title", long, long], site.format(f"<main><article><h1>Title</h1><p>{long}</p><p>{long}</p></article></main><section><h2>You may also like</h2><ul>{teasers}</ul></section>")
+    yield ["Title", long, "first item", "second item", long], site.format(f"<article><h1>Title</h1><p>{long}</p><ol><li>first item</li><li>second item</li></ol><p>{long}</p></article>")
+    yield ["Title", f"The law E=m holds. {long}", "x = 1", long], site.format(f"<article><h1>Title</h1><p>The law <math><mi>E</mi>=<mi>m</mi></math> holds. {long}</p><pre>x = 1</pre><p>{long}</p></article>")
+    yield ["Title", long, "A quoted line.", long], site.format(f'<div class="ad">Buy now</div><div class="post"><h1>Title</h1><p>{long}</p><blockquote>A quoted line.</blockquote><p>{long}</p></div>')
+    yield ["Title", long, long], site.format(f'<div class="cookie-notice">We use cookies.</div><article><h1>Title</h1><p>{long}</p><aside><h3>Popular</h3><p>Other things</p></aside><p>{long}</p></article>')
+    comments = "".join(f'<div class="comment"><b>Bob</b><p>{PARAGRAPH}</p></div>' for _ in range(3))
+    yield ["Title", long, "Part two", long], site.format(f'<article><h1>Title</h1><p>{long}</p><h2>Part two</h2><p>{long}</p></article><section class="comments" id="comments"><h2>3 comments</h2>{comments}</section>')
+
+
+def test_hand_marked_layouts(spark):
+    model = blocklabel.train(spark.read.parquet(f"{SF}/pages.parquet"), "page_id", "html")
+    pages = list(layouts())
+    found = blocklabel.main_texts([page for _, page in pages], model, blocklabel._Bins())
+    assert len(pages) == 8
+    assert [(at, text) for at, ((want, _), text) in enumerate(zip(pages, found)) if text != "\n\n".join(want)] == []
+
+
 def test_pages_of_other_makes(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     model = blocklabel.train(pages, "page_id", "html")
