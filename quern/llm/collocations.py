@@ -27,8 +27,10 @@ from quern.llm import flat
 from quern.operators.retrieve import best_rows
 from quern.sources.tables import spread, store
 
-# Words whose windows are sorted together in a task.
-RUN_WORDS = 1 << 22
+# Pairs, and words, that are sorted together in a task, and phrases that become one batch.
+RUN_PAIRS = 1 << 21
+RUN_WORDS = 1 << 20
+BATCH_PHRASES = 1 << 16
 # Bytes of a text that are split at once, cut at white space.
 PART_BYTES = 1 << 20
 # The filter of frequent pairs has so many bits for each, at most 2 ** FILTER_BITS in all.  Beyond that it lets more
@@ -89,13 +91,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Run]]:
 
     for batch in batches:
         data, offsets = flat.utf8(batch.column(1))
-        raw, ends = data.tobytes(), offsets.tolist()
+        ends = offsets.tolist()
         for lang, lo, hi in zip(batch.column(0).to_pylist(), ends, ends[1:], strict=False):
             if lang not in numbers:
                 number = numbers[lang] = defaultdict()
                 number.default_factory = number.__len__
                 number[_BREAK]
-            for ids in _word_numbers(raw[lo:hi], numbers[lang]):
+            for ids in _word_numbers(data[lo:hi].tobytes(), numbers[lang]):
                 parts[lang].append(ids)
                 size += len(ids)
             parts[lang].append(np.zeros(1, np.int64))
@@ -105,20 +107,57 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Run]]:
     yield from close()
 
 
+_BREAKS = np.zeros(256, bool)
+_BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
+_GAPS = _BREAKS.copy()
+_GAPS[[0x20, 0x09]] = True
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two hashes in order."""
+    return flat.mix(flat.mix(first) + second)
+
+
 def _pair_hashes(lang: str, run: Run, pairs: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of language and both words, the same in every task."""
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    of_word = np.array([xxhash.xxh64_intdigest(word, seed) for word in run.words], np.uint64)
+    """A 64-bit hash of language and both words, the same in every task; the breaks are words here, too."""
+    text = np.frombuffer(b" ".join(run.words), np.uint8)
+    spaces = np.zeros(256, bool)
+    spaces[0x20] = True
+    of_word = flat.word_hashes(text, np.array([0, len(text)]), gaps=spaces)[0]
     n = len(run.words)
-    first, second = of_word[pairs // n].copy(), of_word[pairs % n]
-    return flat.mix(flat.mix(first) + second)
+    return _joined(of_word[pairs // n] ^ np.uint64(_seed(lang)), of_word[pairs % n])
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, run in _runs(batches):
-        pairs, counts = np.unique(run.pairs()[1], return_counts=True)
-        if len(pairs):
-            yield pa.record_batch({"pair": pa.array(_pair_hashes(lang, run, pairs).view(np.int64)), "a": pa.array(counts)})
+    held: list[np.ndarray] = []
+    size = 0
+
+    def close() -> pa.RecordBatch:
+        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch({"pair": pa.array(pairs.view(np.int64)), "a": pa.array(counts)})
+
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        seeds = np.array([_seed(lang) for lang in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+        data, offsets = flat.utf8(batch.column(1))
+        for lo, hi in flat.runs(offsets):
+            part, ends = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+            hashes, doc = flat.word_hashes(part, ends, gaps=_GAPS)
+            if len(hashes) < 2:
+                continue
+            piece = np.cumsum(_BREAKS[part])[flat.words(part, ends, _GAPS)[0]]
+            at = np.flatnonzero((doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1]))
+            held.append(_joined(hashes[at] ^ seeds[lo + doc[at]], hashes[at + 1]))
+            size += len(at)
+            if size >= RUN_PAIRS:
+                yield close()
+                held, size = [], 0
+    if size:
+        yield close()
 
 
 def _maybe_frequent(counted: DataFrame, least: int) -> tuple[np.ndarray, int]:
@@ -136,15 +175,20 @@ def _maybe_frequent(counted: DataFrame, least: int) -> tuple[np.ndarray, int]:
 
 
 def _count_phrases(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: int, longest: int) -> Iterator[pa.RecordBatch]:
-    def batch(lang: str, size: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-        texts = pa.array(phrases, pa.binary()).cast(pa.string()) if phrases else pa.array([], pa.string())
-        return pa.record_batch({"lang": pa.array([lang] * len(phrases)), "size": pa.array(np.full(len(phrases), size, np.int32)), "phrase": texts, "a": pa.array(counts)})
+    def rows(lang: str, run: Run, windows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(windows), BATCH_PHRASES):
+            part = windows[lo:lo + BATCH_PHRASES]
+            phrases = [b" ".join([run.words[i] for i in window]) for window in part.tolist()]
+            yield pa.record_batch({
+                "lang": pa.array([lang] * len(part)), "size": pa.array(np.full(len(part), part.shape[1], np.int32)),
+                "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "a": pa.array(counts[lo:lo + BATCH_PHRASES]),
+            })
 
     for lang, run in _runs(batches):
         ids, counts = np.unique(run.ids[run.ids > 0], return_counts=True)
         if not len(ids):
             continue
-        yield batch(lang, 1, [run.words[i] for i in ids.tolist()], counts)
+        yield from rows(lang, run, ids[:, None], counts)
         at, pairs = run.pairs()
         if not len(at):
             continue
@@ -167,8 +211,7 @@ def _count_phrases(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: i
             if not len(begin):
                 break
             _, where, counts = np.unique(window[begin], return_index=True, return_counts=True)
-            words = run.ids[begin[where][:, None] + np.arange(size)].tolist()
-            yield batch(lang, size, [b" ".join([run.words[i] for i in row]) for row in words], counts)
+            yield from rows(lang, run, run.ids[begin[where][:, None] + np.arange(size)], counts)
 
 
 def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
@@ -186,7 +229,9 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, plan: Plan = Pl
         return _count_phrases(batches, shipped.value, bits, longest)
 
     counted = texts.mapInArrow(rows, "lang string, size int, phrase string, a long")
-    counted = store(counted.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")), "phrase-counts")
+    counted = counted.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
+    # Of rare phrases nothing is needed; rare words count in the totals.
+    counted = store(counted.where((F.col("a") >= plan.least) | (F.col("size") == 1)), "phrase-counts")
     totals = counted.where(F.col("size") == 1).groupBy("lang").agg(F.sum("a").alias("n"))
     return counted.where(F.col("a") >= plan.least), totals
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import bpe, collocations, lexical
@@ -180,6 +181,7 @@ def test_collocations_equal_plain_counting(spark, plan):
 def test_run_sizes_and_a_full_filter_change_nothing(spark, monkeypatch):
     rows = some_prose(150)
     monkeypatch.setattr(collocations, "RUN_WORDS", 100)
+    monkeypatch.setattr(collocations, "BATCH_PHRASES", 3)
     monkeypatch.setattr(collocations, "PART_BYTES", 7)
     monkeypatch.setattr(collocations, "_maybe_frequent", lambda counted, least: (np.full(4096, 255, np.uint8), 1 << 15))
     plan = collocations.Plan(least=4)
@@ -187,6 +189,20 @@ def test_run_sizes_and_a_full_filter_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(brute.collocations(rows, plan.longest, plan.least, plan.absorbed, plan.first))
 
 
+def test_both_passes_hash_pairs_alike():
+    rows = [row for row in some_prose(80) if row[0]] + [("One, two two. \tThree\u00a0x three", "en")]
+    table = pa.record_batch({"lang": pa.array([lang or "und" for _, lang in rows]), "text": pa.array([text for text, _ in rows])})
+    first = {}
+    for batch in collocations._count_pairs(iter([table])):
+        for row in batch.to_pylist():
+            first[row["pair"]] = first.get(row["pair"], 0) + row["a"]
+    second = {}
+    for lang, run in collocations._runs(iter([table])):
+        pairs, counts = np.unique(run.pairs()[1], return_counts=True)
+        second.update(zip(collocations._pair_hashes(lang, run, pairs).view(np.int64).tolist(), counts.tolist()))
+    assert first == second and len(first) > 100
+
+
 def test_scores_past_64_bits_are_exact(spark):
     big = 9_000_000_000_000_000
     counted = spark.createDataFrame([("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 7)], "lang string, size int, phrase string, a long")
