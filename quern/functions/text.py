@@ -170,30 +170,28 @@ def sentences(text: Column) -> Column:
     Initials (one letter) and enumerations count as abbreviations.  Case does not matter, since names come lowered.
     """
     short = "|".join(re.escape(word) for word in fixed.ABBREVIATIONS)
-    pattern = rf"(?iU)(?<=[.?!][\"')\]»”’]{{0,2}})(?<!(?:^|[\s(\[\"'])(?:{short}|\w)\.)\s+"
+    # Cheap looks come first, here and below: most places fail the first one.
+    pattern = rf"(?U)(?=\s)(?<=[.?!\"')\]»”’])(?<=[.?!][\"')\]»”’]{{0,2}})(?<!(?:^|[\s(\[\"'])(?:{short}|\w)\.)\s+"
     return split_on(strip(text), pattern)
 
 
 def treebank_words(sentence: Column) -> Column:
-    """Words and marks of one sentence after the treebank conventions.
+    """Words and marks of one sentence, in lower case, after the treebank conventions.
 
     Marks stand alone; commas and colons do unless a digit follows; the last period is split off, others stay in their
     word; endings like ``n't`` and ``'s`` are words, and so are the halves of ``cannot`` or ``gonna``.  Quotation marks
     are left as they are.
     """
     ending = "|".join(fixed.TREEBANK_ENDINGS)
-    # Between the halves of a pair stands nothing, so looking both ways finds the place.
-    places = "|".join(
-        rf"(?<=(?:^|[^\w']){left})(?={right}{'(?=[ ])' if left == 'wan' else ''}\b)" if left.startswith("'") else
-        rf"(?<=\b{left})(?={right}{'(?= )' if left == 'wan' else ''}\b)" for left, right in fixed.TREEBANK_PAIRS
-    )
+    whole = "|".join(rf"{left}(?={right}{' ' if left == 'wan' else ''}\b)" for left, right in fixed.TREEBANK_PAIRS if not left.startswith("'"))
+    cut = "|".join(rf"{left}(?={right}\b)" for left, right in fixed.TREEBANK_PAIRS if left.startswith("'"))
     out = replace_all(sentence, r"(?U)\s+", " ")
-    out = replace_all(out, r"(?iU)'(?=(?![mtsdn])\w\b)", "' ")
+    out = replace_all(out, r"(?U)'(?=(?![mtsdn])\w\b)", "' ")
     out = replace_all(out, fixed.TREEBANK_MARKS, " $0 ")
     out = replace_all(out, r"[:,](?=\D|$)", " $0 ")
-    out = replace_all(out, r"(?<=[^.])\.(?=[\])}>\"'»”’ ]*$)", " . ")
-    out = replace_all(F.concat(out, F.lit(" ")), rf"(?i)(?<=[^' ])(?:{ending})(?= )", " $0")
-    out = replace_all(out, rf"(?iU){places}", " ")
+    out = replace_all(out, r"\.(?=[\])}>\"'»”’ ]*$)(?<=[^.]\.)", " . ")
+    out = replace_all(F.concat(out, F.lit(" ")), rf"(?=['n])(?<=[^' ])(?:{ending})(?= )", " $0")
+    out = replace_all(out, rf"(?U)\b(?:{whole})|(?:{cut})(?<=(?:^|[^\w'])'t)", "$0 ")
     return F.filter(split_on(out, " +"), lambda token: token != "")
 
 
