@@ -13,6 +13,8 @@ import pyarrow as pa
 
 # Bytes of text handled at once; a longer document makes a run of its own.
 RUN_BYTES = 1 << 20
+# Documents handled at once, however short they are.
+RUN_ROWS = 2048
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,10 +41,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive documents whose bytes stay under ``limit`` together."""
+    """At most ``RUN_ROWS`` consecutive documents whose bytes stay under ``limit`` together."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, min(lo + RUN_ROWS, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield lo, hi
         lo = hi
 

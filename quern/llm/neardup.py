@@ -12,11 +12,15 @@ Steps, each written to the shared folder:
 3. bands shared by several classes are buckets.  Star rounds compare each member with one centre per bucket, which
    takes as many pairs as members; components of the confirmed links are contracted;
 4. the last round takes the buckets that hold members of several components.  Small ones give their pairs; large ones
-   are looked through chunk by chunk, comparing wide sketches of members of different components.  So no link between
-   components is lost, while groups that are already connected cost nothing more;
+   are looked through chunk by chunk, comparing wide sketches of members of different components and then their full
+   sets, and only links that connect something new leave the task.  So no link between components is lost, groups that
+   are already connected cost nothing more, and lookalikes that are not linked leave no rows;
 5. a pair is confirmed on the full sets.  Before that it must pass two tests on its sketches: the sizes allow the
    similarity, and the share of equal coordinates is not more than six standard deviations below it.
 
+Sets are never written: compressed texts travel to the pairs, a fraction of the size of their hashes, and the tasks
+that compare them make the sets again.
+
 With 40 bands of 5 coordinates a pair at similarity 0.8 shares no band with a probability of 1.2e-7.
 """
 
@@ -27,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,8 @@ from quern.sources.tables import store
 SALT_ROWS = 256
 # Members of a bucket that are compared in one go in the last round.
 OPEN_ROWS = 1024
+# Shingles that a task keeps of texts it has unpacked, to compare them again.
+KEPT_VALUES = 1 << 22
 # In the last round buckets up to this size give their pairs; larger ones are looked through in place.
 FEW_ROWS = 8
 
@@ -148,23 +155,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, plan: Sketch) -> DataF
     )
 
 
-# Bits of the filter that tells which documents' sets are needed; its size is fixed, extra hits do no harm.
-WANTED_BITS = 1 << 23
+# Bits of the filter that tells which documents' texts are needed; its size is fixed, extra hits do no harm.
+WANTED_BITS = 1 << 26
 
 
 def _wanted(ids: DataFrame) -> np.ndarray:
     """A fixed-size bitmap of hashed ids, put together on the executors."""
-    byte = F.shiftright(F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS)), 3).cast("int")
-    bit = F.expr(f"cast(shiftleft(1, cast(pmod(xxhash64(id), 8) as int)) as int)")
-    found = ids.select(byte.alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(WANTED_BITS // 8, np.uint8)
-    bits[found["byte"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+    place = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
+    words = ids.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(WANTED_BITS // 64, np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
     return bits
 
 
 def _marked(keys: pa.Array, bits: np.ndarray) -> pa.Array:
     key = keys.to_numpy(zero_copy_only=False)
-    return pa.array(((bits[(key % WANTED_BITS) >> 3] >> (key % 8).astype(np.uint8)) & 1).astype(bool))
+    return pa.array(((bits[(key % WANTED_BITS) >> 6] >> (key % 64)) & 1).astype(bool))
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -173,25 +180,56 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where(F.arrow_udf(lambda keys: _marked(keys, bits.value), "boolean")(F.xxhash64("id")))
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], bits, words: int) -> Iterator[pa.RecordBatch]:
+def _packed_batches(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         batch = batch.filter(_marked(batch.column(2), bits.value))
         data, offsets = flat.utf8(batch.column(1))
         for lo, hi in flat.runs(offsets):
-            values, bounds = sets_of(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], words)
-            yield pa.record_batch({
-                "id": batch.column(0).slice(lo, hi - lo),
-                "shingles": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64))),
-            })
+            packed = [pack.compress(data[a:b].tobytes()) for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1:hi + 1].tolist())]
+            yield pa.record_batch({"id": batch.column(0).slice(lo, hi - lo), "packed": pa.array(packed, pa.binary())})
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, words: int) -> DataFrame:
-    """``(id, shingles)`` of the documents in ``ids`` and of a few others."""
+def packed_texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """``(id, packed)``: compressed texts of the documents in ``ids`` and of a few others."""
     bits = docs.sparkSession.sparkContext.broadcast(_wanted(ids))
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("key")
-    ).mapInArrow(lambda batches: _set_batches(batches, bits, words), f"id {kind}, shingles array<long>")
+    ).mapInArrow(lambda batches: _packed_batches(batches, bits), f"id {kind}, packed binary")
+
+
+def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of packed texts, and where each begins and ends in them."""
+    unpack = zstandard.ZstdDecompressor()
+    # The content size is in every frame; an empty text has an empty frame.
+    texts = [unpack.decompress(frame) for frame in packed]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(text) for text in texts], dtype=np.int64)))
+
+
+class _Sets:
+    """Sets of packed texts, made when asked for and kept up to a fixed number of shingles."""
+
+    def __init__(self, words: int) -> None:
+        self.words, self.kept, self.values = words, {}, 0
+
+    def __getitem__(self, packed: bytes) -> np.ndarray:
+        found = self.kept.get(packed)
+        if found is None:
+            found = sets_of(*_unpacked([packed]), self.words)[0]
+            if self.values + len(found) > KEPT_VALUES:
+                self.kept, self.values = {}, 0
+            self.kept[packed] = found
+            self.values += len(found)
+        return found
+
+    def linked(self, a: bytes, b: bytes, percent: int) -> bool:
+        """Whether the full sets of two texts reach the similarity."""
+        left, right = self[a], self[b]
+        both = np.concatenate((left, right))
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (len(both) - common)
 
 
 def _with_both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -226,14 +264,17 @@ def _likely(pairs: DataFrame, rows: DataFrame, plan: Sketch) -> DataFrame:
     return store(both.where(equal("a_low", "b_low") >= plan.least_equal).select("a", "b"), "likely")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Sketch, few: bool = True) -> DataFrame:
-    """Pairs that are links.  ``few`` says that many sets are in no pair, and had better not be shuffled."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Sketch, few: bool = True) -> DataFrame:
+    """Pairs that are links.  ``few`` says that many texts are in no pair, and had better not be shuffled."""
     if few:
-        sets = store(_only(sets, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "sets-in-pairs")
-    both = _with_both(pairs, sets, ["shingles"])
-    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    both = both.select("a", "b", common.cast("long").alias("common"), (F.size("a_shingles") + F.size("b_shingles")).cast("long").alias("total"))
-    return store(both.where(f"100 * common >= {plan.percent} * (total - common)").select("a", "b"), "confirmed")
+        texts = store(_only(texts, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "texts-in-pairs")
+
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+        sets = _Sets(plan.words)
+        return pa.array([sets.linked(x.as_py(), y.as_py(), plan.percent) for x, y in zip(a, b)], pa.bool_())
+
+    both = _with_both(pairs, texts, ["packed"])
+    return store(both.where(F.arrow_udf(linked, "boolean")("a_packed", "b_packed")).select("a", "b"), "confirmed")
 
 
 def groups(docs: DataFrame, id_col: str, text_col: str, plan: Sketch = Sketch()) -> DataFrame:
@@ -296,13 +337,13 @@ def links_between(docs: DataFrame, id_col: str, text_col: str, first: DataFrame,
     bucket = store(entries.join(store(stars, "stars"), "band"), "buckets")
     if bucket.isEmpty():
         return bucket.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    sets = store(shingle_sets(docs, id_col, text_col, bucket.select("id"), plan.words), "sets")
+    texts = store(packed_texts(docs, id_col, text_col, bucket.select("id")), "texts")
     marks = first.select("id", "n_shingles", "low")
     pairs = bucket.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    done = components(_confirmed(_likely(store(pairs, "pairs"), marks, plan), sets, plan, few=False))
+    done = components(_confirmed(_likely(store(pairs, "pairs"), marks, plan), texts, plan))
     pairs = bucket.where("id <> any").select(F.least("id", "any").alias("a"), F.greatest("id", "any").alias("b"))
     pairs = store(_apart(pairs, done).distinct(), "pairs")
-    links = _star(done).unionByName(_confirmed(_likely(pairs, marks, plan), sets, plan))
+    links = _star(done).unionByName(_confirmed(_likely(pairs, marks, plan), texts, plan))
     done = components(links)
     labelled = bucket.join(done.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "place", "id", F.coalesce("root", "id").alias("root")
@@ -315,12 +356,10 @@ def links_between(docs: DataFrame, id_col: str, text_col: str, first: DataFrame,
     rows = store(labelled.join(store(mixed, "mixed"), "band"), "open")
     small = store(_small_pairs(rows.where(F.col("n") <= FEW_ROWS)), "pairs")
     rows = rows.where(F.col("n") > FEW_ROWS)
-    likely = _likely(small, marks, plan)
-    wide = _only(sets, rows.select("id")).mapInArrow(
-        lambda batches: _wide_batches(batches, plan), f"id {rows.schema['id'].dataType.simpleString()}, n int, bands binary, wide binary"
+    wide = _only(texts, rows.select("id")).mapInArrow(
+        lambda batches: _wide_batches(batches, plan), f"id {rows.schema['id'].dataType.simpleString()}, n int, bands binary, wide binary, packed binary"
     )
-    likely = store(likely.unionByName(_open_pairs(rows, store(wide, "wide"), plan)).distinct(), "likely")
-    found = _confirmed(likely, sets, plan)
+    found = _confirmed(_likely(small, marks, plan), texts, plan).unionByName(_open_links(rows, store(wide, "wide"), plan))
     return _star(done).unionByName(found)
 
 
@@ -340,22 +379,25 @@ def _star(done: DataFrame) -> DataFrame:
 
 def _wide_batches(batches: Iterator[pa.RecordBatch], plan: Sketch) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
-            lists = part.column(1)
-            bounds = np.asarray(lists.offsets).astype(np.int64)
-            values = np.asarray(lists.values)[bounds[0]:bounds[-1]].view(np.uint64)
-            bounds = bounds - bounds[0]
+        lo = 0
+        while lo < len(batch):
+            # Texts are unpacked up to a fixed number of rows and packed bytes.
+            sizes = np.cumsum([len(batch.column(1)[at].as_buffer()) for at in range(lo, min(lo + 256, len(batch)))])
+            rows = max(1, int(np.searchsorted(sizes, flat.RUN_BYTES // 4, "right")))
+            part = batch.slice(lo, rows)
+            lo += rows
+            values, bounds = sets_of(*_unpacked(part.column(1).to_pylist()), plan.words)
             bands = band_hashes(sketch(values, bounds, plan.bins), plan)
             wide = flat.mix(sketch(values, bounds, plan.wide)).astype(np.uint8)
             yield pa.record_batch({
                 "id": part.column(0), "n": pa.array(np.diff(bounds).astype(np.int32)),
                 "bands": pa.array([row.tobytes() for row in bands], pa.binary()), "wide": pa.array([row.tobytes() for row in wide], pa.binary()),
+                "packed": part.column(1),
             })
 
 
-def _open_pairs(rows: DataFrame, wide: DataFrame, plan: Sketch) -> DataFrame:
-    """Pairs of a bucket whose ends lie in different components and whose wide sketches leave room for a link.
+def _open_links(rows: DataFrame, wide: DataFrame, plan: Sketch) -> DataFrame:
+    """Links of a bucket between different components, as many as it takes to connect them.
 
     A bucket is cut into chunks, and each pair of chunks is looked through by itself, so no task holds a whole one.
     """
@@ -364,8 +406,8 @@ def _open_pairs(rows: DataFrame, wide: DataFrame, plan: Sketch) -> DataFrame:
     dealt = dealt.select("band", "place", "id", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     dealt = dealt.join(wide, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     kind = rows.schema["id"].dataType.simpleString()
-    names = ("band", "i", "j", "place", "chunk", "id", "root", "n", "bands", "wide")
-    return store(dealt.select(*names).mapInArrow(lambda batches: _open_batches(batches, plan), f"a {kind}, b {kind}").distinct(), "open-pairs")
+    names = ("band", "i", "j", "place", "chunk", "id", "root", "n", "bands", "wide", "packed")
+    return store(dealt.select(*names).mapInArrow(lambda batches: _open_batches(batches, plan), f"a {kind}, b {kind}").distinct(), "open-links")
 
 
 def _open_batches(batches: Iterator[pa.RecordBatch], plan: Sketch) -> Iterator[pa.RecordBatch]:
@@ -398,7 +440,8 @@ def _compare_group(parts: list[pa.RecordBatch], plan: Sketch, kind: pa.DataType)
     )
     left = np.flatnonzero(chunk == i)
     right = np.flatnonzero(chunk == j)
-    found: list[np.ndarray] = []
+    packed, sets = table["packed"].combine_chunks(), _Sets(plan.words)
+    found: list[tuple[int, int]] = []
     for a in left.tolist():
         b = right[right > a] if i == j else right
         b = b[(roots[b] != roots[a]) & (100 * np.minimum(n[b], n[a]) >= plan.percent * np.maximum(n[b], n[a]))]
@@ -410,12 +453,14 @@ def _compare_group(parts: list[pa.RecordBatch], plan: Sketch, kind: pa.DataType)
         b = b[(shared.argmax(axis=1) == place) & shared[:, place]]
         if len(b):
             b = b[(wide[b] == wide[a]).sum(axis=1) >= plan.least(plan.wide)]
-        if len(b):
-            found.append(np.column_stack((np.full(len(b), a), b)))
+        for other in b.tolist():
+            # What a link has just connected needs no second one.
+            if roots[other] != roots[a] and sets.linked(packed[a].as_py(), packed[other].as_py(), plan.percent):
+                roots[roots == roots[other]] = roots[a]
+                found.append((a, other))
     if found:
-        pairs = np.concatenate(found)
         ids = table["id"].combine_chunks()
-        a, b = (ids.take(pa.array(pairs[:, side])).cast(kind) for side in (0, 1))
+        a, b = (ids.take(pa.array([pair[side] for pair in found])).cast(kind) for side in (0, 1))
         yield pa.record_batch({"a": a, "b": b})
 
 

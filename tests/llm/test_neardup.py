@@ -116,6 +116,37 @@ def test_last_round_takes_every_pair_of_large_buckets(spark, monkeypatch):
     assert sorted(tuple(sorted((row["a"], row["b"]))) for row in got) == [(2 * k, 2 * k + 1) for k in range(1500)]
 
 
+def test_lookalikes_leave_no_pairs(spark, monkeypatch):
+    """One group of edited copies, most of them below the threshold to each other: links leave the tasks, not pairs."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(600):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randint(3, 9)):
+            copy[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(copy)))
+    left = {}
+    store = neardup.store
+    monkeypatch.setattr(neardup, "store", lambda df, name, *rest: left.setdefault(name, store(df, name, *rest)) if name == "open-links" else store(df, name, *rest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = neardup.groups(docs, "doc_id", "text", neardup.Sketch(words=4)).collect()
+    assert {row["id"]: (row["n_shingles"], row["component_id"]) for row in got} == brute.near_groups(rows, 4)
+    assert left["open-links"].count() < len(rows)
+
+
+def test_packed_texts_compare_as_their_sets(monkeypatch):
+    rows = near_copies(2)[:120]
+    pack = neardup.zstandard.ZstdCompressor().compress
+    for kept in (neardup.KEPT_VALUES, 10):
+        monkeypatch.setattr(neardup, "KEPT_VALUES", kept)
+        sets = neardup._Sets(3)
+        for (_, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
+            x, y = brute.shingle_set(a, 3), brute.shingle_set(b, 3)
+            for percent in (1, 50, 80):
+                assert sets.linked(pack((a or "").encode()), pack((b or "").encode()), percent) == (100 * len(x & y) >= percent * len(x | y))
+
+
 def test_sketch_tests_lose_fewer_pairs_than_the_banding():
     plan = neardup.Sketch()
     lost = [sum(math.comb(n, k) * 0.8**k * 0.2**(n - k) for k in range(plan.least(n))) for n in (plan.bins, plan.wide)]
