@@ -1,14 +1,16 @@
-"""Personal data: base patterns by kind, and information-theoretic sanitisation of what stands around them.
-
-Base spans are e-mail addresses, IP addresses, card and telephone numbers.  Their values are the protected entities.
-The corpus then tells which terms reveal an entity: among all distinct texts, how many hold the term (``n_t``), the
-entity (``n_e``), and the term beside the entity (``n_te``).  A term discloses the entity if it was seen beside it in
-enough texts, ``n_te / n_t`` reaches the disclosure threshold, and the pointwise mutual information
+"""Personal data: base patterns by kind, and information-theoretic sanitisation of the terms that reveal them.
+
+Base spans are e-mail addresses, IP addresses, card and telephone numbers.  Protected entities are their values (numbers
+by their digits) and the groups these belong to: the domain of an address, the first three parts of an IP address, the
+first six digits of a card, the first five of a telephone number.  So a value that stands in one text alone is still
+judged with others of its group.  The corpus tells which terms reveal an entity: among all distinct texts, how many hold
+the term (``n_t``), the entity (``n_e``), and both, wherever they stand (``n_te``).  A term discloses the entity if the
+two share enough texts, ``n_te / n_t`` reaches the disclosure threshold, and the pointwise mutual information
 ``log2(n_te * N / (n_t * n_e))`` is above 0 and reaches a number of bits or a share of ``log2(N / n_e)``, which is the
 most that any term can have.  So entities that stand in many texts are judged too; only of one that stands in all
-texts a term says nothing.  Such terms become spans of kind ``term`` where they stand beside the
-entity; ``sanitise`` removes those that give the entity away almost surely and puts a general word for the others.
-Texts without a base span are never touched.
+texts a term says nothing.  Such terms become spans of kind ``term`` wherever they stand in a text with the entity,
+outside its base spans; ``sanitise`` removes those that give the entity away almost surely and puts a general word for
+the others.  Texts without a base span are never touched.
 
 Everything is DataFrame work: positions come from the lengths of the pieces between matches.
 """
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.skew import lookup_join
 from quern.sources.tables import store
 
 # Linear-time forms of the patterns: what a repeated part took is never given back where that cannot change a match,
@@ -35,12 +38,8 @@ TERM = r"[\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class Plan:
-    """``reach``: code points on each side of a span that count as beside it.
-
-    ``min_share``: share of the most information possible that is enough even below ``min_bits``.
-    """
+    """``min_share``: share of the most information possible that is enough even below ``min_bits``."""
 
-    reach: int = 80
     min_texts: int = 2
     min_disclosure: float = 0.5
     sure_disclosure: float = 0.9
@@ -50,9 +49,9 @@ class Plan:
     broadcast_terms: int = 50_000
 
 
-def _spans(text: Column, pattern: str) -> Column:
+def _spans(text: Column, pattern: Column) -> Column:
     """``array<struct<start, end, value>>`` of all matches, in code points."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, 0)
     zero = F.struct(
         F.lit(0).alias("at"),
         F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"),
@@ -102,7 +101,7 @@ def base_spans(text: Column) -> Column:
     """``array<struct<start, kind, end, value>>`` of the base kinds, by start, then kind (its place in ``KINDS``)."""
 
     def of_kind(kind: int, pattern: str, possible, valid) -> Column:
-        found = _spans(text, pattern)
+        found = _spans(text, F.lit(pattern))
         if valid is not None:
             found = F.filter(found, lambda span: valid(span["value"]))
         found = F.transform(found, lambda span: F.struct(
@@ -121,60 +120,72 @@ def with_base(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def _beside(text: Column, span: Column, reach: int) -> Column:
-    """Terms within reach of a span: ``array<struct<start, end, value>>``; words cut by the edge are left out."""
+def _entities(span: Column) -> Column:
+    """What a base span stands for: its value and the group of the value."""
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    group = (
+        F.when(kind == 0, F.substring_index(value, "@", -1)).when(kind == 1, F.substring_index(value, ".", 3))
+        .when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5))
+    )
+    return F.array(F.concat_ws(":", kind, F.when(kind <= 1, value).otherwise(digits)), F.concat_ws("/", kind, group))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
 
-    def terms_in(begin: Column, width: Column) -> Column:
-        part = F.substring(text, begin + 1, width)
-        # The words next to the span or cut by the reach touch an edge of the part that is inside the text.
-        kept = F.filter(_spans(part, TERM), lambda term: (
-            ((term["start"] > 0) | (begin == 0)) & ((term["end"] < F.length(part)) | (begin + F.length(part) >= F.length(text)))
-        ))
-        return F.transform(kept, lambda term: F.struct(
-            (term["start"] + begin).alias("start"), (term["end"] + begin).alias("end"), F.lower(term["value"]).alias("term")
-        ))
 
-    before = F.greatest(span["start"] - reach, F.lit(0))
-    return F.concat(terms_in(before, span["start"] - before), terms_in(span["end"], F.lit(reach)))
+def counts(docs: DataFrame, holding: DataFrame, text: Column, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
+    """``(text_key, entity, term)`` of the texts in ``holding``, and ``(entity, term, n_te, n_t, n_e, n)`` of what may disclose.
+
+    Left out are entities and pairs in fewer than ``min_texts`` texts, and terms whose share cannot reach the threshold.
+    """
+    entities = store(holding.select("text_key", F.explode(F.array_distinct(F.flatten(F.transform("base", _entities)))).alias("entity")), "pii-entities")
+    several = store(entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= plan.min_texts), "pii-judged")
+    judged = lookup_join(entities, several, ["entity"]).groupBy("text_key").agg(F.collect_list("entity").alias("entities"))
+    words = holding.join(judged, "text_key").select("text_key", "entities", F.explode(_terms(text)).alias("term"))
+    words = store(words, "pii-words")
+    both = words.select("text_key", F.explode("entities").alias("entity"), "term")
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= plan.min_texts)
+    # A term's texts are at least those that hold it and any judged entity, which rules most common words out at once.
+    anywhere = words.groupBy("term").agg(F.count("*").alias("n_held"))
+    pairs = pairs.join(anywhere, "term").where(F.col("n_te") >= plan.min_disclosure * F.col("n_held")).drop("n_held")
+    pairs = store(pairs, "pii-pairs")
+    held = _texts_holding(docs, text, store(pairs.select("term").distinct(), "pii-terms"), plan)
+    n_texts = docs.select(*_key(text)).distinct().agg(F.count("*").alias("n"))
+    return both, pairs.join(held, "term").join(several, "entity").join(F.broadcast(n_texts))
 
 
 def disclosing(docs: DataFrame, text_col: str, plan: Plan = Plan()) -> DataFrame:
-    """``(text_key, terms)``: the terms of each distinct text that disclose an entity beside them.
+    """``(text_key, terms)``: the terms of each distinct text that disclose an entity in it.
 
-    ``terms`` is ``array<struct<start, kind, end, sure>>``; it holds no more than the text's own windows do.
+    ``terms`` is ``array<struct<start, kind, end, sure>>``; it holds no more than the text's own words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     holding = with_base(docs.select(text.alias(text_col)), text_col).where("text_key IS NOT NULL")
     holding = store(holding.dropDuplicates(["text_key"]), "pii-texts")
-    spans = holding.select("text_key", text.alias("text"), "base", F.explode("base").alias("span"))
-    near = F.filter(_beside(F.col("text"), F.col("span"), plan.reach), lambda term: (
-        ~F.exists("base", lambda base: (base["start"] < term["end"]) & (term["start"] < base["end"]))
-    ))
-    entity = F.concat_ws(":", F.col("span.kind"), F.lower("span.value"))
-    beside = store(spans.select("text_key", entity.alias("entity"), F.explode(near).alias("t")).select("text_key", "entity", "t.*"), "pii-beside")
-    pairs = beside.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    # A term's texts are at least those that hold it beside any entity, which rules most common words out at once.
-    anywhere = beside.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    pairs = pairs.where(F.col("n_te") >= plan.min_texts).join(anywhere, "term")
-    pairs = store(pairs.where(F.col("n_te") >= plan.min_disclosure * F.col("n_beside")).drop("n_beside"), "pii-pairs")
-    entities = (
-        spans.select(entity.alias("entity"), "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-        .where(F.col("n_e") >= plan.min_texts)
-    )
-    wanted = store(pairs.select("term").distinct(), "pii-terms")
-    held = _texts_holding(docs, text, wanted, plan)
-    disclosure = F.col("n_te") / F.greatest("n_t", "n_te")
-    bits = F.log2(F.col("n_te") * F.col("n") / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    both, counted = counts(docs, holding, text, plan)
+    disclosure = F.col("n_te") / F.col("n_t")
+    bits = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     enough = F.least(F.lit(plan.min_bits), plan.min_share * F.log2(F.col("n") / F.col("n_e")))
-    n_texts = docs.select(*_key(text)).distinct().agg(F.count("*").alias("n"))
-    strong = pairs.join(held, "term").join(entities, "entity").join(F.broadcast(n_texts)).where(
-        (disclosure >= plan.min_disclosure) & (bits > 0) & (bits >= enough)
-    ).select("entity", "term", (disclosure >= plan.sure_disclosure).alias("sure"))
-    strong = store(strong, "pii-strong")
-    found = beside.join(strong, ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.max("sure").alias("sure"))
-    return found.groupBy("text_key").agg(
-        F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", "sure"))).alias("terms")
+    strong = counted.where((disclosure >= plan.min_disclosure) & (bits > 0) & (bits >= enough)).select(
+        "entity", "term", (disclosure >= plan.sure_disclosure).alias("sure")
     )
+    strong = store(strong, "pii-strong")
+    found = both.join(strong, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("sure").alias("sure"))
+    found = found.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "sure"))).alias("sure_of"))
+    # Words as they are written in the text; a word has letters and digits only, so it is its own pattern.
+    forms = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TERM), 0), lambda form: F.map_contains_key("sure_of", F.lower(form))))
+    rows = store(holding.join(found, "text_key").select("text_key", text.alias("text"), "base", "sure_of", forms.alias("forms")), "pii-forms")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("forms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    free = F.filter(_spans(F.col("text"), pattern), lambda term: (
+        ~F.exists("base", lambda base: (base["start"] < term["end"]) & (term["start"] < base["end"]))
+    ))
+    return rows.select("text_key", F.transform(free, lambda term: F.struct(
+        term["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), term["end"].alias("end"),
+        F.element_at("sure_of", F.lower(term["value"])).alias("sure"),
+    )).alias("terms"))
 
 
 def _key(text: Column) -> tuple[Column, Column]:
@@ -184,7 +195,7 @@ def _key(text: Column) -> tuple[Column, Column]:
 
 def _texts_holding(docs: DataFrame, text: Column, wanted: DataFrame, plan: Plan) -> DataFrame:
     """``(term, n_t)``: distinct texts of the whole corpus that hold each wanted term."""
-    words = docs.select(*_key(text), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))).alias("term"))
+    words = docs.select(*_key(text), F.explode(_terms(text)).alias("term"))
     if wanted.count() <= plan.broadcast_terms:
         # A hash that another term shares lets that term through, which then meets no pair.
         hashes = F.broadcast(wanted.select(F.xxhash64("term").alias("term_hash")).distinct())

@@ -33,6 +33,50 @@ def personal_spans(text: str | None) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def entities(start: int, kind: int, end: int, text: str) -> set[tuple]:
+    """The value of a span and the group of the value."""
+    value = text[start:end].lower()
+    digits = "".join(c for c in value if c in "0123456789")
+    group = [value.split("@")[-1], ".".join(value.split(".")[:3]), digits[:6], digits[:5]][kind]
+    return {("value", kind, value if kind < 2 else digits), ("group", kind, group)}
+
+
+def co_occurrence(texts: list[str | None]) -> tuple[Counter, Counter, Counter, int]:
+    """n_te by (term, entity), n_t by term, n_e by entity, and n, over distinct texts."""
+    n_te, n_t, n_e = Counter(), Counter(), Counter()
+    distinct = {text or "" for text in texts}
+    for text in distinct:
+        terms = {term.lower() for term in re.findall(r"[^\W_]+", text)}
+        held = set().union(*(entities(a, kind, b, text) for a, kind, b, _ in personal_spans(text)))
+        n_t.update(terms)
+        n_e.update(held)
+        n_te.update((term, entity) for term in terms for entity in held)
+    return n_te, n_t, n_e, len(distinct)
+
+
+def term_spans(texts: list[str | None], plan) -> list[list[str]]:
+    """Of each text, the terms that disclose an entity in it, where they stand outside base spans."""
+    n_te, n_t, n_e, n = co_occurrence(texts)
+
+    def tells(term: str, entity: tuple) -> bool:
+        both = n_te[term, entity]
+        if min(both, n_e[entity]) < plan.min_texts or both < plan.min_disclosure * n_t[term]:
+            return False
+        bits, most = math.log2(both * n / (n_t[term] * n_e[entity])), math.log2(n / n_e[entity])
+        return bits > 0 and bits >= min(plan.min_bits, plan.min_share * most)
+
+    found = []
+    for text in texts:
+        text = text or ""
+        base = personal_spans(text)
+        held = set().union(*(entities(a, kind, b, text) for a, kind, b, _ in base))
+        found.append([
+            m[0] for m in re.finditer(r"[^\W_]+", text)
+            if not any(a < m.end() and m.start() < b for a, _, b, _ in base) and any(tells(m[0].lower(), e) for e in held)
+        ])
+    return found
+
+
 def shingle_set(text: str | None, size: int) -> frozenset:
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)

@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -284,31 +284,39 @@ def disclosure_rows():
     return plain + known + other + ["zyxgardener alone common words", known[0], known[0], ""]
 
 
+def found_terms(spark, rows, plan):
+    """The terms of every row, held against the plain version."""
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {}
+    for row in pii.report(docs, "doc_id", "text", plan).collect():
+        spans = [span.split(":") for span in row["spans"].split(",") if span.startswith("term")]
+        got[row["id"]] = [(rows[row["id"]] or "")[int(a):int(b)] for _, a, b in spans]
+        assert len(spans) == row["n_term"]
+    assert [got[at] for at in range(len(rows))] == brute.term_spans(rows, plan)
+    return got
+
+
 @pytest.mark.parametrize("broadcast", [50_000, 0])
 def test_terms_that_disclose_an_entity(spark, broadcast):
     rows = disclosure_rows()
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("terms", F.lit("clash")).withColumn("base", F.lit(1))
     plan = pii.Plan(broadcast_terms=broadcast, min_bits=2.0)
-    got = {row["id"]: row for row in pii.report(docs, "doc_id", "text", plan).collect()}
+    got = found_terms(spark, rows, plan)
     for at, text in enumerate(rows):
-        spans = [span.split(":") for span in got[at]["spans"].split(",") if span.startswith("term")]
-        terms = [text[int(a):int(b)] for _, a, b in spans]
-        assert terms == (["zyxgardener"] if "x.y@z.org" in text else []), text
+        assert ("zyxgardener" in got[at]) == ("x.y@z.org" in text) and not {"common", "words", "there"} & set(got[at]), text
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("terms", F.lit("clash")).withColumn("base", F.lit(1))
     clean = pii.sanitise(docs, "text", plan)
     assert clean.columns == docs.columns
     texts = {row["doc_id"]: row["text"] for row in clean.collect()}
-    assert texts[60] == "case0 common words the [TERM] of [EMAIL] lives and there" or texts[60] == "case0 common words the  of [EMAIL] lives and there"
-    assert texts[70] == "case4 common words the plumber of [EMAIL] lives and there"
+    assert all(("zyxgardener" in texts[at]) == (text.startswith("zyxgardener")) and "@" not in texts[at] for at, text in enumerate(rows))
     assert all(texts[at] == text for at, text in enumerate(rows) if "@" not in text) and len(texts) == len(rows)
 
 
 def test_copies_hide_no_disclosing_term(spark):
     rows = disclosure_rows()
     rows += [rows[60]] * 300 + [rows[0]] * 300
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     for broadcast in (50_000, 0):
-        got = pii.report(docs, "doc_id", "text", pii.Plan(broadcast_terms=broadcast, min_bits=2.0)).collect()
-        assert {row["id"] for row in got if row["n_term"]} == {at for at, text in enumerate(rows) if "x.y@z.org" in text}
+        got = found_terms(spark, rows, pii.Plan(broadcast_terms=broadcast, min_bits=2.0))
+        assert {at for at in got if "zyxgardener" in got[at]} == {at for at, text in enumerate(rows) if "x.y@z.org" in text}
 
 
 def test_production_plan_judges_hot_and_rare_entities(spark):
@@ -316,24 +324,53 @@ def test_production_plan_judges_hot_and_rare_entities(spark):
     rows += [f"note{k} common words the hotkeeper of hot@z.org lives and there" for k in range(60)]
     rows += [f"item{k} common words the miller of nothing lives and there" for k in range(60)]
     rows += [f"memo{k} common words the rarebaker of rare@z.org lives and there" for k in range(2)]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
-    known = {"x.y@z.org": ["zyxgardener"], "hot@z.org": ["hotkeeper"], "rare@z.org": ["rarebaker"]}
-    for row in pii.report(docs, "doc_id", "text").collect():
-        text = rows[row["id"]]
-        spans = [span.split(":") for span in row["spans"].split(",") if span.startswith("term")]
-        assert [text[int(a):int(b)] for _, a, b in spans] == next((terms for mail, terms in known.items() if mail in text), []), text
+    got = found_terms(spark, rows, pii.Plan())
+    known = {"x.y@z.org": "zyxgardener", "hot@z.org": "hotkeeper", "rare@z.org": "rarebaker"}
+    for at, text in enumerate(rows):
+        for mail, term in known.items():
+            assert (term in got[at]) == (mail in text), text
+        assert not {"common", "words", "lives", "there"} & set(got[at])
 
 
 @pytest.mark.parametrize("broadcast", [50_000, 0])
 def test_disclosing_terms_have_any_length(spark, broadcast):
     long = "h" * 60
     rows = disclosure_rows() + [f"note{k} common words the {term} of l@z.org lives and there" for k in range(4) for term in ("Li", "李", long)]
+    got = found_terms(spark, rows, pii.Plan(broadcast_terms=broadcast))
+    for at, text in enumerate(rows):
+        if "l@z.org" in text:
+            assert text.split()[4] in got[at], text
+
+
+def test_values_of_one_text_are_judged_by_their_group(spark):
+    """Every value stands in one text; the terms stand far from it, in other cases, and twice."""
+    far = " ".join(f"filler{k % 7}" for k in range(300))
+    rows = [f"{far} only{k}" for k in range(80)] + [None, ""]
+    rows += [f"Millwright {far} write to p{k}@guild{k % 2}.org or 10.7.{k % 2}.{k} millwright" for k in range(6)]
+    rows += [f"the cooper {far} calls +49 30 55{k}5501{k} and pays 4111 1111 1111 1111" for k in range(3)]
+    got = found_terms(spark, rows, pii.Plan())
+    for at, text in enumerate(rows):
+        assert [term for term in got[at] if term.lower() in ("millwright", "cooper")] == (
+            ["Millwright", "millwright"] if "guild" in (text or "") else ["cooper"] if "cooper" in (text or "") else [])
+
+
+def test_counts_of_the_disclosure(spark):
+    rows = disclosure_rows() + [f"m{k} lives near 10.0.0.{k % 4} and +49 30 1234 56{k}" for k in range(8)] + [None]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
-    for row in pii.report(docs, "doc_id", "text", pii.Plan(broadcast_terms=broadcast)).collect():
-        text = rows[row["id"]]
-        spans = [span.split(":") for span in row["spans"].split(",") if span.startswith("term")]
-        terms = [text[int(a):int(b)] for _, a, b in spans if text[int(a):int(b)][:4] not in ("note", "zyxg")]
-        assert terms == ([text.split()[4]] if "l@z.org" in text else []), text
+    holding = pii.with_base(docs.select("text"), "text").where("text_key IS NOT NULL").dropDuplicates(["text_key"])
+    _, counted = pii.counts(docs, holding, F.coalesce("text", F.lit("")))
+    got = sorted((row["n_te"], row["n_t"], row["n_e"], row["n"]) + (row["term"],) for row in counted.collect())
+    n_te, n_t, n_e, n = brute.co_occurrence(rows)
+    least, plan = Counter(), pii.Plan()
+    for text in set(rows) - {None}:
+        held = set().union(*(brute.entities(a, kind, b, text) for a, kind, b, _ in brute.personal_spans(text)))
+        if any(n_e[entity] >= plan.min_texts for entity in held):
+            least.update({term.lower() for term in re.findall(r"[^\W_]+", text)})
+    want = [
+        (both, n_t[term], n_e[entity], n, term) for (term, entity), both in n_te.items()
+        if both >= plan.min_texts and both >= plan.min_disclosure * least[term]
+    ]
+    assert got == sorted(want) and got
 
 
 def test_overlapping_and_odd_spans_are_replaced(spark, odd, none):
