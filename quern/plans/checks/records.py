@@ -56,8 +56,12 @@ WITH docs AS ({plain(DOCUMENTS).replace('AS STRING', 'AS VARCHAR')}), parts AS (
 """
 
 
+# Structuring a document takes about a tenth of a millisecond, so a task has a few seconds.
+EVENTS_PER_TASK = 20_000
+
+
 def documents(spark, sf_dir):
-    return derive(spark, sf_dir, DOCUMENTS).select("file_name", F.try_parse_json("raw").alias("doc"))
+    return derive(spark, sf_dir, DOCUMENTS, EVENTS_PER_TASK).select("file_name", F.try_parse_json("raw").alias("doc"))
 
 
 def structured(spark, sf_dir):
