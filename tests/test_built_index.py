@@ -56,3 +56,22 @@ def test_an_empty_index(spark):
     index = tfidf.build_index(docs, "doc_id", "text")
     assert retrieve.search(index, "a b", 3).isEmpty() and index.docs.isEmpty() and index.blocks is None
     assert index.vectors.agg(F.count("*")).first()[0] == 0
+
+
+def test_one_vector_is_read_off_the_postings(spark, written):
+    index = index_of(spark)
+    alone = retrieve.similar(index, 3, 4)
+    want = table(alone)
+    assert want and "index-vectors" not in written
+    assert index.vectors.count() and "index-vectors" in written and table(retrieve.similar(index, 3, 4)) == want
+
+
+def test_rows_of_one_term_come_together(spark):
+    lists = [(1, "a b a b".split()), (2, None), (3, []), (4, "b a b".split()), (None, ["a"])]
+    rows = spark.createDataFrame(lists, "doc_id bigint, tokens array<string>").coalesce(1)
+    found = [tuple(row) for row in tfidf.term_counts(rows).collect()]
+    assert sorted(found, key=str) == sorted([
+        (1, "a", 2), (1, "b", 2), (1, "a b", 2), (1, "b a", 1), (4, "a", 1), (4, "b", 2), (4, "b a", 1), (4, "a b", 1), (None, "a", 1),
+    ], key=str)
+    terms = [term for _, term, _ in found]
+    assert sum(a != b for a, b in zip(terms, terms[1:])) == len(set(terms)) - 1
