@@ -2,8 +2,9 @@
 
 from pyspark import cloudpickle
 
-from quern.functions import words
+from quern.functions import blocks, words
 
-# The word helpers run inside Arrow UDFs.  Shipping them by value keeps executors free of
+# These helpers run inside Arrow UDFs.  Shipping them by value keeps executors free of
 # any package installation step.
-cloudpickle.register_pickle_by_value(words)
+for module in (blocks, words):
+    cloudpickle.register_pickle_by_value(module)
