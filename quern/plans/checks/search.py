@@ -84,7 +84,7 @@ def v05_norms(spark, sf_dir):
 
 def v06_vocabulary_limits(spark, sf_dir):
     built = index(spark, sf_dir)
-    pruned = tfidf.prune_terms(built.terms, built.docs.count(), **PRUNED)
+    pruned = tfidf.prune_terms(built.terms, built.n_docs, **PRUNED)
     return pruned.select("term", "df", "total_tf")
 
 
