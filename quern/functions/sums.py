@@ -1,0 +1,95 @@
+"""Worker-side sums over the postings of documents, which leave a task as lists of documents."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+# Rows that are added at once, and documents of which a task keeps sums.
+CHUNK_ROWS, HELD_DOCS = 1 << 20, 1 << 22
+# Documents of a list that leaves a task, about.
+BLOCK_DOCS = 4096
+# Documents in a row of one term.
+LISTED = 1 << 16
+LISTS = "block int, docs array<bigint>, ns array<bigint>, totals array<double>"
+
+
+def _added(ids: pa.Array, ns: np.ndarray | None, totals: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Each document once, with the sums of its rows; a missing id is a document, too."""
+    found = ids.dictionary_encode(null_encoding="encode")
+    at, n = np.asarray(found.indices, np.int64), len(found.dictionary)
+    counts = np.bincount(at, minlength=n) if ns is None else np.bincount(at, ns, n).astype(np.int64)
+    return found.dictionary, counts, np.bincount(at, totals, n)
+
+
+def _lists(sums: tuple[pa.Array, np.ndarray, np.ndarray], n_blocks: int) -> pa.RecordBatch:
+    """A row for each block of documents, by a hash of their id."""
+    ids, ns, totals = sums
+    mixed = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    blocks = ((mixed >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int32)
+    order = np.argsort(blocks, kind="stable")
+    first = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+    offsets = pa.array(np.append(first, len(order)), pa.int32())
+    columns = [ids.take(pa.array(order)), pa.array(ns[order]), pa.array(totals[order])]
+    return pa.record_batch([pa.array(blocks[order][first]), *(pa.ListArray.from_arrays(offsets, column) for column in columns)], names=["block", "docs", "ns", "totals"])
+
+
+def _summed(rows: Iterator[tuple[pa.Array, np.ndarray]], n_blocks: int) -> Iterator[pa.RecordBatch]:
+    held, waiting, size = None, [], 0
+
+    def merge() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        ids, ns, totals = _added(pa.concat_arrays([ids for ids, _ in waiting]), None, np.concatenate([values for _, values in waiting]))
+        if held is None:
+            return ids, ns, totals
+        return _added(pa.concat_arrays([held[0], ids]), np.concatenate((held[1], ns)), np.concatenate((held[2], totals)))
+
+    for ids, values in rows:
+        waiting.append((ids, values))
+        size += len(ids)
+        if size >= CHUNK_ROWS:
+            held, waiting, size = merge(), [], 0
+            if len(held[0]) > HELD_DOCS:
+                yield _lists(held, n_blocks)
+                held = None
+    if waiting:
+        held = merge()
+    if held is not None and len(held[0]):
+        yield _lists(held, n_blocks)
+
+
+def sum_rows(batches: Iterator[pa.RecordBatch], n_blocks: int) -> Iterator[pa.RecordBatch]:
+    """Lists of ``LISTS`` from rows ``(doc_id, value)``."""
+    return _summed(((batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)) for batch in batches), n_blocks)
+
+
+def pack_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(doc_id, term, tf)`` in order of terms as ``(term, docs, tfs)``, up to ``LISTED`` documents in each."""
+    for batch in batches:
+        for lo in range(0, len(batch), LISTED):
+            part = batch.slice(lo, LISTED)
+            codes = np.asarray(part.column("term").dictionary_encode(null_encoding="encode").indices, np.int64)
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            offsets = pa.array(np.append(first, len(part)), pa.int32())
+            lists = (pa.ListArray.from_arrays(offsets, pa.concat_arrays([part.column(name)])) for name in ("doc_id", "tf"))
+            yield pa.record_batch([part.column("term").take(pa.array(first)), *lists], names=["term", "docs", "tfs"])
+
+
+def sum_terms(batches: Iterator[pa.RecordBatch], n_blocks: int) -> Iterator[pa.RecordBatch]:
+    """Lists of ``LISTS`` from rows ``(docs, tfs, idf)``; a document's value is the square of tf times idf."""
+
+    def rows() -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for batch in batches:
+            tfs, docs = batch.column("tfs"), batch.column("docs")
+            idf = np.repeat(batch.column("idf").to_numpy(zero_copy_only=False), np.diff(np.asarray(tfs.offsets)))
+            yield docs.flatten(), np.square(tfs.flatten().to_numpy(zero_copy_only=False) * idf)
+
+    return _summed(rows(), n_blocks)
+
+
+def join_lists(table: pa.Table) -> pa.Table:
+    """``(doc_id, n, total)`` of the lists of one block."""
+    ids, ns, totals = (pa.concat_arrays([chunk.flatten() for chunk in table[name].chunks]) for name in ("docs", "ns", "totals"))
+    ids, ns, totals = _added(ids, ns.to_numpy(), totals.to_numpy())
+    return pa.table({"doc_id": ids, "n": pa.array(ns), "total": pa.array(totals)})
