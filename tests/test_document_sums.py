@@ -1,72 +1,48 @@
 """Sums over the postings of documents: a task passes on a sum for each document, not one for each posting."""
 
-import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import sums
 from quern.operators import tfidf
 from tests.test_batch_scores import exchanged
 
 
 def postings(n_terms=300, n_docs=50):
     rng = random.Random(2)
-    return [(doc if doc else None, f"t{at:03}", rng.randint(1, 9)) for at in range(n_terms) for doc in range(n_docs) if rng.random() < 0.6]
-
-
-def plain(rows, value):
-    found = {}
-    for doc, term, tf in rows:
-        n, total = found.get(doc, (0, 0.0))
-        found[doc] = n + 1, total + value(term, tf)
-    return found
-
-
-def shown(found):
-    return {r.doc_id: (r.n, r.total) for r in found.collect()}
+    return [(doc or None, f"t{at:03}", rng.randint(1, 9)) for at in range(n_terms) for doc in range(n_docs) if rng.random() < 0.6]
 
 
 @pytest.mark.parametrize("kind", ["bigint", "string"])
-def test_sums_equal_a_grouping(spark, kind):
+def test_sums_equal_a_plain_sum(spark, kind):
     rows = postings()
     made = spark.createDataFrame(rows, "doc_id bigint, term string, tf int").withColumn("doc_id", F.col("doc_id").cast(kind))
-    want = {None if doc is None or kind == "bigint" and doc is None else doc if kind == "bigint" else str(doc): value for doc, value in plain(rows, lambda _, tf: tf * tf).items()}
-    found = shown(tfidf.document_sums(made, (F.col("tf") * F.col("tf")).cast("double"), 50))
-    assert found == want
-    idf = spark.createDataFrame([(f"t{at:03}", 1.0 + at) for at in range(300)], "term string, idf double")
-    weighed = shown(tfidf.squares_of_terms(made.repartitionByRange(4, "term").sortWithinPartitions("term"), idf, 50))
-    want = plain(rows, lambda term, tf: (tf * (1.0 + int(term[1:]))) ** 2)
-    assert {key: n for key, (n, _) in weighed.items()} == {None if doc is None else doc if kind == "bigint" else str(doc): n for doc, (n, _) in want.items()}
-    for doc, (_, total) in want.items():
-        key = None if doc is None else doc if kind == "bigint" else str(doc)
-        assert math.isclose(weighed[key][1], total)
+    want = {}
+    for doc, _, tf in rows:
+        key = doc if doc is None or kind == "bigint" else str(doc)
+        n, total = want.get(key, (0, 0.0))
+        want[key] = n + 1, total + tf * tf
+    found = tfidf.document_sums(made, (F.col("tf") * F.col("tf")).cast("double")).collect()
+    assert {r.doc_id: (r.n, r.total) for r in found} == want
 
 
-def test_a_task_passes_on_lists_however_many_parts_there_are(spark, monkeypatch):
-    """Four times the parts do not make more rows: the exchange holds a list for each task and block of documents."""
-    rows = spark.createDataFrame(postings(), "doc_id bigint, term string, tf int")
+def test_more_parts_do_not_shuffle_more(spark, tmp_path, monkeypatch):
+    """Each of a few tasks passes on a sum for every document; before, each part of the postings did."""
     monkeypatch.setattr(tfidf, "SUM_TASKS", 1)
+    rows = spark.createDataFrame(postings(), "doc_id bigint, term string, tf int")
     cores = spark.sparkContext.defaultParallelism
     for parts in (16, 64):
         dealt = rows.repartitionByRange(parts, "term").sortWithinPartitions("term")
         dealt = spark.createDataFrame(dealt.rdd, dealt.schema)
-        assert 0 < exchanged(tfidf.document_sums(dealt, F.lit(1.0), 50)) <= cores
-
+        assert 0 < exchanged(tfidf.document_sums(dealt, F.lit(1.0))) <= cores * 50
+        assert exchanged(dealt.groupBy("doc_id").count()) > cores * 50
 
-def test_held_sums_are_passed_on_when_they_are_many(monkeypatch):
-    import pyarrow as pa
 
-    monkeypatch.setattr(sums, "CHUNK_ROWS", 4)
-    monkeypatch.setattr(sums, "HELD_DOCS", 3)
-    ids = [3, 3, 1, 7, None, 3, 9, 8, 1, 1, None, 5]
-    batches = [pa.record_batch({"doc_id": pa.array(ids[at:at + 2], pa.int64()), "value": [1.0, 2.0]}) for at in range(0, 12, 2)]
-    parts = list(sums.sum_rows(iter(batches), 1))
-    assert len(parts) > 1
-    joined = sums.join_lists(pa.Table.from_batches(parts)).to_pylist()
-    want = {}
-    for at, key in enumerate(ids):
-        n, total = want.get(key, (0, 0.0))
-        want[key] = n + 1, total + 1.0 + at % 2
-    assert {r["doc_id"]: (r["n"], r["total"]) for r in joined} == want
+def test_a_missing_id_has_a_norm(spark):
+    docs = spark.createDataFrame([(1, "a1 b1 a1"), (None, "b1 c1")], "doc_id bigint, text string")
+    index = tfidf.build_index(docs, "doc_id", "text")
+    squares = tfidf.document_sums(index.postings, F.col("weight") * F.col("weight")).collect()
+    assert {r.doc_id: (r.n, round(r.total, 9)) for r in squares} == {1: (4, 1.0), None: (3, 1.0)}
+    numbers = spark.createDataFrame([("b1", 0)], "term string, number long")
+    assert {r.doc_id for r in index.matched(numbers).where("weight > 0").collect()} == {1, None}
