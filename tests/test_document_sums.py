@@ -42,7 +42,8 @@ def test_more_parts_do_not_shuffle_more(spark, tmp_path, monkeypatch):
 def test_a_missing_id_has_a_norm(spark):
     docs = spark.createDataFrame([(1, "a1 b1 a1"), (None, "b1 c1")], "doc_id bigint, text string")
     index = tfidf.build_index(docs, "doc_id", "text")
-    squares = tfidf.document_sums(index.postings, F.col("weight") * F.col("weight")).collect()
+    assert sorted(index.scanned.select("term", "weight").collect()) == sorted(index.postings.select("term", "weight").collect())
+    squares = tfidf.document_sums(index.scanned, F.col("weight") * F.col("weight")).collect()
     assert {r.doc_id: (r.n, round(r.total, 9)) for r in squares} == {1: (4, 1.0), None: (3, 1.0)}
     numbers = spark.createDataFrame([("b1", 0)], "term string, number long")
     assert {r.doc_id for r in index.matched(numbers).where("weight > 0").collect()} == {1, None}
