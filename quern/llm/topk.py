@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources.tables import store
+from quern.sources.tables import spread, store
 
 
 @dataclass(frozen=True)
@@ -55,11 +55,11 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
     })
 
 
-def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Deal ``(id, cells)`` by a hash of the id into blocks of about ``size`` rows; their number comes along."""
+def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Deal ``(id, cells)`` by a hash of the id into blocks of about ``size`` rows."""
     n = max(1, -(-rows.count() // size))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n)).cast("int"))
-    return store(dealt.groupBy("block").applyInArrow(_pack, BLOCK), name), n
+    return store(dealt.groupBy("block").applyInArrow(_pack, BLOCK), name)
 
 
 def _open(kind: str, n_dims: int, ids: bytes, cells: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -153,13 +153,12 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, pl
     scaled = F.transform(F.col(vector_col), lambda x: x.cast("double") * float(plan.scale))
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), scaled.alias("cells"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    candidates, n_c = blocks(rows.select("id", "cells"), plan.candidate_rows, "candidates")
-    queries, n_q = blocks(rows.where("asks").select("id", "cells"), plan.query_rows, "queries")
-    left = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    right = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))
-    )
-    best = left.join(right, ["block", "q_block"]).mapInArrow(lambda batches: _pairs(batches, plan), "query_id long, vec_id long, score long")
+    candidates = blocks(rows.select("id", "cells"), plan.candidate_rows, "candidates")
+    queries = blocks(rows.where("asks").select("id", "cells"), plan.query_rows, "queries")
+    # Every block of candidates meets every block of queries where it is; tasks read the queries, and no copy is made of either.
+    asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns if c != "block"))
+    both = spread(candidates.drop("block")).hint("shuffle_replicate_nl").crossJoin(asked)
+    best = both.mapInArrow(lambda batches: _pairs(batches, plan), "query_id long, vec_id long, score long")
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= plan.k).select("query_id", "rank", "vec_id", "score")

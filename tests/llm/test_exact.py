@@ -63,6 +63,16 @@ def test_top_k(spark, big):
     assert topk.top_k(alone, "vec_id", "embedding", F.col("vec_id") % 3 == 0).count() == 0
 
 
+def test_blocks_meet_without_copies(spark):
+    rng = random.Random(8)
+    table = spark.createDataFrame([(k, [rng.uniform(-1, 1) for _ in range(8)]) for k in range(200)], "vec_id long, embedding array<double>")
+    got = topk.top_k(table, "vec_id", "embedding", F.col("vec_id") % 2 == 0, topk.Plan(query_rows=8, candidate_rows=8))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # A block that is repeated for every block it meets, and sent around, passes through the driver as often.
+    assert "Broadcast" not in plan and "Generate" not in plan
+    assert got.groupBy("query_id").count().where("count = 5").count() == 100
+
+
 def test_bounds_leave_candidates_out(monkeypatch):
     rng = np.random.default_rng(5)
     cells = np.floor(rng.normal(0, 100, (64, 3000)) * (0.9 ** np.arange(64))[:, None])
