@@ -45,8 +45,9 @@ class Plan:
     sure_disclosure: float = 0.9
     min_bits: float = 4.0
     min_share: float = 0.5
-    # Hashes of candidate terms up to this many are sent to every task; terms themselves may have any length.
-    broadcast_terms: int = 50_000
+    # Hashes of candidate terms up to this many are sent to every executor, some 50 MB; terms themselves may have any length.
+    # Beyond it every word of every text moves to its term.
+    broadcast_terms: int = 1_000_000
 
 
 def _spans(text: Column, pattern: Column) -> Column:

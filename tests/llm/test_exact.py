@@ -446,3 +446,11 @@ def test_text_ids_and_export(spark, tmp_path):
     warc.export(archive, f"file://{tmp_path}/warc")
     written = b"".join(path.read_bytes() for path in sorted((tmp_path / "warc").glob("part-*")))
     assert written.count(b"WARC/1.1\r\n") == 3 and written.endswith(b"\r\n\r\n")
+
+
+def test_many_candidate_terms_move_no_other_words(spark):
+    docs = spark.createDataFrame([("w1 w2 other",), ("w2 w59999 other other",), ("w2 w59999 other other",)], "text string")
+    wanted = spark.range(60_000).select(F.concat(F.lit("w"), "id").alias("term"))
+    held = pii._texts_holding(docs, F.col("text"), wanted, pii.Plan())
+    assert "SortMergeJoin" not in held._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, held.collect())) == [("w1", 1), ("w2", 2), ("w59999", 1)]
