@@ -163,10 +163,10 @@ def run_bounds(index: TextIndex, vectors: DataFrame, wanted: pa.Table | None = N
         dealt = rows.repartition("run").sortWithinPartitions("run")
         return dealt.mapInArrow(lambda batches: scoring.run_bounds(batches, shipped.value), _rows(vectors, rows.schema["run"], "bound"))
     blocks = only_terms(index.blocks, wanted).join(vectors.where(long), "term")
-    rare = only_terms(index.postings.select("term", "run", "weight"), wanted).join(vectors.where(~long), "term")
-    rare = rare.groupBy("query_id", "term", "run", "query_weight").agg(F.max("weight").alias("most"))
-    parts = [part.select("query_id", "run", (F.col("query_weight") * F.col("most")).alias("bound")) for part in (blocks, rare)]
-    return parts[0].unionByName(parts[1]).groupBy("query_id", "run").agg(F.sum("bound").alias("bound"))
+    rare = only_terms(index.postings.select("term", "run", F.col("weight").alias("most")), wanted).join(vectors.where(~long), "term")
+    names = ["query_id", "term", "run", "query_weight"]
+    most = blocks.select(*names, "most").unionByName(rare.select(*names, "most")).groupBy(*names).agg(F.max("most").alias("most"))
+    return most.groupBy("query_id", "run").agg(F.sum(F.col("query_weight") * F.col("most")).alias("bound"))
 
 
 def _scores_in(index: TextIndex, vectors: DataFrame, runs: DataFrame, wanted: pa.Table | None, listed: pa.Table | None) -> DataFrame:

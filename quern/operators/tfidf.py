@@ -7,7 +7,7 @@ of their id, and postings lie in ranges of terms, ordered by term, run and docum
 pages that can hold its terms and runs.  Vectors lie in ranges of (document, term), so one document's terms are read without touching the others.
 
 A fifth table, ``blocks(term, run, most)``, has the largest weight that a term with many postings takes in each
-run.  A search bounds the scores of whole runs with it, and then reads only runs that can hold a result.
+run, the largest ``most`` if a run has several rows.  A search bounds the scores of whole runs with it, and then reads only runs that can hold a result.
 """
 
 from __future__ import annotations
@@ -277,7 +277,14 @@ class BuiltIndex:
         long = F.col("df") >= self.long_term
         if self._placed.where(long).isEmpty():
             return None
-        found = self.scanned.where(long).groupBy("term", "run").agg(F.max("weight").alias("most"))
+        rows = self.scanned.where(long).select("term", "run", "weight")
+        kind = T.StructType([rows.schema["term"], rows.schema["run"], T.StructField("most", T.DoubleType())])
+        # Rows are read in order of term and run, so nothing is shuffled; a block that two batches share has two rows.
+        found = rows.mapInArrow(words.run_peaks, kind)
+        if self._few:
+            return store(found, f"{self.name}-blocks")
+        # Ranges of joined postings may end within a run.
+        found = found.groupBy("term", "run").agg(F.max("most").alias("most"))
         return store(found.repartitionByRange("term", "run"), f"{self.name}-blocks", ["term", "run"])
 
 
